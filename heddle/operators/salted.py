@@ -44,15 +44,8 @@ def heavy_keys(frame: DataFrame, keys: Sequence[str], share: float) -> list[tupl
     Counts are combined on the map side; only one row per distinct key and map
     task is shuffled, of any skew.
     """
-    counts = frame.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
-    total = F.expr("sum(__n)")
-    whole = counts.agg(total.alias("__total"))
-    # one-row side, joined on a constant key rather than by a cross join
-    hot = (
-        counts.withColumn("__one", F.lit(1))
-        .join(F.broadcast(whole.withColumn("__one", F.lit(1))), "__one")
-        .filter(F.col("__n") >= F.col("__total") * F.lit(share))
-    )
+    least = frame.count() * share
+    hot = frame.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= F.lit(least))
     return [tuple(row[k] for k in keys) for row in hot.select(*[f"`{k}`" for k in keys]).collect()]
 
 
