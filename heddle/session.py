@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python workers, once for each application; they may have no path to it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    home = Path(__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="heddle-")) / "heddle.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
 def load(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame | list[DataFrame]:
     """The tables ``names`` of ``sf_dir`` (one DataFrame for one name)."""
+    ship(spark)
     frames = [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
     return frames[0] if len(frames) == 1 else frames
 
