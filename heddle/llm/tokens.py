@@ -3,17 +3,16 @@
 A byte-level BPE encodes every pre-token by itself, so each distinct pre-token
 needs encoding once in the whole corpus:
 
-1. texts are put into blocks by a hash; a block is about ``block_rows`` texts;
-2. the pre-tokens of each text are cut out in order; each block gives its
-   distinct ones (block, word);
-3. the distinct words over all blocks are encoded, once each;
-4. the ids are joined back by word, and regrouped by block;
-5. in each block the ids are put in the place of the words, by position.
+1. the texts of a block are cut into pre-tokens; the block keeps its distinct
+   words and, by position, the number of the word that stands there;
+2. the distinct words over all blocks are encoded, once each;
+3. the ids are joined back by word, and regrouped by block;
+4. in each block the ids are put in the place of the numbers, by position.
 
 Only (block, word) pairs are shuffled by word, never the positions: a frequent
 word costs one row a block, whatever its number of occurrences, so there is no
-hot key. The texts are shuffled once, by block; step 2 and step 5 share that
-exchange.
+hot key. The blocks are stored once in the shared folder, where later stages
+find them again if executors are lost.
 """
 
 from __future__ import annotations
@@ -22,17 +21,18 @@ import base64
 import importlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space as Unicode's property has it; \\s of Java and of Python differ from it.
-BLANK = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Fixed value: the pre-token pattern of the byte-level BPE of 50,257 ids, with its white space spelt out.
-PRE_TOKENS = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}++| ?\p{{N}}++| ?[^{BLANK}\p{{L}}\p{{N}}]++|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]++"
-#: Code points this JVM's Unicode tables may not know yet; texts with such take the whole-text way.
-UNKNOWN = r"\p{Cn}"
+from heddle.llm import scan
+from heddle.session import scratch
+
+#: The pattern of the pre-tokens in the tokenizer library's own dialect.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken", module: str = "public_tokenizers") -> str:
@@ -46,11 +46,7 @@ def load_encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=_PLAIN, mergeable_ranks=ranks, special_tokens={})
-
-
-#: The same pattern in the tokenizer library's own dialect.
-_PLAIN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _encoder(path: str):
@@ -64,72 +60,137 @@ def _encoder(path: str):
     return encode
 
 
-def _whole(path: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = load_encoding(path).encode_ordinary
+def _cut(texts: pa.Array) -> pa.DictionaryArray:
+    """All pre-tokens of the texts, in order, and how many each text has."""
+    data, offsets = scan.utf8(texts)
+    points = scan.code_points(data)
+    at = scan.byte_offsets(points)
+    borders = np.searchsorted(at, offsets)
+    starts = scan.pre_tokens(points, borders)
+    words = scan.slices(data, at[starts]).dictionary_encode()
+    return words, np.diff(np.searchsorted(starts, borders))
+
+
+def _cut_long(texts: pa.Array, most: int):
+    """As _cut, with texts of more than ``most`` bytes cut first, before a space between two other characters, where a pre-token begins in any case."""
+    pieces, owner = [], []
+    for i, t in enumerate(texts.to_pylist()):
+        while len(t) > most:
+            k = t.find(" ", most)
+            while k >= 0 and (t[k - 1].isspace() or t[k + 1 : k + 2].isspace() or k + 1 == len(t)):
+                k = t.find(" ", k + 1)
+            if k < 0:
+                break
+            pieces.append(t[:k])
+            owner.append(i)
+            t = t[k:]
+        pieces.append(t)
+        owner.append(i)
+    parts, sizes = [], np.zeros(len(texts), np.int64)
+    for piece, i in zip(pieces, owner):
+        words, size = _cut(pa.array([piece], pa.string()))
+        parts.append(words)
+        sizes[i] += size[0]
+    return pa.chunked_array(parts).unify_dictionaries().combine_chunks(), sizes
+
+
+def _blocks(block_bytes: int, kind: pa.DataType):
+    out = pa.schema([
+        ("block", pa.string()), ("words", pa.list_(pa.string())), ("keys", pa.list_(kind)), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()),
+    ])
+
+    def block(name: str, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        one = pc.max(pc.binary_length(texts)).as_py() <= block_bytes
+        words, sizes = _cut(texts) if one else _cut_long(texts, block_bytes)
+        if isinstance(words, pa.ChunkedArray):
+            words = words.combine_chunks()
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        small = codes.astype(np.uint16 if len(words.dictionary) <= 65536 else np.uint32)
+        packed = bytes([small.dtype.itemsize]) + zstandard.compress(small.tobytes(), 1)
+        return pa.RecordBatch.from_arrays([
+            pa.array([name]), pa.array([words.dictionary.cast(pa.string()).to_pylist()], out.field(1).type), _one_list(keys, kind),
+            pa.array([sizes.astype(np.int32)], out.field(3).type), pa.array([packed], pa.binary()),
+        ], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, no = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = pa.array([one(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[batch.schema.names[0], "ids"])
+            keys, texts = batch.columns
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(texts):
+                done = int(ends[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, done + block_bytes, side="right")))
+                yield block(f"{part}-{no}", keys.slice(begin, stop - begin), texts.slice(begin, stop - begin))
+                begin, no = stop, no + 1
+
+    return run
 
-    return encode
 
+def _one_list(values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
 
-def _place(key: str):
-    def place(texts: pa.Table, words: pa.Table) -> pa.Table:
-        """The ids of a block's texts: words are looked up in the block's dictionary, their ids strung together."""
-        texts = texts.combine_chunks()
-        kind = texts.schema.field(key).type
-        out = pa.schema([(key, kind), ("ids", pa.list_(pa.int32()))])
-        if not texts.num_rows:
+
+def _place(kind: pa.DataType):
+    out = pa.schema([("k", kind), ("ids", pa.list_(pa.int32()))])
+
+    def place(blocks: pa.Table, words: pa.Table) -> pa.Table:
+        """The ids of a block's texts: by position, the ids of the word whose number stands there."""
+        if not blocks.num_rows:
             return out.empty_table()
-        lists = texts.column("words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten()
-        known, ids = words.column("word").combine_chunks(), words.column("ids").combine_chunks()
-        known, ids = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (known, ids))
-        at = pc.index_in(flat, value_set=known)
-        if at.null_count:
+        packed = blocks.column("codes")[0].as_py()
+        codes = np.frombuffer(zstandard.decompress(packed[1:]), np.uint16 if packed[0] == 2 else np.uint32).astype(np.int64)
+        numbers = words.column("no").to_numpy()
+        order = np.argsort(numbers)
+        if not np.array_equal(numbers[order], np.arange(len(order))):
             raise ValueError("a pre-token is missing from the dictionary of its block")
-        sizes = pc.fill_null(pc.list_value_length(pc.take(ids, at)), 0)
-        parts = pc.list_flatten(pc.take(ids, at))
-        ends = pa.concat_arrays([pa.array([0], pa.int64()), pc.cumulative_sum(sizes.cast(pa.int64()))])
-        offsets = pc.take(ends, lists.offsets)
-        made = pa.ListArray.from_arrays(offsets.cast(pa.int32()), parts)
-        return pa.Table.from_arrays([texts.column(key), made], schema=out)
+        lists = words.column("ids").combine_chunks()
+        lists = (lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists).take(pa.array(order))
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        begins = lists.offsets.to_numpy()[: len(order) + 1].astype(np.int64)
+        begins -= begins[0]
+        lengths = np.diff(begins)[codes]
+        ends = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(lengths, out=ends[1:])
+        # a run of ids for each position: its place in the flat list, counted on
+        at = np.arange(int(ends[-1])) + np.repeat(begins[:-1][codes] - ends[:-1], lengths)
+        sizes = np.concatenate([[0], np.cumsum(blocks.column("sizes").combine_chunks().flatten().to_numpy())])
+        made = pa.ListArray.from_arrays(pa.array(ends[sizes].astype(np.int32)), pa.array(flat[at].astype(np.int32)))
+        return pa.Table.from_arrays([blocks.column("keys").combine_chunks().flatten(), made], schema=out)
 
     return place
 
 
-def encode(texts: DataFrame, key: str, text: str, *, path: str, block_rows: int = 2000) -> DataFrame:
+#: Spark's type of a key and Arrow's.
+_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def encode(texts: DataFrame, key: str, text: str, *, path: str, block_bytes: int = 4_000_000) -> DataFrame:
     """(key, ids): the token ids of every text, without special tokens.
 
     One row for each row of ``texts``. A null or empty text has an empty list;
     their rows skip the shuffle. Strings that look like special tokens are
-    ordinary text. Repeated rows and null keys are kept. Texts with code
-    points that the JVM's Unicode tables don't know are encoded whole, since
-    their pre-tokens could be cut differently. ``block_rows`` is the mean
-    number of texts in a block and bounds what a task holds at a time.
+    ordinary text. Repeated rows and null keys are kept. ``key`` is a bigint,
+    int or string. ``block_bytes`` bounds the text of a block, save for one
+    text that is longer; it bounds what a task holds, not what is encoded.
     """
     kind = dict(texts.dtypes)[key]
+    if kind not in _KINDS:
+        raise TypeError(f"a key must be bigint, int or string, not {kind}")
+    spark = texts.sparkSession
     rows = texts.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     bare = rows.filter("t IS NULL OR t = ''").select("k", F.array().cast("array<int>").alias("ids"))
-    full = rows.filter("t <> ''")
-    odd = F.col("t").rlike(UNKNOWN)
-    whole = full.filter(odd).mapInArrow(_whole(path), f"k {kind}, ids array<int>")
-    blocks = max(1, -(-rows.count() // block_rows))
-    block = F.pmod(F.xxhash64("k", "t"), F.lit(blocks))
-    placed = (
-        full.filter(~odd).withColumn("block", block).repartition("block")
-        .select("block", "k", F.regexp_extract_all("t", F.lit(PRE_TOKENS), F.lit(0)).alias("words"))
-    )
-    pairs = placed.select("block", F.explode("words").alias("word")).distinct()
+    schema = f"block string, words array<string>, keys array<{kind}>, sizes array<int>, codes binary"
+    where = scratch(spark, "blocks")
+    rows.filter("t <> ''").mapInArrow(_blocks(block_bytes, _KINDS[kind]), schema).write.parquet(where)
+    blocks = spark.read.schema(schema).parquet(where)
+    pairs = blocks.select(F.col("block").alias("of"), F.posexplode("words").alias("no", "word"))
     ids = pairs.select("word").distinct().mapInArrow(_encoder(path), "word string, ids array<int>")
-    known = pairs.join(ids, "word").select(F.col("block").alias("of"), "word", "ids")
-    put = (
-        placed.groupBy("block").cogroup(known.groupBy("of"))
-        .applyInArrow(_place("k"), f"k {kind}, ids array<int>")
-    )
-    return put.unionByName(whole).unionByName(bare).withColumnRenamed("k", key)
+    known = pairs.join(ids, "word").select("of", "no", "ids")
+    put = blocks.drop("words").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_place(_KINDS[kind]), f"k {kind}, ids array<int>")
+    return put.unionByName(bare).withColumnRenamed("k", key)
 
 
 def token_bytes(spark, path: str) -> DataFrame:
