@@ -15,19 +15,18 @@ A word is a run of letters or digits, compared without case.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.llm import scan
 from heddle.session import scratch
 
-WORD = re.compile(r"[^\W_]+")
 #: Positions between two texts of a shard, so that no stretch crosses them.
 GAP = 1
 INDEX_SCHEMA = "shard string, word string, n int, positions binary"
@@ -35,80 +34,93 @@ INDEX_SCHEMA = "shard string, word string, n int, positions binary"
 TEXTS = ""
 
 
+def _cut(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, case folded, in order, and how many each text has: 'Straße' and 'STRASSE' are one word."""
+    folded = pa.array([t.casefold() for t in texts.to_pylist()], pa.large_string())
+    data, offsets = scan.utf8(folded)
+    points = scan.code_points(data)
+    at = scan.byte_offsets(points)
+    borders = np.searchsorted(at, offsets)
+    begins, ends = scan.word_runs(points, borders)
+    words = scan.slices(data, at[begins], at[ends]).dictionary_encode()
+    return words, np.diff(np.searchsorted(begins, borders))
+
+
 def words_of(text: str) -> list[str]:
-    """The words of a text in order, case folded: 'Straße' and 'STRASSE' are one word."""
-    return WORD.findall(text.casefold())
+    """The words of one text in order, case folded."""
+    words, _ = _cut(pa.array([text], pa.large_string()))
+    return words.cast(pa.large_string()).to_pylist()
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Ascending numbers as compressed differences."""
-    steps = np.diff(numbers, prepend=0)
-    small = steps.astype(np.uint16) if len(steps) and steps.max() < 65536 else steps.astype(np.int64)
-    raw = bytes([small.dtype.itemsize]) + small.tobytes()
-    return raw if len(raw) < 64 else b"z" + zstandard.compress(raw, 1)
+#: Words with fewer postings in a shard are stored as they are.
+FEW = 16
 
 
 def unpack(data: bytes) -> np.ndarray:
-    if data[:1] == b"z":
-        data = zstandard.decompress(data[1:])
-    return np.cumsum(np.frombuffer(data, np.uint16 if data[0] == 2 else np.int64, offset=1), dtype=np.int64)
+    """Ascending positions from their stored differences."""
+    raw = zstandard.decompress(data[1:]) if data[:1] == b"z" else data[1:]
+    return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.int64)
 
 
-def _postings(shard: str, ids: list, lists: list[list[str]]) -> pa.RecordBatch:
-    sizes = np.array([len(x) for x in lists], np.int64)
+def _postings(shard: str, keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    found, sizes = _cut(texts)
     starts = np.concatenate([[0], np.cumsum(sizes + GAP)[:-1]]).astype(np.int64)
-    found = pa.array(chain.from_iterable(lists), pa.string(), size=int(sizes.sum())).dictionary_encode()
     codes = found.indices.to_numpy(zero_copy_only=False)
-    places = np.arange(len(codes), dtype=np.int64) + np.repeat(np.arange(len(lists), dtype=np.int64) * GAP, sizes)
-    order = np.argsort(codes, kind="stable")
-    ends = np.cumsum(np.bincount(codes, minlength=len(found.dictionary)))
-    words, counts, data = found.dictionary.to_pylist(), [], []
-    for i, part in enumerate(np.split(places[order], ends[:-1]) if len(words) else []):
-        counts.append(len(part))
-        data.append(pack(part))
-    keys = pa.array(ids, pa.int64())
-    words.append(TEXTS)
-    counts.append(len(ids))
-    data.append(pack(starts) + b"|" + np.array(keys.fill_null(0), np.int64).tobytes())
+    n = len(found.dictionary)
+    places = np.arange(len(codes), dtype=np.int64) + np.repeat(np.arange(len(texts), dtype=np.int64) * GAP, sizes)
+    order = np.argsort(codes.astype(np.uint16) if n <= 65536 else codes, kind="stable")
+    counts = np.bincount(codes, minlength=n).astype(np.int32) if n else np.zeros(0, np.int32)
+    ends = np.cumsum(counts, dtype=np.int64)
+    # differences within each word's list; its first place as it is
+    sorted_places = places[order]
+    steps = np.diff(sorted_places, prepend=0)
+    begins = ends - counts
+    steps[begins] = sorted_places[begins]
+    raw = steps.astype(np.uint32).tobytes()
+    press = zstandard.ZstdCompressor(level=1).compress
+    data = [
+        b"z" + press(raw[4 * a : 4 * b]) if b - a >= FEW else b"r" + raw[4 * a : 4 * b]
+        for a, b in zip(begins.tolist(), ends.tolist())
+    ]
+    head = np.diff(starts, prepend=0).astype(np.uint32).tobytes()
+    data.append(np.asarray(keys.cast(pa.int64())).astype(np.int64).tobytes() + b"r" + head)
+    words = pa.concat_arrays([found.dictionary.cast(pa.string()), pa.array([TEXTS], pa.string())])
     return pa.RecordBatch.from_pydict({
-        "shard": pa.array([shard] * len(words)), "word": pa.array(words, pa.string()), "n": pa.array(counts, pa.int32()), "positions": pa.array(data, pa.binary()),
+        "shard": pa.array([shard] * len(words)), "word": words,
+        "n": pa.array(np.concatenate([counts, [len(texts)]]).astype(np.int32)), "positions": pa.array(data, pa.binary()),
     })
 
 
-def _index(shard_words: int):
+def _index(shard_bytes: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, no = TaskContext.get().partitionId(), 0
-        ids: list = []
-        lists: list[list[str]] = []
-        held = 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(key)
-                lists.append(words_of(text))
-                held += len(lists[-1])
-                if held >= shard_words:
-                    yield _postings(f"{part}-{no}", ids, lists)
-                    ids, lists, held, no = [], [], 0, no + 1
-        if ids:
-            yield _postings(f"{part}-{no}", ids, lists)
+            keys, texts = batch.columns
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            begin = 0
+            while begin < len(texts):
+                done = int(ends[begin - 1]) if begin else 0
+                stop = max(begin + 1, int(np.searchsorted(ends, done + shard_bytes, side="right")))
+                yield _postings(f"{part}-{no}", keys.slice(begin, stop - begin), texts.slice(begin, stop - begin))
+                begin, no = stop, no + 1
 
     return build
 
 
-def build_index(texts: DataFrame, key: str, text: str, *, shard_words: int = 500_000, path: str | None = None) -> DataFrame:
+def build_index(texts: DataFrame, key: str, text: str, *, shard_bytes: int = 6_000_000, path: str | None = None) -> DataFrame:
     """The stored index of all texts: (shard, word, n, positions).
 
     Written to ``path``, or to a folder of its own in the shared folder. A
-    shard holds texts of at least ``shard_words`` words (one text more at
-    most), so a word's postings in a shard are bounded however frequent it is.
+    shard holds texts of at most ``shard_bytes`` (or one text that is longer),
+    so a word's postings in a shard are bounded however frequent it is.
     Every text is indexed whole; null and empty texts and null keys give no
     posting.
     """
     path = path or scratch(texts.sparkSession, "postings")
     rows = texts.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.col(f"`{text}`").alias("t")).filter("k IS NOT NULL AND t <> ''")
-    rows.mapInArrow(_index(shard_words), INDEX_SCHEMA).write.option("compression", "uncompressed").parquet(path)
+    rows.mapInArrow(_index(shard_bytes), INDEX_SCHEMA).write.option("compression", "zstd").parquet(path)
     return texts.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
@@ -120,8 +132,8 @@ class _Shard:
         self.count = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist()))
         head = self.data.pop(TEXTS)
         n = self.count.pop(TEXTS)
-        self.keys = np.frombuffer(head[-8 * n:], np.int64)
-        self.starts = unpack(head[: -8 * n - 1])
+        self.keys = np.frombuffer(head[: 8 * n], np.int64)
+        self.starts = unpack(head[8 * n :])
         self.open: dict[str, np.ndarray] = {}
 
     def of(self, word: str) -> np.ndarray:
@@ -133,39 +145,63 @@ class _Shard:
         return self.keys[np.searchsorted(self.starts, places, side="right") - 1]
 
 
-def _within(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The members of ascending ``a`` that ``b`` (ascending) has too."""
-    if not len(a) or not len(b):
-        return a[:0]
+def _in(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of ``a`` are in ascending ``b``; looked up one by one, for ``a`` is short where ``b`` is long."""
+    if not len(b):
+        return np.zeros(len(a), bool)
     at = np.searchsorted(b, a)
     at[at == len(b)] = len(b) - 1
-    return a[b[at] == a]
+    return b[at] == a
 
 
 def exact_places(shard: _Shard, passage: list[str], length: int) -> np.ndarray:
-    """Places in the shard where ``length`` consecutive words of the passage begin, ascending and distinct.
+    """Places in the shard where a word stands that is part of ``length`` consecutive words of the passage, ascending and distinct.
 
-    Where a stretch that ends one word later starts from the same rarest word,
-    the places left over from that word are used again.
+    Every stretch of the passage is approached from its rarest word in this
+    shard; stretches with a word that the shard lacks are left out at once. A
+    stretch holds all words of one half around its rarest word, so the shifted
+    lists of that half are intersected first, rarest first; for the places that
+    are left, the words around them are counted out.
     """
     counts = np.array([shard.count.get(w, 0) for w in passage])
+    reach = length // 2
     hits: list[np.ndarray] = []
-    for s in range(len(passage) - length + 1):
-        window = counts[s : s + length]
-        if not window.all():
+    for a, alive in _rarest(counts, length).items():
+        at = shard.of(passage[a])
+        halves = []
+        for side in (range(a, a + reach + 1), range(a - reach, a + 1)):
+            if side.start < 0 or side.stop > len(passage) or not counts[side.start : side.stop].all():
+                continue
+            left = at
+            for i in sorted((i for i in side if i != a), key=lambda i: counts[i]):
+                left = left[_in(left + (i - a), shard.of(passage[i]))]
+                if not len(left):
+                    break
+            if len(left):
+                halves.append(left)
+        if not halves:
             continue
-        order = np.argsort(window, kind="stable")
-        first = int(order[0])
-        left = shard.of(passage[s + first]) - first
-        for i in order[1:]:
-            left = _within(left, shard.of(passage[s + i]) - i)
-            if not len(left):
-                break
-        if len(left):
-            hits.append(left)
+        left = np.unique(np.concatenate(halves))
+        low, high = min(alive), max(alive) + length
+        kept = np.zeros((len(left), high - low), np.int16)
+        for i in range(low, high):
+            kept[:, i - low] = _in(left + (i - a), shard.of(passage[i]))
+        sums = np.concatenate([np.zeros((len(left), 1), np.int32), np.cumsum(kept, axis=1)], axis=1)
+        good = (sums[:, length:] - sums[:, :-length] == length).any(axis=1)
+        hits.append(left[good])
     return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
 
 
+def _rarest(counts: np.ndarray, length: int) -> dict[int, list[int]]:
+    """{offset of a rarest word: begins of the stretches approached from it}, without stretches that lack a word."""
+    out: dict[int, list[int]] = {}
+    for s in range(len(counts) - length + 1):
+        window = counts[s : s + length]
+        if window.all():
+            out.setdefault(s + int(window.argmin()), []).append(s)
+    return out
+
+
 def near_places(shard: _Shard, passage: list[str], length: int, least: int, slack: int) -> np.ndarray:
     """Places near which at least ``least`` of ``length`` consecutive passage words stand, in order and within ``slack`` foreign words.
 
@@ -260,4 +296,4 @@ def _pass(spark, index: DataFrame, passages, length, near, before):
     return hits if before is None else before.unionByName(hits)
 
 
-__all__ = ["build_index", "exact_places", "near_places", "pack", "search", "unpack", "words_of"]
+__all__ = ["build_index", "exact_places", "near_places", "search", "unpack", "words_of"]
