@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import forms, leak, tokens
+from heddle.llm import forms, leak, sentences, tokens
 from heddle.session import load
 
 
@@ -41,7 +41,11 @@ def p9_near(spark: SparkSession, sf: str) -> DataFrame:
     return leak.search(leak.build_index(documents, "doc_id", "text"), items, "item_id", "passage", near=(12, 3))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p8_ids, p8_decoded, p9_found, p9_near)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentence_ends(load(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES = {q.__name__: q for q in (p3_found, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
 
 ORACLE = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
