@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import forms, leak, sentences, tokens
+from heddle.llm import forms, leak, mojibake, sentences, tokens
 from heddle.session import load
 
 
@@ -21,6 +21,30 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+def sourced(bib: DataFrame) -> DataFrame:
+    """The subfields of bib with their source: the coding that the record's leader states."""
+    coding = F.substring(F.col("marc_record.leader"), 10, 1).alias("source")
+    fields = bib.select("bib_id", coding, F.posexplode("marc_record.datafield").alias("pos", "f"))
+    return fields.select("bib_id", "source", (F.col("pos") + 1).alias("field_no"), F.explode("f.subfield").alias("s")).select(
+        "bib_id", "source", "field_no", F.col("s.code").alias("code"), F.col("s.value").alias("value")
+    )
+
+
+def _restored(spark: SparkSession, sf: str) -> DataFrame:
+    values = sourced(load(spark, sf, "bib"))
+    model, _ = mojibake.learn(values)
+    return mojibake.restore(values, model)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _restored(spark, sf).filter("garbled").select("bib_id", "field_no", "code").distinct()
+
+
+def p6_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The garbled subfields with their text, null where it cannot be had."""
+    return _restored(spark, sf).filter("garbled").select("bib_id", "field_no", "code", "value", "restored").distinct()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(load(spark, sf, "documents"), "doc_id", "text", path=tokens.tokenizer_file())
 
@@ -45,7 +69,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
+QUERIES = {q.__name__: q for q in (p3_found, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
 
 ORACLE = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

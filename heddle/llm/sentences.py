@@ -24,7 +24,7 @@ ABBREVIATIONS = {
     "titles": "Mr Mrs Ms Dr Prof St Lt Col Gen Capt Sgt Hon Rev Sr Sra Srta Dra Ing Lic Mme Mlle Me Mgr Fr Hr",
     "references": "No Nos Nr Art art Arts arts Abs Ziff Bl Rn Urt Beschl Vgl vgl Az ss Sec sec Fig fig Figs col cols para paras par "
     "Ch ch pp vol Vol ed eds App Ct Cir Rep Harb Tid Bull Rec rec pt pts al env cf Cf cfr Cfr viz ca approx Approx vs bzgl bzw "
-    "núm núms pág págs apdo doc incl fs sig sigs vid EE",
+    "núm núms pág págs apdo doc incl fs sig sigs vid EE Str str",
     "references in Cyrillic": "ст см См ср Ср стр гл пп п рис Сб сб реш пост др тыс млн млрд ул просп пер пл обл кв им проф акад гр",
     "before a further part of the name": "Bros u",
 }
@@ -74,7 +74,7 @@ NO_END = (
     rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ARABIC)})\.)"
     r"|(?<=[ऀ-෿]\.)"
     # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
-    r"|(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\.)(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
+    r"|(?<=(?<![[\p{L}\p{M}\p{N}]&&[^\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]])\p{L}\.)(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
     rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
     # the second part of т. е., z. B. and the like before a small letter needs no rule: nothing ends before a small letter
     r"|(?<=(?:^|[^\p{L}])[Вв] \d{4} г\.)"
