@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import forms, leak, mojibake, sentences, tokens
+from heddle.llm import forms, leak, mojibake, names, sentences, tokens
 from heddle.session import load
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.same_main_entry(load(spark, sf, "bib"))
+
+
+def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with the entity it was attributed to."""
+    headings = names.bib_headings(load(spark, sf, "bib"))
+    return names.attribute(headings.select("kind", "name", "dates"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     bib, term = load(spark, sf, "bib", "subject_term")
     titles = bib.select(F.col("bib_id").alias("id"), F.col("title_sort").alias("text"))
@@ -69,7 +79,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_entities, p3_found, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
 
 ORACLE = {
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
