@@ -368,7 +368,7 @@ def same_main_entry(bib: DataFrame) -> DataFrame:
     """(bib_id_a, bib_id_b), a < b: records whose first heading of tag 100 or 110 names one entity."""
     every = bib_headings(bib)
     entity = attribute(every.select("kind", "name", "dates"))
-    main = every.filter(F.col("tag").isin("100", "110")).groupBy("bib_id").agg(F.min_by(F.struct("kind", "name", "dates"), "field_no").alias("h")).select("bib_id", "h.*")
+    main = every.filter(F.col("tag").isin("100", "110")).groupBy("bib_id").agg(F.min(F.struct("field_no", "kind", "name", "dates")).alias("h")).select("bib_id", "h.*")
     linked = main.join(entity.withColumns({"d": F.coalesce("dates", F.lit(""))}).drop("dates"), (main["kind"] == entity["kind"]) & (main["name"] == entity["name"]) & (F.coalesce(main["dates"], F.lit("")) == F.col("d")), "inner").select("bib_id", "entity")
     a, b = linked.withColumnRenamed("bib_id", "bib_id_a"), linked.withColumnRenamed("bib_id", "bib_id_b")
     return a.join(b, "entity").filter("bib_id_a < bib_id_b").select("bib_id_a", "bib_id_b")
