@@ -95,7 +95,8 @@ def dewey_nodes(frame: DataFrame, key: str, xml: str) -> DataFrame:
     """
     picked = frame.select(F.col(f"`{key}`").alias("rec_key"), F.xxhash64(F.col(f"`{xml}`")).alias("rec_no"), F.col(f"`{xml}`").alias("xml"))
     kind = dict(picked.dtypes)["rec_key"]
-    return picked.filter("xml IS NOT NULL AND xml <> ''").mapInArrow(_parse, f"rec_key {kind}, {NODE_SCHEMA}")
+    once = picked.filter("xml IS NOT NULL AND xml <> ''").groupBy("rec_key", "rec_no").agg(F.first("xml").alias("xml"))
+    return once.mapInArrow(_parse, f"rec_key {kind}, {NODE_SCHEMA}")
 
 
 def cut(label: Column, levels: int) -> Column:
