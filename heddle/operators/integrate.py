@@ -46,6 +46,8 @@ class Integrator:
     def __init__(self, fused: bool = False):
         self.root = Node("")
         self.fused = fused
+        #: The id type of each level; all sources agree on it.
+        self.types: list[str] = []
 
     def add(self, path: str, frame: DataFrame, ids: list[str], required: bool = False, aggregating: bool | None = None) -> Integrator:
         """Puts a source at ``path``; nodes on the way are made as needed and not required. A path is taken once; a required or gathering flag of an inner node is set by ``flag``."""
@@ -57,7 +59,16 @@ class Integrator:
         node = self._at(names)
         if node.frame is not None:
             raise ValueError(f"{path} has a source already")
-        node.frame, node.ids, node.required = frame, list(ids), required
+        for i, name in enumerate(ids):
+            if i == len(self.types):
+                self.types.append(name)
+            elif self.types[i] != name:
+                raise ValueError(f"ids of level {i + 1} are {self.types[i]}, not {name}")
+        # ids go by level inside the tree, whatever payload columns and elements are called
+        levels = [f"__id{i}" for i in range(len(ids))]
+        payload = [F.col(f"`{c}`") for c in frame.columns if c not in ids]
+        node.frame = frame.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(ids, levels)], *payload)
+        node.ids, node.required = levels, required
         if aggregating is not None:
             node.aggregating = aggregating
         return self
@@ -85,7 +96,7 @@ class Integrator:
         record = self.root.children[0]
         # the record element wraps the ids of its children, it does not gather
         frame, ids = self._merge(record, [self._compile(c) for c in record.children]) if record.frame is None else self._compile(record, nest=False)
-        return frame.select(*ids, *[f"`{c}`" for c in frame.columns if c not in ids])
+        return frame.select(*[F.col(c).alias(self.types[i]) for i, c in enumerate(ids)], *[F.col(f"`{c}`") for c in frame.columns if c not in ids])
 
     def level(self, node: Node) -> int:
         """The number of ids a node's rows are keyed by; siblings that differ in it cannot be joined."""

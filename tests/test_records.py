@@ -22,7 +22,7 @@ def col(frame, *names):
 
 def frame(spark, ids, depth, name):
     kinds = ["B", "H", "I"][:depth]
-    return spark.createDataFrame([(*(i if isinstance(i, tuple) else (i,)), f"{name}{i}") for i in ids], ", ".join(f"{k} long" for k in kinds) + f", {name} string")
+    return spark.createDataFrame([(*(i if isinstance(i, tuple) else (i,)), f"{name}{i}") for i in ids], ", ".join(f"{k} long" for k in kinds) + f", p_{name} string")
 
 
 EVEN, ODD = list(range(0, 21, 2)), list(range(1, 22, 2))
@@ -38,7 +38,7 @@ def test_siblings(spark, fused):
     special = frame(spark, [8, 12], 1, "s")
     both = tree().add("/r/m", even, ["B"]).add("/r/s", special, ["B"]).compile()
     assert both.count() == 11 and both.filter("s IS NOT NULL").count() == 2
-    empty = even.filter("false").withColumnRenamed("m", "e")
+    empty = even.filter("false").withColumnRenamed("p_m", "p_e")
     assert tree().add("/r/m", even, ["B"]).add("/r/e", empty, ["B"]).compile().count() == 11
     assert tree().add("/r/m", even, ["B"]).add("/r/e", empty, ["B"], True).compile().count() == 0
     assert tree().add("/r/m", empty, ["B"]).add("/r/e", empty, ["B"]).compile().count() == 0
