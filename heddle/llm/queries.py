@@ -81,6 +81,18 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (p2_found, p2_entities, p3_found, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
 
+_SUBJECTS = """SELECT DISTINCT bib_id, s.value AS text FROM (
+  SELECT bib_id, unnest(f.subfield) AS s FROM (SELECT bib_id, unnest(marc_record.datafield) AS f FROM bib) WHERE f.tag = '650') WHERE s.code = 'a' AND s.value IS NOT NULL"""
+_WORDS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+_GRAMS = "SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS gram FROM (SELECT {id}, {words} AS w FROM {table}) WHERE len(w) >= 13"
+
 ORACLE = {
+    "p3_found": f"""WITH t AS (SELECT DISTINCT bib_id, title_sort AS text, {forms.reading_sql('title_sort')} AS r FROM bib WHERE title_sort IS NOT NULL),
+        s AS (SELECT bib_id, text, {forms.reading_sql('text')} AS r FROM ({_SUBJECTS})),
+        h AS (SELECT term_id, term AS text, {forms.reading_sql('term')} AS r FROM subject_term WHERE term IS NOT NULL)
+      SELECT DISTINCT 'title' AS kind, a.bib_id AS left_id, b.bib_id AS right_id FROM t a JOIN t b ON a.r = b.r AND a.bib_id < b.bib_id AND a.text <> b.text WHERE a.r <> ''
+      UNION ALL SELECT DISTINCT 'subject', term_id, bib_id FROM h JOIN s ON h.r = s.r AND h.text <> s.text WHERE h.r <> ''""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_found": f"""SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(id='doc_id', words=_WORDS.format('text'), table='documents')})
+      JOIN ({_GRAMS.format(id='item_id', words=_WORDS.format('passage'), table='eval_item')}) USING (gram)""",
 }
