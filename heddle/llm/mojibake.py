@@ -48,6 +48,10 @@ MARKS_BEFORE = {
 LETTERS_THERE = {0xA1: "Ł", 0xA2: "Ø", 0xA3: "Đ", 0xA4: "Þ", 0xA5: "Æ", 0xA6: "Œ", 0xB1: "ł", 0xB2: "ø", 0xB3: "đ", 0xB4: "þ", 0xB5: "æ", 0xB6: "œ", 0xB8: "ı", 0xBA: "ð"}
 #: Taken off each bigram's count, so that a rare word does not vouch for itself.
 DISCOUNT = 1
+#: Probability from which the letter behind a lost byte is given.
+SURE = 0.9
+#: Words of a character that make it part of the alphabet, so that garbled text does not bring in signs of its own.
+LEAST_LETTER = 3
 #: Symbols are folded to these before translate.
 FOLD = 0xF0000
 
@@ -120,6 +124,19 @@ def swaps(alphabet: set[str]) -> list[Swap]:
     return out
 
 
+def lost_symbols(alphabet: set[str]) -> dict[str, list[str]]:
+    """What is left of a letter where a byte got lost, and the letters it may have been: shown by a page that has no sign for one of its bytes, or gone altogether."""
+    letters = sorted(c for c in alphabet if ord(c) >= 0x80 and c.isalpha())
+    out: dict[str, list[str]] = {LOST: letters}
+    for page in WRONG_FOR_UTF8:
+        for c in letters:
+            shown = [_char(page, b) for b in c.encode()]
+            damaged = "".join(LOST if 0x80 <= ord(x) < 0xA0 else x for x in shown)
+            if damaged.count(LOST) == 1 and len(damaged) > 1:
+                out.setdefault(damaged, []).append(c)
+    return {u: sorted(set(c)) for u, c in out.items()}
+
+
 def _kind(c: str) -> str:
     """A character as the model sees it: itself in alphabetic scripts, else a class, so that the number of bigrams is bounded."""
     if c.isdigit():
@@ -137,14 +154,47 @@ class Model:
     total: int
     ciphers: list[Swap]
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
+    #: {source: {damaged symbol: {letter: expected number}}}
+    lost: dict[str, dict[str, dict[str, float]]] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self.candidates = lost_symbols({c for c, n in self.singles.items() if n >= LEAST_LETTER})
+        self.damaged = re.compile("|".join(map(re.escape, sorted(self.candidates, key=lambda u: (-len(u), u)))))
+
+    def _given(self, before: str, c: str) -> float:
+        single = (self.singles.get(c, 0) + 0.02) / (self.total + 40)
+        return (max(self.pairs.get(before + c, 0) - DISCOUNT, 0) + 3 * single) / (self.singles.get(before, 0) + 3)
+
+    def letters(self, text: str, source: str) -> Iterator[tuple[int, int, str, dict[str, float]]]:
+        """(begin, end, symbol, {letter: probability}) of each damaged symbol of a word, from its neighbours and what the symbol stood for in this source elsewhere."""
+        known = self.lost.get(source, {})
+        for m in self.damaged.finditer(text):
+            before = _kind(text[m.start() - 1]) if m.start() else " "
+            after = _kind(text[m.end()]) if m.end() < len(text) else " "
+            seen = known.get(m[0], {})
+            odds = {}
+            for c in self.candidates[m[0]]:
+                here = self._given(before, c) * (1.0 if after == LOST else self._given(c, after))
+                odds[c] = here * (seen.get(c, 0.0) + 0.5)
+            whole = sum(odds.values())
+            if whole > 0:
+                yield m.start(), m.end(), m[0], {c: x / whole for c, x in odds.items()}
+
+    def fill(self, text: str, source: str) -> str:
+        """A word with each damaged symbol whose letter is SURE put right; the others stay."""
+        out, end = [], 0
+        for begin, stop, _, odds in self.letters(text, source):
+            c = max(odds, key=odds.get)
+            if odds[c] >= SURE:
+                out += [text[end:begin], c]
+                end = stop
+        return "".join([*out, text[end:]])
 
     def cost(self, word: str, known: dict[str, float] | None = None) -> float:
         """Minus log probability of a word between two blanks."""
         out, before = 0.0, " "
         for c in [*map(_kind, word), " "]:
-            single = (self.singles.get(c, 0) + 0.02) / (self.total + 40)
-            seen = max(self.pairs.get(before + c, 0) - DISCOUNT, 0)
-            out -= math.log((seen + 3 * single) / (self.singles.get(before, 0) + 3))
+            out -= math.log(self._given(before, c))
             before = c
         return out
 
@@ -195,6 +245,8 @@ def _restored(model: Model, value: str, source: str, memo: dict) -> tuple[bool,
     parts, lost, end = [], False, 0
     for m in found:
         text = read(m[0], beside)[2]
+        if LOST in text:
+            text = model.fill(text, source)
         lost |= is_damaged(text)
         parts += [value[end : m.start()], text]
         end = m.end()
@@ -217,11 +269,16 @@ def _count(model: Model | None, clean_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[str, float] = defaultdict(float)
         used: dict[tuple[str, str], float] = defaultdict(float)
+        letters: dict[tuple[str, str], float] = defaultdict(float)
         for batch in batches:
             for source, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 share = 1.0
                 if is_damaged(word):
                     share = 0.0
+                    if model is not None and LOST in word:
+                        for _, _, symbol, odds in model.letters(model.readings(word, source)[0][2], source):
+                            for c, x in odds.items():
+                                letters[source, symbol + c] += n * x
                 elif model is not None and not word.isascii():
                     ways = model.readings(word, source)
                     best = ways[0][0]
@@ -239,12 +296,12 @@ def _count(model: Model | None, clean_only: bool):
                     for c in [*map(_kind, word), " "]:
                         pairs[before + c] += n
                         before = c
-        keys = [("", k) for k in pairs] + list(used)
-        values = list(pairs.values()) + list(used.values())
+        keys = [("", k) for k in pairs] + list(used) + list(letters)
+        values = list(pairs.values()) + list(used.values()) + list(letters.values())
         if keys:
             yield pa.RecordBatch.from_pydict({
                 "source": pa.array([k[0] for k in keys], pa.string()), "name": pa.array([k[1] for k in keys], pa.string()),
-                "kind": pa.array(["pair"] * len(pairs) + ["swap"] * len(used), pa.string()), "n": pa.array(values, pa.float64()),
+                "kind": pa.array(["pair"] * len(pairs) + ["swap"] * len(used) + ["letter"] * len(letters), pa.string()), "n": pa.array(values, pa.float64()),
             })
 
     return run
@@ -261,10 +318,6 @@ def _suspect(word: str) -> bool:
     return bool(_SUSPECT.search(word))
 
 
-#: Words of a character that make it part of the alphabet, so that garbled text does not bring in signs of its own.
-LEAST_LETTER = 3
-
-
 def learn(values: DataFrame, source: str = "source", value: str = "value", rounds: int = 3) -> tuple[Model, DataFrame]:
     """The model of all values, and the words it was learnt from.
 
@@ -279,9 +332,12 @@ def learn(values: DataFrame, source: str = "source", value: str = "value", round
         sums = words.mapInArrow(_count(model, True), "source string, name string, kind string, n double").groupBy("source", "name", "kind").agg(F.sum("n").alias("n"))
         pairs: Counter = Counter()
         used: dict[str, dict[str, float]] = defaultdict(dict)
+        letters: dict[str, dict[str, dict[str, float]]] = {}
         for r in sums.collect():
             if r["kind"] == "pair":
                 pairs[r["name"]] += r["n"]
+            elif r["kind"] == "letter":
+                letters.setdefault(r["source"], {}).setdefault(r["name"][:-1], {})[r["name"][-1]] = r["n"]
             else:
                 used[r["source"]][r["name"]] = r["n"]
         singles: Counter = Counter()
@@ -290,7 +346,7 @@ def learn(values: DataFrame, source: str = "source", value: str = "value", round
         alphabet = {c for c, n in singles.items() if n >= LEAST_LETTER and c != "字" and c != LOST}
         weights = {s: _weights(u) for s, u in used.items()}
         weights[""] = weights.get("", _weights({}))
-        model = Model(dict(pairs), dict(singles), int(sum(singles.values())), swaps(alphabet), weights)
+        model = Model(dict(pairs), dict(singles), int(sum(singles.values())), swaps(alphabet), weights, letters)
     return model, words
 
 
