@@ -127,8 +127,7 @@ def marked(text: Column) -> Column:
     out = _where(out, _any("„"), LOW, f"{OPEN}$1{CLOSE}")
     out = _where(out, _any('"'), STRAIGHT, f"{OPEN}$1{CLOSE}")
     for signs, by in ((_OPENING, OPEN), (_CLOSING, CLOSE)):
-        for sign in signs:
-            out = F.replace(out, F.lit(sign), F.lit(by))
+        out = F.regexp_replace(out, "[" + "".join("\\" + c if c in "()[]" else c for c in signs) + "]", by)
     out = _where(out, _any(OPEN), INSIDE, f"$1{STOP}")
     out = _where(out, _any("…" + CLOSE), LEFT_OUT, STOP)
     out = F.regexp_replace(out, NO_END, STOP)
@@ -146,32 +145,35 @@ CHUNK = 64
 
 def ends(text: Column) -> Column:
     """The positions (code points from the start) where the units of a text end; empty for texts without any sign but blanks, null for null."""
-    none = F.array().cast("array<int>")
     parts = F.transform(
         F.split(marked(text), END), lambda x: F.struct(F.length(x).alias("whole"), F.length(F.rtrim(x, F.lit(BLANKS))).alias("sign"))
     )
 
-    def sums(begin: Column, part: Column) -> Column:
-        start = F.struct(begin.alias("p"), none.alias("out"))
-        return F.aggregate(part, start, lambda a, x: F.struct(
-            (a["p"] + x["whole"]).alias("p"),
-            F.when(x["sign"] > 0, F.concat(a["out"], F.array(a["p"] + x["sign"]))).otherwise(a["out"]).alias("out"),
-        ))
+    def positions(every: Column) -> Column:
+        whole = F.transform(every, lambda x: x["whole"])
+        units = F.zip_with(_begins(whole), every, lambda begin, x: F.when(x["sign"] > 0, begin + x["sign"]))
+        return F.filter(units, lambda p: p.isNotNull())
+
+    return F.when(text.isNotNull(), _let(parts, positions))
+
+
+def _running(start: Column, numbers: Column) -> Column:
+    """start, and the sums with each number added; one more than there are numbers."""
+    return F.aggregate(numbers, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
 
-    def totals(every: Column) -> Column:
-        last = F.floor((F.size(every) - 1) / F.lit(CHUNK)).cast("int")
-        chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(every, c * CHUNK + 1, F.lit(CHUNK)))
-        whole = F.aggregate(
-            chunks, F.struct(F.lit(0).alias("p"), F.array().cast("array<array<int>>").alias("out")),
-            lambda a, part: _let(sums(a["p"], part), lambda inner: _joined(a, inner)),
-        )
-        return F.flatten(whole["out"])
+def _begins(lengths: Column) -> Column:
+    """Where parts of these lengths begin: summed within chunks, from where the chunks begin."""
 
-    return F.when(text.isNotNull(), _let(parts, totals))
+    def chunked(numbers: Column) -> Column:
+        last = F.floor((F.size(numbers) - 1) / F.lit(CHUNK)).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(numbers, c * CHUNK + 1, F.lit(CHUNK))), summed)
 
+    def summed(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(chunks, F.slice(_running(F.lit(0), totals), 1, F.size(chunks)), lambda c, begin: F.slice(_running(begin, c), 1, F.size(c))))
 
-def _joined(a: Column, inner: Column) -> Column:
-    return F.struct(inner["p"].alias("p"), F.concat(a["out"], F.array(inner["out"])).alias("out"))
+    return _let(lengths, chunked)
 
 
 def sentence_ends(frame: DataFrame, key: str, text: str) -> DataFrame:
