@@ -193,30 +193,48 @@ def encode(texts: DataFrame, key: str, text: str, *, path: str, block_bytes: int
     return put.unionByName(bare).withColumnRenamed("k", key)
 
 
-def token_bytes(spark, path: str) -> DataFrame:
-    """(id, bytes) of a vocabulary; as many rows as it has ids, whatever the corpus."""
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The token-byte table of a vocabulary by id, null for ids it leaves free; as long as the vocabulary, whatever the corpus."""
     with open(path, "rb") as f:
-        rows = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
-    return spark.createDataFrame(rows, "id int, bytes binary")
+        table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return pa.array([table.get(i) for i in range(max(table, default=-1) + 1)], pa.binary())
+
+
+def _join_bytes(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = lists.flatten()
+            offsets = np.zeros(len(lists) + 1, np.int64)
+            np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=offsets[1:])
+            numbers = pc.fill_null(ids, -1).to_numpy(zero_copy_only=False)
+            inside = (numbers >= 0) & (numbers < len(table))
+            pieces = table.take(pa.array(np.where(inside, numbers, 0))) if len(table) else pa.nulls(len(numbers), pa.binary())
+            wrong = ~inside | pieces.is_null().to_numpy(zero_copy_only=False)
+            # the pieces lie one behind the other: a text is what lies between two of its lists' borders
+            pieces = pc.if_else(pa.array(wrong), pa.scalar(b"", pa.binary()), pieces).cast(pa.large_binary())
+            if isinstance(pieces, pa.ChunkedArray):
+                pieces = pieces.combine_chunks()
+            at = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+            texts = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(at[offsets])), pieces.buffers()[2] or pa.py_buffer(b"")]
+            ).cast(pa.binary())
+            bad = np.zeros(len(numbers) + 1, np.int64)
+            np.cumsum(wrong, out=bad[1:])
+            none = (bad[offsets[1:]] > bad[offsets[:-1]]) | lists.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.if_else(pa.array(none), pa.scalar(None, pa.binary()), texts)], names=["k", "b"])
+
+    return run
 
 
 def decode(encoded: DataFrame, key: str, *, path: str) -> DataFrame:
     """(key, text) from (key, ids), by joining the token-byte table; null for ids that are null, unknown or not UTF-8 together.
 
-    Equal rows are told apart by their place in the input. The token table is
-    as large as the vocabulary and is broadcast.
+    One row for each row. Each task holds the table, which is as large as the
+    vocabulary, and looks all ids of a batch up at once; nothing is shuffled.
     """
-    table = F.broadcast(token_bytes(encoded.sparkSession, path))
-    tagged = encoded.select(F.col(f"`{key}`").alias("k"), "ids", F.monotonically_increasing_id().alias("r"))
-    parts = (
-        tagged.select("k", "r", F.posexplode_outer("ids").alias("pos", "id"), (F.col("ids").isNull()).alias("none"))
-        .join(table, "id", "left")
-        .groupBy("r").agg(
-            F.first("k").alias("k"), F.max("none").alias("none"), F.max(F.col("id").isNotNull() & F.col("bytes").isNull()).alias("lost"),
-            F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", F.hex("bytes").alias("b"))))).alias("parts"),
-        )
-    )
-    whole = F.unhex(F.array_join(F.transform("parts", lambda x: x["b"]), ""))
-    return parts.select(
-        F.col("k").alias(key), F.when(~F.col("none") & ~F.col("lost"), F.try_validate_utf8(whole.cast("string"))).alias("text")
-    )
+    kind = dict(encoded.dtypes)[key]
+    rows = encoded.select(F.col(f"`{key}`").alias("k"), F.col("ids").cast("array<int>").alias("ids"))
+    joined = rows.mapInArrow(_join_bytes(path), f"k {kind}, b binary")
+    return joined.select(F.col("k").alias(key), F.try_validate_utf8(F.col("b").cast("string")).alias("text"))
