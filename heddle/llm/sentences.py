@@ -53,6 +53,15 @@ def _words(*lists: str) -> str:
     return "|".join(sorted({w for text in lists for w in text.split()}, key=lambda w: (-len(w), w)))
 
 
+def _behind(*lists: str) -> str:
+    """Looks back for one of the words, length by length, so that each is tried at one place."""
+    by_length: dict[int, set[str]] = {}
+    for text in lists:
+        for word in text.split():
+            by_length.setdefault(len(word), set()).add(word)
+    return "|".join(rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(sorted(words))})\.)" for _, words in sorted(by_length.items()))
+
+
 #: Blank lines with blanks in them.
 ODD_LINES = rf"\n([{_L}]++\n)"
 #: Quotations that open low and close with a mark that opens others, and those in straight marks.
@@ -70,11 +79,11 @@ LEFT_OUT = rf"…(?={CLOSE})"
 NO_END = (
     rf"\.(?=[{_B}])(?:"
     # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
-    rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_words(*ABBREVIATIONS.values())})\.)"
+    rf"{_behind(*ABBREVIATIONS.values())}"
     rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ARABIC)})\.)"
     r"|(?<=[ऀ-෿]\.)"
     # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
-    r"|(?<=(?<![[\p{L}\p{M}\p{N}]&&[^\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]])\p{L}\.)(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
+    r"|(?:(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\.)|(?<=[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]\p{L}\.))(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
     rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
     # the second part of т. е., z. B. and the like before a small letter needs no rule: nothing ends before a small letter
     r"|(?<=(?:^|[^\p{L}])[Вв] \d{4} г\.)"
