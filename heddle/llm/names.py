@@ -7,8 +7,8 @@ initial). Each other spelling goes to the entity of the greatest posterior:
 the frequency of the entity times the likelihood of the typos, abbreviations,
 nicknames, dropped parts and dates between the two; or it founds an entity of
 its own if none is likely enough. Key parts with a typo are placed in the
-blocks of the more frequent key parts one edit away as well, and the best place
-wins.
+blocks of the more frequent key parts one edit away as well (of two equally
+frequent ones, the first in order), and the best place wins.
 
 Work is done on distinct spellings with their frequency, so an entity that
 stands on a third of all records costs one row a spelling. Nicknames are
@@ -312,8 +312,11 @@ def _attribute(nicknames: dict[str, set[str]]):
 
 
 def _neighbours(read: DataFrame) -> DataFrame:
-    """(kind, key, other): key parts and the more frequent ones one edit away, found by the keys they share when a letter is left out."""
-    keys = read.groupBy("kind", "key").agg(F.sum(F.col("n") * F.col("sure")).alias("w")).filter("length(key) >= 4")
+    """(kind, key, other): key parts and the more frequent ones one edit away, found by the keys they share when a letter is left out.
+
+    Equally frequent ones are taken in the order of their letters, so every close pair stands in one direction. Weights are whole tenths, for sums of fractions would depend on their order.
+    """
+    keys = read.groupBy("kind", "key").agg(F.sum(F.col("n") * F.round(F.col("sure") * 10).cast("long")).alias("w")).filter("length(key) >= 4")
     cuts = keys.select(
         "kind", "key", "w",
         F.explode(F.array_distinct(F.concat(F.array("key"), F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(
@@ -323,7 +326,7 @@ def _neighbours(read: DataFrame) -> DataFrame:
     close = (F.levenshtein("key", "other") <= 1) | (
         (F.length("key") == F.length("other")) & (F.levenshtein("key", "other") == 2) & (F.array_sort(F.split("key", "")) == F.array_sort(F.split("other", "")))
     )
-    return cuts.join(other, ["kind", "cut"]).filter("w < w_other").filter(close).select("kind", "key", "other").distinct()
+    return cuts.join(other, ["kind", "cut"]).filter("w < w_other OR w = w_other AND key > other").filter(close).select("kind", "key", "other").distinct()
 
 
 def attribute(headings: DataFrame) -> DataFrame:
@@ -344,6 +347,10 @@ def attribute(headings: DataFrame) -> DataFrame:
     best = stored(found.groupBy("form").agg(F.max_by("entity", F.struct("score", "entity")).alias("entity")), "entities")
     # a founder may itself have been attributed elsewhere
     on = best.select(F.col("form").alias("entity"), F.col("entity").alias("next"))
+    # of two spellings attributed to each other, the lesser is the entity
+    back = F.when(F.col("next") == F.col("form"), F.least("form", "entity")).otherwise(F.col("entity"))
+    best = best.join(on, "entity", "left").select("form", back.alias("entity"))
+    on = best.select(F.col("form").alias("entity"), F.col("entity").alias("next"))
     for _ in range(2):
         best = best.join(on, "entity", "left").select("form", F.coalesce("next", "entity").alias("entity"))
     return spelt.join(best, "form").select("kind", "name", "dates", "entity")

@@ -213,6 +213,18 @@ def test_names(spark):
     assert names.attribute(df.filter("false").select("kind", "name", "dates")).count() == 0
 
 
+def test_key_parts_of_equal_frequency(spark):
+    data = [("person", "Didikohu, Winifred Natalia", "1811-1869"), ("person", "Didikuhu, Winifred Natalia", "1811-1869"), ("person", "Didikuhx, Albert", "1900-1950")]
+    # two ways to read, each spelling is the founder for the other
+    data += [("person", "Albert Baradufo", None), ("person", "Baradufo Albert", None)]
+    df = spark.createDataFrame(data, "kind string, name string, dates string")
+    entity = {r["name"]: r["entity"] for r in names.attribute(df).collect()}
+    assert entity["Didikohu, Winifred Natalia"] == entity["Didikuhu, Winifred Natalia"] != entity["Didikuhx, Albert"]
+    assert entity["Albert Baradufo"] == entity["Baradufo Albert"]
+    read = df.withColumns({"key": F.lower(F.regexp_extract("name", r"^\w+", 0)), "n": F.lit(1), "sure": F.lit(1.0)})
+    assert rows(names._neighbours(read).filter("key LIKE 'did%'").select("key", "other")) == [("didikuhu", "didikohu"), ("didikuhx", "didikuhu")]
+
+
 def test_headings_of_odd_records(spark):
     f = "struct<leader:string,controlfield:array<struct<tag:string,value:string>>,datafield:array<struct<tag:string,ind1:string,ind2:string,subfield:array<struct<code:string,value:string>>>>>"
     h = lambda n, d=None: ("100", "1", " ", [("a", n), *([("d", d)] if d else [])])
