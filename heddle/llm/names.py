@@ -12,7 +12,8 @@ frequent ones, the first in order), and the best place wins.
 
 Work is done on distinct spellings with their frequency, so an entity that
 stands on a third of all records costs one row a spelling. Nicknames are
-learnt: pairs of first names that stand with the same surname and full dates.
+learnt: pairs of first names that stand with the same surname and dates more
+often than chance would give.
 """
 
 from __future__ import annotations
@@ -227,24 +228,32 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _READ = "form long, kind string, n long, key string, parts array<string>, birth string, death string, sure double"
 
 
-def learn_nicknames(read: DataFrame, least: int = 2) -> dict[str, set[str]]:
-    """{name: names it stands for}: first names of the same length of record found with the same surname and full dates at least ``least`` times.
+def learn_nicknames(read: DataFrame, least: int = 2, lift: float = 5.0) -> dict[str, set[str]]:
+    """{name: names it stands for}: first names found with the same surname and dates at least ``least`` times, and ``lift`` times as often as chance would give.
 
-    The pairs are made within one person's spellings and summed before they
-    come to the driver; their number is bounded by the stock of first names.
+    Chance: all pairs found under one surname and dates, dealt to the names by
+    the number of persons each stands with. The less frequent name stands for
+    the more frequent one; two equally frequent ones for each other. The pairs
+    are made within one person's spellings and summed before they come to the
+    driver; their number is bounded by the stock of first names.
     """
     one = read.filter("kind = 'person' AND sure = 1 AND birth IS NOT NULL AND size(parts) > 0").select(
         "key", "birth", F.coalesce("death", F.lit("")).alias("death"), F.regexp_replace(F.col("parts")[0], r"\.$", "").alias("g"), "n"
     ).filter("length(g) > 2").groupBy("key", "birth", "death", "g").agg(F.sum("n").alias("n"))
-    stock = one.groupBy("g").agg(F.sum("n").alias("all"))
+    stock = one.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("persons"))
     rare = one.join(stock, "g")
-    other = rare.select("key", "birth", "death", F.col("g").alias("h"), F.col("all").alias("all_h"))
-    pairs = (
-        rare.join(other, ["key", "birth", "death"]).filter("3 * all < all_h AND g <> h AND levenshtein(g, h) > 1 AND array_sort(split(g, '')) <> array_sort(split(h, ''))")
-        .groupBy("g", "h").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") >= least)
+    other = rare.select("key", "birth", "death", F.col("g").alias("h"), F.col("all").alias("all_h"), F.col("persons").alias("persons_h"))
+    pairs = stored(
+        rare.join(other, ["key", "birth", "death"]).filter("all <= all_h AND g <> h AND levenshtein(g, h) > 1 AND array_sort(split(g, '')) <> array_sort(split(h, ''))")
+        .groupBy("g", "h", "all", "all_h", "persons", "persons_h").agg(F.count(F.lit(1)).alias("times")), "pairs"
     )
+    # equally frequent names stand in both directions
+    met = pairs.agg(F.sum(F.when(F.expr("all = all_h"), F.col("times") / 2).otherwise(F.col("times"))).alias("met"))
+    every = stock.agg(F.sum("persons").cast("double").alias("every"))
+    chance = F.expr("2 * met * (persons / every) * (persons_h / every)")
+    kept = pairs.filter(F.col("times") >= least).crossJoin(F.broadcast(met)).crossJoin(F.broadcast(every)).filter(F.col("times") >= lift * chance)
     out: dict[str, set[str]] = {}
-    for r in pairs.collect():
+    for r in kept.select("g", "h").collect():
         out.setdefault(r["g"], set()).add(r["h"])
     return out
 

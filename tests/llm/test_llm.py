@@ -225,6 +225,15 @@ def test_key_parts_of_equal_frequency(spark):
     assert rows(names._neighbours(read).filter("key LIKE 'did%'").select("key", "other")) == [("didikuhu", "didikohu"), ("didikuhx", "didikuhu")]
 
 
+def test_nicknames_as_frequent_as_the_full_name(spark):
+    keys = [f"{a}{b}tra" for a in ("bo", "ki", "lu", "ze") for b in ("da", "fu", "mi", "no", "pe")]
+    data = [(k, "1900", g) for k in keys[:3] for g in ("dom", "dominic")] + [("gota", "1900", "dominic"), ("gota", "1901", "ned"), ("gota", "1901", "edgar"), ("gotu", "1902", "ned"), ("gotu", "1902", "edgar")]
+    # two common names that meet by accident, as often as each other pair does
+    data += [(f"{k}{i}", "1950", g) for i, pair in enumerate([("john", "mary"), ("john", "peter"), ("mary", "peter")]) for k in keys[:6] for g in pair]
+    read = spark.createDataFrame([("person", k, [g], y, 1.0, 1) for k, y, g in data], "kind string, key string, parts array<string>, birth string, sure double, n int").withColumn("death", F.lit("1980"))
+    assert names.learn_nicknames(read) == {"dom": {"dominic"}, "ned": {"edgar"}, "edgar": {"ned"}}
+
+
 def test_headings_of_odd_records(spark):
     f = "struct<leader:string,controlfield:array<struct<tag:string,value:string>>,datafield:array<struct<tag:string,ind1:string,ind2:string,subfield:array<struct<code:string,value:string>>>>>"
     h = lambda n, d=None: ("100", "1", " ", [("a", n), *([("d", d)] if d else [])])
