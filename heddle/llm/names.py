@@ -159,7 +159,10 @@ def _part(v: str, c: str, nicknames: dict[str, set[str]]) -> float | None:
     if not a or not b:
         return None
     if len(a) == 1 or len(b) == 1:
-        return INITIAL if a[0] == b[0] else None
+        if a[0] == b[0]:
+            return INITIAL
+        letter, name = (a, b) if len(a) == 1 else (b, a)
+        return INITIAL + NICKNAME if any(full[0] == letter for full in nicknames.get(name, ())) else None
     if b in nicknames.get(a, ()) or a in nicknames.get(b, ()):
         return NICKNAME
     if v.endswith(".") or c.endswith("."):

@@ -234,6 +234,15 @@ def test_nicknames_as_frequent_as_the_full_name(spark):
     assert names.learn_nicknames(read) == {"dom": {"dominic"}, "ned": {"edgar"}, "edgar": {"ned"}}
 
 
+def test_nickname_beside_the_initial_of_the_full_name(spark):
+    data = [("person", f"Bo{k}tra, {g}", "1900-1980") for k in "ad" for g in ("Trudi", "Gertrude")] + [("person", f"Kufo{k}, Gertrude", "1950-") for k in "bdfg"]
+    data += [("person", f"Zela, {g}", f"{1900 + i}-1990") for i, g in enumerate(["Albert", "Penelope", "Harriet", "Winifred", "Kamila", "Oliver", "Rosalind", "Matthias", "Zacharias", "Humphrey", "Theresa", "Barnaby"])]
+    data += [("person", "Netuboru, Trudi Francoise", "1835-1899"), ("person", "Netuboru, G. F. T.", "1835-1899"), ("person", "Netuboru, H. F. T.", "1835-1899")]
+    df = spark.createDataFrame(data, "kind string, name string, dates string")
+    entity = {r["name"]: r["entity"] for r in names.attribute(df).collect()}
+    assert entity["Netuboru, Trudi Francoise"] == entity["Netuboru, G. F. T."] != entity["Netuboru, H. F. T."]
+
+
 def test_headings_of_odd_records(spark):
     f = "struct<leader:string,controlfield:array<struct<tag:string,value:string>>,datafield:array<struct<tag:string,ind1:string,ind2:string,subfield:array<struct<code:string,value:string>>>>>"
     h = lambda n, d=None: ("100", "1", " ", [("a", n), *([("d", d)] if d else [])])
