@@ -203,46 +203,73 @@ def _rarest(counts: np.ndarray, length: int) -> dict[int, list[int]]:
 
 
 def near_places(shard: _Shard, passage: list[str], length: int, least: int, slack: int) -> np.ndarray:
-    """Places near which at least ``least`` of ``length`` consecutive passage words stand, in order and within ``slack`` foreign words.
+    """Places near which ``least`` of ``length`` consecutive passage words stand in one text, in order and with at most ``slack`` words more among them than the passage has from the first to the last of them: a word in the place of a missing one does not count.
 
     Every stretch is approached from its length - least + 1 rarest words: a
-    stretch that keeps ``least`` words has one of them. From each place of such
-    a word the others are followed to both sides, each as soon after the last
-    as it stands; all stretches around the word are counted at once.
+    stretch that keeps ``least`` words has one of them. Places of such a word
+    without enough words of a stretch nearby, in whatever order, are left out
+    first; around the others the longest alignment is counted.
     """
     counts = np.array([shard.count.get(w, 0) for w in passage])
     last = len(passage) - length
-    anchors = set()
+    reach = length + slack - 1
+    anchors: dict[int, list[int]] = {}
     for s in range(last + 1):
         window = counts[s : s + length]
         if (window > 0).sum() >= least:
-            anchors.update(s + int(i) for i in np.argsort(window, kind="stable")[: length - least + 1])
+            for i in np.argsort(window, kind="stable")[: length - least + 1]:
+                anchors.setdefault(s + int(i), []).append(s)
     hits = []
-    for a in sorted(anchors):
+    for a, stretches in sorted(anchors.items()):
         at = shard.of(passage[a])
         if not len(at):
             continue
-        low, high = max(0, a - length + 1), min(len(passage), a + length)
+        low, high = stretches[0], stretches[-1] + length
         kept = np.zeros((len(at), high - low), np.int16)
         kept[:, a - low] = 1
-        for step, others in ((1, range(a + 1, high)), (-1, range(a - 1, low - 1, -1))):
-            place = at
-            for i in others:
-                place, kept[:, i - low] = _follow(shard.of(passage[i]), at, place, slack + abs(i - a), step)
+        for i in range(low, high):
+            if i != a:
+                kept[:, i - low] = _within(shard.of(passage[i]), at, (1, reach) if i > a else (-reach, -1))
         sums = np.concatenate([np.zeros((len(at), 1), np.int32), np.cumsum(kept, axis=1)], axis=1)
-        good = (sums[:, length:] - sums[:, :-length] >= least).any(axis=1)
+        at = at[(sums[:, length:] - sums[:, :-length] >= least).any(axis=1)]
+        if not len(at):
+            continue
+        right = _aligned(shard, passage[a + 1 : high], at, reach, 1)
+        left = _aligned(shard, passage[low:a][::-1], at, reach, -1)
+        good = np.zeros(len(at), bool)
+        for s in stretches:
+            for b in range(s, min(a, s + length - least) + 1):
+                for e in range(max(a, b + least - 1), s + length):
+                    before, after, span = left[a - b], right[e - a], e - b + slack
+                    for d in range(span + 1):
+                        good |= before[d] + 1 + after[span - d] >= least
         hits.append(at[good])
     return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
 
 
-def _follow(posts: np.ndarray, origin: np.ndarray, place: np.ndarray, reach: int, step: int):
+def _within(posts: np.ndarray, places: np.ndarray, span: tuple[int, int]) -> np.ndarray:
+    """Near which of ``places``, from the first to the last distance of ``span``, one of ``posts`` stands."""
     if not len(posts):
-        return place, False
-    at = np.searchsorted(posts, place, side="right") if step > 0 else np.searchsorted(posts, place, side="left") - 1
-    there = at < len(posts) if step > 0 else at >= 0
-    found = posts[np.clip(at, 0, len(posts) - 1)]
-    good = there & (np.abs(found - origin) <= reach)
-    return np.where(good, found, place), good
+        return np.zeros(len(places), bool)
+    at = np.searchsorted(posts, places + span[0])
+    return (at < len(posts)) & (posts[np.minimum(at, len(posts) - 1)] <= places + span[1])
+
+
+def _aligned(shard: _Shard, words: list[str], at: np.ndarray, reach: int, step: int) -> list[np.ndarray]:
+    """[n][d, place]: how many of the first n words, the last of them included, stand in order among the d places next to each place, in its text, to the right (step 1) or left (-1); far below 0 if the last does not."""
+    text = np.searchsorted(shard.starts, at, side="right") - 1
+    ends = np.append(shard.starts[1:] - GAP, np.iinfo(np.int64).max)
+    room = ends[text] - 1 - at if step > 0 else at - shard.starts[text]
+    row = np.zeros((reach + 1, len(at)), np.int16)
+    closed = [row]
+    for word in words:
+        posts, end = shard.of(word), np.full_like(row, -1000)
+        for d in range(1, reach + 1):
+            match = _in(at + step * d, posts) & (d <= room)
+            end[d] = np.maximum(end[d - 1], np.where(match, row[d - 1] + 1, -1000))
+        row = np.maximum(row, end)
+        closed.append(end)
+    return closed
 
 
 def _search(passages: list[tuple[int, list[str]]], length: int, near: tuple[int, int] | None):
@@ -268,7 +295,8 @@ def search(index: DataFrame, items: DataFrame, item: str, passage: str, *, lengt
     """(doc_id, item_id), distinct: texts that hold ``length`` consecutive words of a passage, of all passages in ``items``.
 
     near=(least, slack): instead, ``least`` of ``length`` words in order with at
-    most ``slack`` foreign words among them. The passages travel with the task;
+    most ``slack`` foreign words among them, not counting one in the place of
+    each missing word. The passages travel with the task;
     there may be ``most_items`` at a time, more are searched in several passes
     over the index. Passages shorter than ``length`` are never found; null
     passages and ids give nothing. Only the postings of passage words are read

@@ -110,6 +110,55 @@ def test_leaks_against_brute_force(spark):
     assert leak.search(index, items.filter("false"), "item_id", "passage").count() == 0
 
 
+def near_brute(passage, text, length=13, least=12, slack=3):
+    """Whether ``least`` words of a stretch stand in order, from the first to the last of them over at most ``slack`` places more than in the passage."""
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = row
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(max(last[j + 1], row[j], last[j] + (a == b)))
+        return row[-1]
+
+    for b in range(len(passage)):
+        for m in range(least, min(length, len(passage) - b) + 1):
+            for p in range(len(text)):
+                for q in range(p + least - 1, min(len(text), p + m + slack)):
+                    if text[p] == passage[b] and text[q] == passage[b + m - 1] and common(passage[b + 1 : b + m - 1], text[p + 1 : q]) + 2 >= least:
+                        return True
+    return False
+
+
+def test_near_leaks_against_brute_force(spark):
+    # the missing word stands again a little later
+    passage = "r1 r2 x the b the c d e f g h k"
+    cases = [(1000, passage.replace("x the b", "x foreign b")), (1001, passage.replace("the", "o")), (1002, passage.replace("e f", "e o o o f")), (1003, "o o " + passage.replace("e f", "e o o o o f"))]
+    # three others on each side are six
+    cases.append((1004, passage.replace("x the", "x o o o the").replace("e f", "e o o o f")))
+    # a word in the place of a missing one is none of the three
+    cases.append((1007, passage.replace("c d", "o d").replace("e f", "e o o o f")))
+    # no match across the border of two texts
+    cases += [(1005, " ".join(passage.split()[:7])), (1006, " ".join(passage.split()[7:]))]
+    draw = random.Random(3)
+    stock = ["the", "of", "a"] + [f"w{i}" for i in range(9)]
+    passages = [(0, passage)] + [(i, " ".join(draw.choice(stock) for _ in range(20))) for i in range(1, 8)]
+    for k in range(200):
+        words = draw.choice(passages)[1].split()
+        at = draw.randint(0, max(0, len(words) - 13))
+        part = words[at : at + 13]
+        for _ in range(draw.randint(0, 4)):
+            i = draw.randrange(len(part))
+            part[i : i + draw.randint(0, 1)] = [draw.choice([*stock, "o"])] * draw.randint(0, 1)
+        cases.append((k, " ".join([*(draw.choice(stock) for _ in range(draw.randint(0, 6))), *part, *(draw.choice(stock) for _ in range(draw.randint(0, 6)))])))
+    want = {(k, i) for k, t in cases for i, p in passages if near_brute(p.split(), t.split())}
+    assert {k for k, i in want if k >= 1000} == {1000, 1002, 1007}
+    index = leak.build_index(spark.createDataFrame(cases, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    items = spark.createDataFrame(passages, "item_id long, passage string")
+    assert set(rows(leak.search(index, items, "item_id", "passage", near=(12, 3)))) == want
+
+
 def test_words():
     assert leak.words_of("Die STRASSE—3rd, é_x") == ["die", "strasse", "3rd", "é", "x"] and leak.words_of("") == []
     assert scan.code_points("a中".encode()).tolist() == [97, 0x4E2D]
