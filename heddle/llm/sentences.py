@@ -1,19 +1,30 @@
 """Sentence units across languages and scripts, in SQL expressions.
 
-The text keeps its length throughout: whatever might be taken for a sentence
-end and is none (in abbreviations, initials, ordinals, decimals, addresses,
-quotations and brackets) is replaced by a private-use placeholder of one
-character, then terminators of each script end a unit where what follows allows
-it, and the units are read from the original text by their positions. Nothing
-depends on a column that states the language: rules go by script, word lists
-hold for all languages together.
+A text is cut at its blank lines into blocks. A block keeps its length
+throughout: whatever might be taken for a sentence end and is none (in
+decimals, addresses, abbreviations, initials, ordinals, quotations and
+brackets) is replaced by a private-use placeholder of one character, then
+terminators of each script end a unit where what follows allows it, and the
+units are read from the original text by their positions. Blocks without any
+terminator, most of headings and captions, are one unit and skip the passes.
+
+Abbreviations are learnt from all texts: what stands before a full stop and is
+followed by a small letter or a number again and again, but hardly ever ends a
+block, ends no sentence. A list of common ones serves as seed. Nothing depends
+on a column that states the language: rules go by script, words hold for all
+languages together.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import stored
+
 # Placeholders, one character each: end of a unit, the two sides of a quotation
 # whose marks have no side of their own, a stop that ends nothing.
 END, OPEN, CLOSE, STOP = "\uE000", "\uE001", "\uE002", "\uE003"
@@ -40,69 +51,103 @@ STARTERS = (
 # Words before a day or number whose full stop makes it an ordinal.
 ORDINAL_BEFORE = "Am am Der der Dem dem Den den Des des Vom vom Zum zum Bis bis Im im Das das Die die Ab ab Seit seit"
 
+# Company forms, and what goes on with the same name behind them.
+COMPANY = "Co Corp Inc Ltd Cie"
+COMPANY_GOES_ON = "Ltd KG Inc Jr Sr KGaA OHG"
+
 _B = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _L = r" \t\f\r\x0B\x85\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"  # blanks within a line
 
+
+
+def _signs(latin: str, others: str, negated: bool = False) -> str:
+    """A class of signs, those from U+0600 on behind one comparison: the engine asks for the members of a class one by one, and most letters are none of them."""
+    inner = "".join("\\" + c if c in '()[]"' else c for c in latin)
+    return f"[{'^' * negated}{inner}[\\u0600-\\uFFFF&&[{others}]]]"
+
+
 # Marks that open and that close a quotation or bracket; apostrophes are left out, they stand in words.
 _OPENING, _CLOSING = "“«‹「『（【《([", "”»›」』）】》)]"
-#: What may stand between a terminator and the blank behind it.
-_CLOSERS = rf"(?:[ \xA0\u202F]?{CLOSE}|[’'“])"
 
 
 def _words(*lists: str) -> str:
     return "|".join(sorted({w for text in lists for w in text.split()}, key=lambda w: (-len(w), w)))
 
 
-def _behind(*lists: str) -> str:
+def _choice(words: Iterable[str]) -> str:
+    """One of the words, told apart by their first letter first."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted(words):
+        by_first.setdefault(word[0], []).append(re.escape(word[1:]))
+    return "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+
+
+def _behind(words: Iterable[str]) -> str:
     """Looks back for one of the words, length by length, so that each is tried at one place."""
     by_length: dict[int, set[str]] = {}
-    for text in lists:
-        for word in text.split():
-            by_length.setdefault(len(word), set()).add(word)
-    return "|".join(rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(sorted(words))})\.)" for _, words in sorted(by_length.items()))
+    for word in words:
+        by_length.setdefault(len(word.encode("utf-16-le")) // 2, set()).add(word)
+    return "|".join(rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_choice(some)})\.)" for _, some in sorted(by_length.items()))
+
 
+def _marks(signs: str, more: str = "", negated: bool = False) -> str:
+    return _signs("".join(c for c in signs if c < "\u0600"), "".join(c for c in signs if c >= "\u0600") + more, negated)
 
-#: Blank lines with blanks in them.
-ODD_LINES = rf"\n([{_L}]++\n)"
+
+#: The two sides of quotations and brackets, with the placeholders of those that have no side of their own.
+_O, _C = _marks(_OPENING + OPEN), _marks(_CLOSING + CLOSE)
 #: Quotations that open low and close with a mark that opens others, and those in straight marks.
 LOW = rf"„([^„“”{END}]*+)[“”]"
 STRAIGHT = rf'"([^"{END}]*+)"'
-_FREE = rf"[^{OPEN}{CLOSE}{END}]*+"
-_CALM = rf"[^.!?…।؟。！？｡{OPEN}{CLOSE}{END}]*+"
+_FREE = _marks(_OPENING + _CLOSING + OPEN + CLOSE + END, negated=True) + "*+"
+_CALM = _marks(".!?…।؟。！？｡" + _OPENING + _CLOSING + OPEN + CLOSE + END, negated=True) + "*+"
 #: Terminators inside a quotation or bracket that is closed in the same block (with whole pairs in it at most), one after the other; not the one right before its end.
 INSIDE = (
-    rf"((?:{OPEN}(?={_FREE}(?:{OPEN}{_FREE}{CLOSE}{_FREE})*+{CLOSE})|(?<!^)\G){_CALM}(?:{OPEN}{_CALM}{CLOSE}{_CALM})*+)"
-    rf"[.!?…।؟。！？｡](?![ \xA0\u202F]?{CLOSE})"
-)
-LEFT_OUT = rf"…(?={CLOSE})"
-#: Full stops of abbreviations, initials, ordinals and numbers of paragraphs and headings.
-NO_END = (
-    rf"\.(?=[{_B}])(?:"
-    # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
-    rf"{_behind(*ABBREVIATIONS.values())}"
-    rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ARABIC)})\.)"
-    r"|(?<=[ऀ-෿]\.)"
-    # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
-    r"|(?:(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\.)|(?<=[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]\p{L}\.))(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
-    rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
-    # the second part of т. е., z. B. and the like before a small letter needs no rule: nothing ends before a small letter
-    r"|(?<=(?:^|[^\p{L}])[Вв] \d{4} г\.)"
-    # company forms with more to come
-    rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:Co|Corp|Inc|Ltd|Cie)\.)(?=[{_B}]++(?:Ltd|KG|Inc|Jr|Sr|KGaA|OHG)(?![\p{{L}}\p{{M}}]))"
-    # ordinals before a capital
-    rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ORDINAL_BEFORE)})[{_B}]\d{{1,2}}\.)(?=[{_B}]++\p{{Lu}})"
-    # a number, letter or Roman number that begins a block
-    rf"|(?<=(?:^|{END})[{_B}]{{0,8}}{OPEN}?(?:\d{{1,4}}|[IVXLC]{{1,5}}|\p{{L}})\.)(?=[{_B}])"
-    r"|(?<=\./\.)"
-    r")"
+    rf"((?:{_O}(?={_FREE}(?:{_O}{_FREE}{_C}{_FREE})*+{_C})|(?<!^)\G){_CALM}(?:{_O}{_CALM}{_C}{_CALM})*+)"
+    rf"{_marks('.!?…।؟。！？｡')}(?![ \xA0\u202F]?{_C})"
 )
-_NEXT = rf"[\p{{Lu}}\p{{Lt}}\p{{N}}„\"{OPEN}¿¡█▇■§_#*]"
+LEFT_OUT = rf"…(?={_C})"
+#: What may stand between a terminator and the blank behind it.
+_CLOSERS = rf"(?:[ \xA0\u202F]?{_C}|[’'])"
+#: Stops inside decimals, dates, addresses and what is joined by full stops.
+JOINED = r"[.?!](?<=[\p{L}\p{N}/][.?!])(?=[\p{L}\p{N}/])"
+SEED = frozenset(w for text in ABBREVIATIONS.values() for w in text.split())
+
+
+def no_end(learnt: Iterable[str] = ()) -> str:
+    """The pattern of stops that end nothing: in decimals and addresses, of abbreviations, initials, ordinals and numbers of paragraphs and headings."""
+    return (
+        rf"{JOINED}|\.(?=[{_B}])(?:(?<=\p{{N}}\.)(?:"
+        # ordinals before a capital
+        rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ORDINAL_BEFORE)})[{_B}]\d{{1,2}}\.)(?=[{_B}]++\p{{Lu}})"
+        # a number that begins a block
+        rf"|(?<=^[{_B}]{{0,8}}{_O}?\d{{1,4}}\.)"
+        r")|(?<=[\p{L}\p{M}]\.)(?:"
+        # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
+        rf"{_behind(SEED | set(learnt))}"
+        rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ARABIC)})\.)"
+        r"|(?<=[ऀ-෿]\.)"
+        # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
+        r"|(?:(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\.)|(?<=[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]\p{L}\.))(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
+        rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
+        # the second part of т. е., z. B. and the like before a small letter needs no rule: nothing ends before a small letter
+        r"|(?<=(?:^|[^\p{L}])[Вв] \d{4} г\.)"
+        # company forms with more to come
+        rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(COMPANY)})\.)(?=[{_B}]++(?:{_words(COMPANY_GOES_ON)})(?![\p{{L}}\p{{M}}]))"
+        # a letter or Roman number that begins a block
+        rf"|(?<=^[{_B}]{{0,8}}{_O}?(?:[IVXLC]{{1,5}}|\p{{L}})\.)"
+        r")|(?<=\./\.)"
+        r")"
+    )
+
+
+_NEXT = rf"[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡§_#*\"„█▇■{_O}]"
 #: Ends by script; each match is followed by END. First any script: something that can begin a sentence follows, or a letter of a
 #: script without capitals, before which a question at the end of a quotation does not end the sentence around it.
-COMMON = rf"[.!?…؟]++(?:{_CLOSERS}*+(?=[{_B}]++{_NEXT})|(?:(?<=\.){_CLOSERS}*+)?(?=[{_B}]++\p{{Lo}}))"
+COMMON = rf"{_signs('.!?', '…؟')}++(?:{_CLOSERS}*+(?=[{_B}]++{_NEXT})|(?:(?<=\.){_CLOSERS}*+)?(?=[{_B}]++\p{{Lo}}))"
 INDIC = rf"[।॥]++{_CLOSERS}*+|[!?]++(?<=[\u0900-\u0DFF][!?]{{1,3}})(?=[{_B}]++\p{{L}})"
 #: Chinese and Japanese: no blank follows; a quotation goes on into a particle, a comma or, after a question, anything.
-CHINESE = rf"[。｡！？]++(?![{CLOSE}。｡！？])|[。｡]++{CLOSE}++(?![\u3040-\u309F，、,：；:;{CLOSE}])"
+CHINESE = rf"[。｡！？]++(?!{_C}|[。｡！？])|[。｡]++{_C}++(?![\u3040-\u309F，、,：；:;]|{_C})"
 _SOUTHEAST = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF"
 #: Thai, Lao, Burmese, Khmer: a blank between two words of the script, not beside the word 'with' of a party line.
 THAI = rf"[{_SOUTHEAST}](?<!กับ)(?=[{_B}]++(?!กับ)[{_SOUTHEAST}])"
@@ -128,19 +173,24 @@ def _any(*signs: str):
     return there
 
 
-def marked(text: Column) -> Column:
-    """The text, with placeholders for what ends nothing and END after each unit or more often; without the ENDs it has the text's length."""
-    out = _let(text, lambda t: F.when(_any(*MASKS)(t), F.translate(t, MASKS, "\uFFFD" * len(MASKS))).otherwise(t))
-    out = _where(out, lambda t: t.rlike(ODD_LINES), ODD_LINES, f"{END}\n$1")
-    out = F.replace(out, F.lit("\n\n"), F.lit(f"{END}\n\n"))
-    out = _where(out, _any("„"), LOW, f"{OPEN}$1{CLOSE}")
-    out = _where(out, _any('"'), STRAIGHT, f"{OPEN}$1{CLOSE}")
-    for signs, by in ((_OPENING, OPEN), (_CLOSING, CLOSE)):
-        out = F.regexp_replace(out, "[" + "".join("\\" + c if c in "()[]" else c for c in signs) + "]", by)
-    out = _where(out, _any(OPEN), INSIDE, f"$1{STOP}")
-    out = _where(out, _any("…" + CLOSE), LEFT_OUT, STOP)
-    out = F.regexp_replace(out, NO_END, STOP)
-    out = F.regexp_replace(out, COMMON, f"$0{END}")
+#: What begins a block: a line break followed by a blank line.
+BLANK_LINE = rf"\n(?=[{_L}]*+\n)"
+#: A block without any of these has one unit.
+TERMINATORS = _signs(".!?", "…।॥؟。！？｡" + _SOUTHEAST)
+
+
+def marked(block: Column, learnt: Iterable[str] = ()) -> Column:
+    """A block, with placeholders for what ends nothing and END after each unit or more often; without the ENDs it has the block's length. Private-use characters of the block itself must have been replaced."""
+
+    def quoted(out: Column) -> Column:
+        out = _where(out, _any("„"), LOW, f"{OPEN}$1{CLOSE}")
+        out = _where(out, _any('"'), STRAIGHT, f"{OPEN}$1{CLOSE}")
+        out = F.regexp_replace(out, INSIDE, f"$1{STOP}")
+        return _where(out, _any("…"), LEFT_OUT, STOP)
+
+    out = _let(block, lambda t: F.when(t.rlike(_marks("„\"" + _OPENING)), quoted(t)).otherwise(t))
+    out = _where(out, _any("."), no_end(learnt), STOP)
+    out = _where(out, _any(".", "!", "?", "…", "؟"), COMMON, f"$0{END}")
     out = _where(out, _any("।", "॥"), INDIC, f"$0{END}")
     out = _where(out, _any("。", "｡", "！", "？"), CHINESE, f"$0{END}")
     return _where(out, lambda t: t.rlike(f"[{_SOUTHEAST}]"), THAI, f"$0{END}")
@@ -148,22 +198,30 @@ def marked(text: Column) -> Column:
 
 #: The characters of _B.
 BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Units whose ends are summed at once; longer texts take two levels, so that the work stays proportional to the text.
+#: Lengths that are summed at once; more of them take two levels, so that the work stays proportional to the text.
 CHUNK = 64
 
 
-def ends(text: Column) -> Column:
+def ends(text: Column, learnt: Iterable[str] = ()) -> Column:
     """The positions (code points from the start) where the units of a text end; empty for texts without any sign but blanks, null for null."""
-    parts = F.transform(
-        F.split(marked(text), END), lambda x: F.struct(F.length(x).alias("whole"), F.length(F.rtrim(x, F.lit(BLANKS))).alias("sign"))
-    )
+    learnt = tuple(learnt)
+
+    def block_ends(begin: Column, block: Column) -> Column:
+        def units(b: Column) -> Column:
+            lengths = F.filter(F.transform(F.split(marked(b, learnt), END), F.length), lambda n: n > 0)
+            return _let(lengths, lambda n: F.slice(_sums(begin, n), F.lit(2), F.size(n)))
+
+        bare = F.when(F.right(block, F.lit(1)).isin(*BLANKS), F.rtrim(block, F.lit(BLANKS))).otherwise(block)
+        return _let(bare, lambda b: (
+            F.when(b == "", F.array().cast("array<int>")).when(b.rlike(TERMINATORS), units(b)).otherwise(F.array(begin + F.length(b)))
+        ))
 
-    def positions(every: Column) -> Column:
-        whole = F.transform(every, lambda x: x["whole"])
-        units = F.zip_with(_begins(whole), every, lambda begin, x: F.when(x["sign"] > 0, begin + x["sign"]))
-        return F.filter(units, lambda p: p.isNotNull())
+    def of(blocks: Column) -> Column:
+        begins = _sums(F.lit(0), F.transform(blocks, lambda b: F.length(b) + 1))
+        return F.flatten(F.zip_with(F.slice(begins, F.lit(1), F.size(blocks)), blocks, block_ends))
 
-    return F.when(text.isNotNull(), _let(parts, positions))
+    clean = F.when(_any(*MASKS)(text), F.translate(text, MASKS, "\uFFFD" * len(MASKS))).otherwise(text)
+    return F.when(text.isNotNull(), _let(F.split(clean, BLANK_LINE), of))
 
 
 def _running(start: Column, numbers: Column) -> Column:
@@ -171,34 +229,71 @@ def _running(start: Column, numbers: Column) -> Column:
     return F.aggregate(numbers, F.array(start), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
 
-def _begins(lengths: Column) -> Column:
-    """Where parts of these lengths begin: summed within chunks, from where the chunks begin."""
+def _sums(start: Column, numbers: Column) -> Column:
+    """As _running; long lists are summed within chunks, from where the chunks begin."""
 
-    def chunked(numbers: Column) -> Column:
-        last = F.floor((F.size(numbers) - 1) / F.lit(CHUNK)).cast("int")
-        return _let(F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(numbers, c * CHUNK + 1, F.lit(CHUNK))), summed)
+    def chunked(n: Column) -> Column:
+        last = F.floor((F.size(n) - 1) / F.lit(CHUNK)).cast("int")
+        return _let(F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(n, c * CHUNK + 1, F.lit(CHUNK))), lambda chunks: summed(chunks))
 
     def summed(chunks: Column) -> Column:
         totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x))
-        return F.flatten(F.zip_with(chunks, F.slice(_running(F.lit(0), totals), 1, F.size(chunks)), lambda c, begin: F.slice(_running(begin, c), 1, F.size(c))))
+        inner = lambda begins: F.flatten(F.zip_with(chunks, F.slice(begins, F.lit(2), F.size(chunks)), lambda c, end: F.slice(
+            _running(end - F.aggregate(c, F.lit(0), lambda a, x: a + x), c), F.lit(2), F.size(c))))
+        return F.concat(F.array(start), _let(_running(start, totals), inner))
 
-    return _let(lengths, chunked)
+    return _let(numbers, lambda n: F.when(F.size(n) <= CHUNK, _running(start, n)).otherwise(chunked(n)))
 
 
-def sentence_ends(frame: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, end_pos): one row for each unit of each text, without a shuffle.
+#: A word that often stands before a stop: at least this share of all stops, and this often.
+LEAST_SHARE, LEAST_TIMES = 1e-4, 20
+#: An abbreviation: so many of its stops have a small letter or number behind them, and no more end a block.
+GOES_ON, AT_END = 0.25, 0.005
+LONGEST = 8
 
-    Null, empty and blank texts give no row. Repeated rows give their units
-    each time. A block (what stands between blank lines) without a sentence
-    end is one unit.
+
+def learn_abbreviations(frame: DataFrame, text: str) -> list[str]:
+    """Words whose full stop ends no sentence, from all texts.
+
+    Counted are the words before a full stop and a blank; a word is learnt when
+    it makes up LEAST_SHARE of all these stops (so there are 1/LEAST_SHARE of
+    them at most), GOES_ON of its stops are followed by a small letter or a
+    number and no more than AT_END of them end a block. Counts are combined
+    before the shuffle, one row a distinct word of up to LONGEST signs.
+    """
+    pieces = frame.filter(F.col(f"`{text}`").contains(".")).select(F.split(F.col(f"`{text}`"), rf"\.(?=[{_B}]|$)").alias("p"))
+    last = lambda x: F.substring_index(F.substring_index(F.right(x, F.lit(LONGEST + 1)), " ", -1), "\n", -1)
+    # a few signs tell what follows: nothing or a blank line, a small letter or a number, or something else
+    after = lambda x: F.when(x.rlike(rf"^[{_B}]*$|\n[{_L}]*\n"), 2).when(x.rlike(rf"^[{_B}]+[\p{{Ll}}\p{{N}}]"), 1).otherwise(0)
+    pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.struct(
+        last(a).alias("word"), F.substring(b, 1, 4).alias("then")))
+    stops = pieces.filter(F.size("p") > 1).select(F.inline(pairs))
+    counts = stops.select("word", after(F.col("then")).alias("next")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("next") == 1).cast("long")).alias("on"), F.sum((F.col("next") == 2).cast("long")).alias("end"))
+    counts = stored(counts, "stops")
+    least = max(LEAST_TIMES, LEAST_SHARE * (counts.agg(F.sum("n")).first()[0] or 0))
+    found = counts.filter((F.col("n") >= least) & (F.col("on") >= GOES_ON * F.col("n")) & (F.col("end") <= AT_END * F.col("n")))
+    found = found.filter(F.col("word").rlike(r"^[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$") & F.length("word").between(2, LONGEST))
+    return sorted(r["word"] for r in found.select("word").collect())
+
+
+def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] | None = None) -> DataFrame:
+    """(key, end_pos): one row for each unit of each text, without a shuffle of texts.
+
+    ``learnt``: abbreviations beside the seed; None learns them from ``frame``
+    in a pass of its own. Null, empty and blank texts give no row. Repeated
+    rows give their units each time. A block (what stands between blank lines)
+    without a sentence end is one unit.
     """
-    return frame.select(F.col(f"`{key}`").alias(key), F.explode(ends(F.col(f"`{text}`"))).alias("end_pos"))
+    learnt = learn_abbreviations(frame, text) if learnt is None else learnt
+    return frame.select(F.col(f"`{key}`").alias(key), F.explode(ends(F.col(f"`{text}`"), learnt)).alias("end_pos"))
 
 
-def sentences(frame: DataFrame, key: str, text: str) -> DataFrame:
+def sentences(frame: DataFrame, key: str, text: str, learnt: Iterable[str] | None = None) -> DataFrame:
     """(key, unit_no, end_pos, unit): the units with their text, numbered from 1, without the blanks around them."""
+    learnt = learn_abbreviations(frame, text) if learnt is None else learnt
     t = F.col("t")
-    found = frame.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("t"), ends(F.col(f"`{text}`")).alias("e"))
+    found = frame.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("t"), ends(F.col(f"`{text}`"), learnt).alias("e"))
     parts = found.select(key, "t", "e", F.posexplode("e").alias("i", "end_pos"))
     begin = F.when(F.col("i") > 0, F.try_element_at("e", F.col("i"))).otherwise(0)
     unit = F.regexp_replace(F.substring(t, begin + 1, F.col("end_pos") - begin), rf"^[{_B}]+", "")

@@ -310,3 +310,29 @@ def test_nothing_else_imports_this():
     for p in home.parent.rglob("*.py"):
         if home not in p.parents:
             assert "heddle.llm" not in p.read_text(), p
+
+
+def test_stops_in_numbers_and_addresses_are_masked(spark):
+    text = "Pay 3.14 at https://x.invalid/a?b=1.2 or mail a.b@c.invalid now. Done."
+    row = spark.createDataFrame([(text,)], "t string").select(sentences.marked(F.col("t")).alias("m")).first()["m"]
+    assert row.count(sentences.STOP) == 6 and row.replace(sentences.STOP, ".").count(".") == 8
+    assert [p for p in row.split(sentences.END) if p] == [row[: row.index("now.") + 4], " Done."]
+
+
+def test_abbreviations_are_learnt(spark):
+    # 'xyzq.' goes on with small letters or numbers and never ends a block; 'usw.' does
+    texts = [f"It was xyzq. {n} and xyzq. Later there. Kisten usw. klein\n\nMehr usw.\n\nEnd." for n in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None), (98, ""), (97, "no stop")], "doc_id long, text string")
+    assert sentences.learn_abbreviations(df, "text") == ["xyzq"]
+    ends = [r["end_pos"] for r in sentences.sentence_ends(df.filter("doc_id = 0"), "doc_id", "text", ["xyzq"]).orderBy("end_pos").collect()]
+    assert texts[0][: ends[0]].endswith("Later there.")
+    assert sentences.learn_abbreviations(df.filter("false"), "text") == []
+
+
+def test_long_texts_without_blanks_and_many_blocks(spark):
+    blocks = 3 * sentences.CHUNK + 2
+    df = spark.createDataFrame([(1, "Yes.\n\n" * blocks), (2, "x" * 300_000 + ". Y."), (3, "Ja so. Und.")], "doc_id long, text string")
+    got = {}
+    for r in sentences.sentence_ends(df, "doc_id", "text", ()).orderBy("end_pos").collect():
+        got.setdefault(r["doc_id"], []).append(r["end_pos"])
+    assert got == {1: [4 + 6 * i for i in range(blocks)], 2: [300_001, 300_004], 3: [7, 12]}
