@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +40,8 @@ ABBREVIATIONS = {
     "references in Cyrillic": "ст см См ср Ср стр гл пп п рис Сб сб реш пост др тыс млн млрд ул просп пер пл обл кв им проф акад гр",
     "before a further part of the name": "Bros u",
 }
-# Abbreviations of Indic scripts, whose sentences end otherwise, are any; of Arabic, these.
-ARABIC = "د م ص أ"
+# What ends in one letter and yet may end a sentence: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
+ENDS_ALL_THE_SAME = r"[aApP]\.[mM]|т\. ?[дп]|кв\. ?м|S\. ?[AL]|e\. ?V|\d г"
 # Words that begin a sentence, after initials.
 STARTERS = (
     "The This That These Those We It He She They In On At As If But And No Nor By For To What Why Who When Where Whether Did Does Under Section "
@@ -55,8 +56,9 @@ ORDINAL_BEFORE = "Am am Der der Dem dem Den den Des des Vom vom Zum zum Bis bis
 COMPANY = "Co Corp Inc Ltd Cie"
 COMPANY_GOES_ON = "Ltd KG Inc Jr Sr KGaA OHG"
 
-_B = r"\s\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_L = r" \t\f\r\x0B\x85\xA0\u1680\u2000-\u200A\u202F\u205F\u3000"  # blanks within a line
+# Blanks, and those within a line. Single signs of the lower range make a bit set; those above stand behind one comparison.
+_B = r"\t\n\x0B\f\r \x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]]"
+_L = r"\t\x0B\f\r \x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200A\u202F\u205F\u3000]]"
 
 
 
@@ -87,7 +89,7 @@ def _behind(words: Iterable[str]) -> str:
     by_length: dict[int, set[str]] = {}
     for word in words:
         by_length.setdefault(len(word.encode("utf-16-le")) // 2, set()).add(word)
-    return "|".join(rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_choice(some)})\.)" for _, some in sorted(by_length.items()))
+    return "|".join(rf"(?<=(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{_choice(some)})\.{END})" for _, some in sorted(by_length.items()))
 
 
 def _marks(signs: str, more: str = "", negated: bool = False) -> str:
@@ -114,34 +116,12 @@ JOINED = r"[.?!](?<=[\p{L}\p{N}/][.?!])(?=[\p{L}\p{N}/])"
 SEED = frozenset(w for text in ABBREVIATIONS.values() for w in text.split())
 
 
-def no_end(learnt: Iterable[str] = ()) -> str:
-    """The pattern of stops that end nothing: in decimals and addresses, of abbreviations, initials, ordinals and numbers of paragraphs and headings."""
-    return (
-        rf"{JOINED}|\.(?=[{_B}])(?:(?<=\p{{N}}\.)(?:"
-        # ordinals before a capital
-        rf"(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ORDINAL_BEFORE)})[{_B}]\d{{1,2}}\.)(?=[{_B}]++\p{{Lu}})"
-        # a number that begins a block
-        rf"|(?<=^[{_B}]{{0,8}}{_O}?\d{{1,4}}\.)"
-        r")|(?<=[\p{L}\p{M}]\.)(?:"
-        # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
-        rf"{_behind(SEED | set(learnt))}"
-        rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ARABIC)})\.)"
-        r"|(?<=[ऀ-෿]\.)"
-        # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
-        r"|(?:(?<=(?<![\p{L}\p{M}\p{N}])\p{L}\.)|(?<=[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF]\p{L}\.))(?<![aApP]\.[mM]\.)(?<!т\. ?[дп]\.)(?<!кв\. ?м\.)(?<!S\. ?[AL]\.)(?<!e\. ?V\.)(?<!\d г\.)"
-        rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
-        # the second part of т. е., z. B. and the like before a small letter needs no rule: nothing ends before a small letter
-        r"|(?<=(?:^|[^\p{L}])[Вв] \d{4} г\.)"
-        # company forms with more to come
-        rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(COMPANY)})\.)(?=[{_B}]++(?:{_words(COMPANY_GOES_ON)})(?![\p{{L}}\p{{M}}]))"
-        # a letter or Roman number that begins a block
-        rf"|(?<=^[{_B}]{{0,8}}{_O}?(?:[IVXLC]{{1,5}}|\p{{L}})\.)"
-        r")|(?<=\./\.)"
-        r")"
-    )
+_NEXT = rf"[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡§_#*\"„█▇■{_O}]"
+#: A number, letter or Roman number that begins a block; it is looked for in the first signs alone.
+NUMBER = rf"^([{_B}]{{0,8}}{_O}?(?:\d{{1,4}}|[IVXLC]{{1,5}}|\p{{L}}))\.(?=[{_B}])"
+NUMBER_WITHIN = 16
 
 
-_NEXT = rf"[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡§_#*\"„█▇■{_O}]"
 #: Ends by script; each match is followed by END. First any script: something that can begin a sentence follows, or a letter of a
 #: script without capitals, before which a question at the end of a quotation does not end the sentence around it.
 COMMON = rf"{_signs('.!?', '…؟')}++(?:{_CLOSERS}*+(?=[{_B}]++{_NEXT})|(?:(?<=\.){_CLOSERS}*+)?(?=[{_B}]++\p{{Lo}}))"
@@ -153,14 +133,44 @@ _SOUTHEAST = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF"
 THAI = rf"[{_SOUTHEAST}](?<!กับ)(?=[{_B}]++(?!กับ)[{_SOUTHEAST}])"
 
 
+def no_end(learnt: Iterable[str] = ()) -> str:
+    """The pattern of stops that end nothing: in decimals and addresses, and, where COMMON has set an END, of abbreviations, initials and ordinals."""
+    return (
+        rf"{JOINED}|\.{END}(?:(?<=[\p{{L}}\p{{M}}]\.{END})(?:"
+        # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
+        rf"{_behind(SEED | set(learnt))}"
+        rf"|(?<=[ऀ-෿]\.{END})"
+        # one letter: initials and the like. Not the last of: p.m., т. д., кв. м., S.A., S.L., e. V., a year's г.
+        rf"|(?<=(?:(?<![\p{{L}}\p{{M}}\p{{N}}])|[\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF])\p{{L}}\.{END})(?<!(?:{ENDS_ALL_THE_SAME})\.{END})"
+        rf"(?![{_B}]++(?:{'|'.join(STARTERS)})(?![\p{{L}}\p{{M}}]))"
+        # a year is no end of its sentence before a capital
+        rf"|(?<=(?:^|[^\p{{L}}])[Вв] \d{{4}} г\.{END})"
+        # company forms with more to come
+        rf"|(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(COMPANY)})\.{END})(?=[{_B}]++(?:{_words(COMPANY_GOES_ON)})(?![\p{{L}}\p{{M}}]))"
+        r")"
+        # ordinals before a capital
+        rf"|(?<=\p{{N}}\.{END})(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ORDINAL_BEFORE)})[{_B}]\d{{1,2}}\.{END})(?=[{_B}]++\p{{Lu}})"
+        rf"|(?<=\./\.{END})"
+        r")"
+    )
+
+
 def _let(value: Column, use) -> Column:
     """use(value) with the value computed once; a plain column would be worked out again for each mention."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _where(text: Column, there, pattern: str, by: str) -> Column:
-    """regexp_replace where ``there`` holds; other texts are spared the pass."""
-    return _let(text, lambda t: F.when(there(t), F.regexp_replace(t, pattern, by)).otherwise(t))
+#: What begins a block: a line break followed by a blank line.
+BLANK_LINE = rf"\n(?=[{_L}]*+\n)"
+#: A block without any of these has one unit.
+TERMINATORS = _signs(".!?", "…।॥؟。！？｡" + _SOUTHEAST)
+
+
+def _replaced(pattern: str, by: str, there=None):
+    """A step: regexp_replace where ``there`` holds; other blocks are spared the pass."""
+    if there is None:
+        return lambda t: F.regexp_replace(t, pattern, by)
+    return lambda t: F.when(there(t), F.regexp_replace(t, pattern, by)).otherwise(t)
 
 
 def _any(*signs: str):
@@ -173,27 +183,26 @@ def _any(*signs: str):
     return there
 
 
-#: What begins a block: a line break followed by a blank line.
-BLANK_LINE = rf"\n(?=[{_L}]*+\n)"
-#: A block without any of these has one unit.
-TERMINATORS = _signs(".!?", "…।॥؟。！？｡" + _SOUTHEAST)
+def steps(learnt: Iterable[str] = ()) -> list:
+    """What a block goes through, one after the other. A block of ASCII alone has nothing of other scripts."""
+    foreign = lambda there: lambda t: (F.octet_length(t) != F.length(t)) & there(t)
+    return [
+        _replaced(NUMBER, f"$1{STOP}", lambda t: F.substring(t, 1, NUMBER_WITHIN).rlike(NUMBER)),
+        _replaced(LOW, f"{OPEN}$1{CLOSE}", _any("„")),
+        _replaced(STRAIGHT, f"{OPEN}$1{CLOSE}", _any('"')),
+        _replaced(INSIDE, f"$1{STOP}", lambda t: t.rlike(_O)),
+        _replaced(LEFT_OUT, STOP, _any("…")),
+        _replaced(COMMON, f"$0{END}"),
+        _replaced(no_end(learnt), STOP),
+        _replaced(INDIC, f"$0{END}", foreign(_any("।", "॥"))),
+        _replaced(CHINESE, f"$0{END}", foreign(_any("。", "｡", "！", "？"))),
+        _replaced(THAI, f"$0{END}", foreign(lambda t: t.rlike(f"[{_SOUTHEAST}]"))),
+    ]
 
 
 def marked(block: Column, learnt: Iterable[str] = ()) -> Column:
-    """A block, with placeholders for what ends nothing and END after each unit or more often; without the ENDs it has the block's length. Private-use characters of the block itself must have been replaced."""
-
-    def quoted(out: Column) -> Column:
-        out = _where(out, _any("„"), LOW, f"{OPEN}$1{CLOSE}")
-        out = _where(out, _any('"'), STRAIGHT, f"{OPEN}$1{CLOSE}")
-        out = F.regexp_replace(out, INSIDE, f"$1{STOP}")
-        return _where(out, _any("…"), LEFT_OUT, STOP)
-
-    out = _let(block, lambda t: F.when(t.rlike(_marks("„\"" + _OPENING)), quoted(t)).otherwise(t))
-    out = _where(out, _any("."), no_end(learnt), STOP)
-    out = _where(out, _any(".", "!", "?", "…", "؟"), COMMON, f"$0{END}")
-    out = _where(out, _any("।", "॥"), INDIC, f"$0{END}")
-    out = _where(out, _any("。", "｡", "！", "？"), CHINESE, f"$0{END}")
-    return _where(out, lambda t: t.rlike(f"[{_SOUTHEAST}]"), THAI, f"$0{END}")
+    """A block, with placeholders for what ends nothing and END after each unit or more often. Private-use characters of the block itself must have been replaced."""
+    return reduce(_let, steps(learnt), block)
 
 
 #: The characters of _B.
@@ -202,26 +211,37 @@ BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(
 CHUNK = 64
 
 
+def blocks(text: Column) -> Column:
+    """The blocks of a text; private-use characters that serve as placeholders here are replaced."""
+    clean = F.when(_any(*MASKS)(text), F.translate(text, MASKS, "\uFFFD" * len(MASKS))).otherwise(text)
+    return F.split(clean, BLANK_LINE)
+
+
+def _bare(block: Column) -> Column:
+    """Without the blanks at its end."""
+    return F.when(F.right(block, F.lit(1)).isin(*BLANKS), F.rtrim(block, F.lit(BLANKS))).otherwise(block)
+
+
+def _ends(begin: Column, marked_block: Column) -> Column:
+    """Where the units of a marked block end."""
+    lengths = F.filter(F.transform(F.split(marked_block, END), F.length), lambda n: n > 0)
+    return _let(lengths, lambda n: F.slice(_sums(begin, n), F.lit(2), F.size(n)))
+
+
 def ends(text: Column, learnt: Iterable[str] = ()) -> Column:
     """The positions (code points from the start) where the units of a text end; empty for texts without any sign but blanks, null for null."""
     learnt = tuple(learnt)
 
     def block_ends(begin: Column, block: Column) -> Column:
-        def units(b: Column) -> Column:
-            lengths = F.filter(F.transform(F.split(marked(b, learnt), END), F.length), lambda n: n > 0)
-            return _let(lengths, lambda n: F.slice(_sums(begin, n), F.lit(2), F.size(n)))
-
-        bare = F.when(F.right(block, F.lit(1)).isin(*BLANKS), F.rtrim(block, F.lit(BLANKS))).otherwise(block)
-        return _let(bare, lambda b: (
-            F.when(b == "", F.array().cast("array<int>")).when(b.rlike(TERMINATORS), units(b)).otherwise(F.array(begin + F.length(b)))
+        return _let(_bare(block), lambda b: (
+            F.when(b == "", F.array().cast("array<int>")).when(b.rlike(TERMINATORS), _ends(begin, marked(b, learnt))).otherwise(F.array(begin + F.length(b)))
         ))
 
-    def of(blocks: Column) -> Column:
-        begins = _sums(F.lit(0), F.transform(blocks, lambda b: F.length(b) + 1))
-        return F.flatten(F.zip_with(F.slice(begins, F.lit(1), F.size(blocks)), blocks, block_ends))
+    return F.when(text.isNotNull(), _let(blocks(text), lambda bs: F.flatten(F.zip_with(_begins(bs), bs, block_ends))))
 
-    clean = F.when(_any(*MASKS)(text), F.translate(text, MASKS, "\uFFFD" * len(MASKS))).otherwise(text)
-    return F.when(text.isNotNull(), _let(F.split(clean, BLANK_LINE), of))
+
+def _begins(every: Column) -> Column:
+    return F.slice(_sums(F.lit(0), F.transform(every, lambda b: F.length(b) + 1)), F.lit(1), F.size(every))
 
 
 def _running(start: Column, numbers: Column) -> Column:
@@ -266,15 +286,16 @@ def learn_abbreviations(frame: DataFrame, text: str) -> list[str]:
     # a few signs tell what follows: nothing or a blank line, a small letter or a number, or something else
     after = lambda x: F.when(x.rlike(rf"^[{_B}]*$|\n[{_L}]*\n"), 2).when(x.rlike(rf"^[{_B}]+[\p{{Ll}}\p{{N}}]"), 1).otherwise(0)
     pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.struct(
-        last(a).alias("word"), F.substring(b, 1, 4).alias("then")))
+        a.alias("said"), F.substring(b, 1, 3).alias("then")))
     stops = pieces.filter(F.size("p") > 1).select(F.inline(pairs))
-    counts = stops.select("word", after(F.col("then")).alias("next")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("next") == 1).cast("long")).alias("on"), F.sum((F.col("next") == 2).cast("long")).alias("end"))
+    found = stops.groupBy(last(F.col("said")).alias("word"), "then").agg(F.count(F.lit(1)).alias("m"))
+    m, next_ = F.col("m"), after(F.col("then"))
+    counts = found.groupBy("word").agg(F.sum("m").alias("n"), F.sum(F.when(next_ == 1, m).otherwise(0)).alias("on"), F.sum(F.when(next_ == 2, m).otherwise(0)).alias("end"))
     counts = stored(counts, "stops")
     least = max(LEAST_TIMES, LEAST_SHARE * (counts.agg(F.sum("n")).first()[0] or 0))
-    found = counts.filter((F.col("n") >= least) & (F.col("on") >= GOES_ON * F.col("n")) & (F.col("end") <= AT_END * F.col("n")))
-    found = found.filter(F.col("word").rlike(r"^[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$") & F.length("word").between(2, LONGEST))
-    return sorted(r["word"] for r in found.select("word").collect())
+    sure = counts.filter((F.col("n") >= least) & (F.col("on") >= GOES_ON * F.col("n")) & (F.col("end") <= AT_END * F.col("n")))
+    # single letters have a rule of their own
+    return sorted(r["word"] for r in sure.filter(F.col("word").rlike(r"^[\p{L}\p{M}]+(?:\.[\p{L}\p{M}]+)*$") & F.length("word").between(2, LONGEST)).select("word").collect())
 
 
 def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] | None = None) -> DataFrame:
@@ -286,7 +307,14 @@ def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] |
     without a sentence end is one unit.
     """
     learnt = learn_abbreviations(frame, text) if learnt is None else learnt
-    return frame.select(F.col(f"`{key}`").alias(key), F.explode(ends(F.col(f"`{text}`"), learnt)).alias("end_pos"))
+    cut = frame.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), blocks(F.col(f"`{text}`")).alias("bs"))
+    rows = cut.select("k", F.inline(F.zip_with(_begins(F.col("bs")), "bs", lambda at, b: F.struct(at.alias("at"), b.alias("b")))))
+    rows = rows.select("k", "at", _bare(F.col("b")).alias("b")).filter("b <> ''").select("k", "at", "b", F.col("b").rlike(TERMINATORS).alias("more"))
+    # a projection for each step: the expressions run compiled, and none is worked out twice
+    for step in steps(tuple(learnt)):
+        rows = rows.select("k", "at", F.when(F.col("more"), step(F.col("b"))).otherwise(F.col("b")).alias("b"), "more")
+    found = F.when(F.col("b").contains(END), _ends(F.col("at"), F.col("b"))).otherwise(F.array(F.col("at") + F.length("b")))
+    return rows.select(F.col("k").alias(key), F.explode(found).alias("end_pos"))
 
 
 def sentences(frame: DataFrame, key: str, text: str, learnt: Iterable[str] | None = None) -> DataFrame:
