@@ -105,14 +105,14 @@ _FREE = _marks(_OPENING + _CLOSING + OPEN + CLOSE + END, negated=True) + "*+"
 _CALM = _marks(".!?…।؟。！？｡" + _OPENING + _CLOSING + OPEN + CLOSE + END, negated=True) + "*+"
 #: Terminators inside a quotation or bracket that is closed in the same block (with whole pairs in it at most), one after the other; not the one right before its end.
 INSIDE = (
-    rf"((?:{_O}(?={_FREE}(?:{_O}{_FREE}{_C}{_FREE})*+{_C})|(?<!^)\G){_CALM}(?:{_O}{_CALM}{_C}{_CALM})*+)"
+    rf"((?:\G(?<!^)|{_O}(?={_FREE}(?:{_O}{_FREE}{_C}{_FREE})*+{_C})){_CALM}(?:{_O}{_CALM}{_C}{_CALM})*+)"
     rf"{_marks('.!?…।؟。！？｡')}(?![ \xA0\u202F]?{_C})"
 )
 LEFT_OUT = rf"…(?={_C})"
 #: What may stand between a terminator and the blank behind it.
 _CLOSERS = rf"(?:[ \xA0\u202F]?{_C}|[’'])"
 #: Stops inside decimals, dates, addresses and what is joined by full stops.
-JOINED = r"[.?!](?<=[\p{L}\p{N}/][.?!])(?=[\p{L}\p{N}/])"
+JOINED = r"(?=[\p{L}\p{N}/])(?<=[\p{L}\p{N}/][.?!])"
 SEED = frozenset(w for text in ABBREVIATIONS.values() for w in text.split())
 
 
@@ -124,7 +124,12 @@ NUMBER_WITHIN = 16
 
 #: Ends by script; each match is followed by END. First any script: something that can begin a sentence follows, or a letter of a
 #: script without capitals, before which a question at the end of a quotation does not end the sentence around it.
-COMMON = rf"{_signs('.!?', '…؟')}++(?:{_CLOSERS}*+(?=[{_B}]++{_NEXT})|(?:(?<=\.){_CLOSERS}*+)?(?=[{_B}]++\p{{Lo}}))"
+def common(signs: str) -> str:
+    return rf"{signs}++(?:{_CLOSERS}*+(?=[{_B}]++(?![a-z,;]){_NEXT})|(?:(?<=\.){_CLOSERS}*+)?(?=[{_B}]++(?![ -~])\p{{Lo}}))"
+
+
+#: The usual terminators are looked for alone where the others are not there: a class of ASCII is a bit set.
+COMMON, COMMON_ALL = common("[.!?]"), common(_signs(".!?", "…؟"))
 INDIC = rf"[।॥]++{_CLOSERS}*+|[!?]++(?<=[\u0900-\u0DFF][!?]{{1,3}})(?=[{_B}]++\p{{L}})"
 #: Chinese and Japanese: no blank follows; a quotation goes on into a particle, a comma or, after a question, anything.
 CHINESE = rf"[。｡！？]++(?!{_C}|[。｡！？])|[。｡]++{_C}++(?![\u3040-\u309F，、,：；:;]|{_C})"
@@ -136,7 +141,7 @@ THAI = rf"[{_SOUTHEAST}](?<!กับ)(?=[{_B}]++(?!กับ)[{_SOUTHEAST}])"
 def no_end(learnt: Iterable[str] = ()) -> str:
     """The pattern of stops that end nothing: in decimals and addresses, and, where COMMON has set an END, of abbreviations, initials and ordinals."""
     return (
-        rf"{JOINED}|\.{END}(?:(?<=[\p{{L}}\p{{M}}]\.{END})(?:"
+        rf"[.?!](?:{JOINED}|(?<=\.){END}(?:(?<=[\p{{L}}\p{{M}}]\.{END})(?:"
         # abbreviations and what is joined by full stops (L.J., z.B., U.K.)
         rf"{_behind(SEED | set(learnt))}"
         rf"|(?<=[ऀ-෿]\.{END})"
@@ -151,7 +156,7 @@ def no_end(learnt: Iterable[str] = ()) -> str:
         # ordinals before a capital
         rf"|(?<=\p{{N}}\.{END})(?<=(?<![\p{{L}}\p{{M}}])(?:{_words(ORDINAL_BEFORE)})[{_B}]\d{{1,2}}\.{END})(?=[{_B}]++\p{{Lu}})"
         rf"|(?<=\./\.{END})"
-        r")"
+        r"))"
     )
 
 
@@ -184,19 +189,22 @@ def _any(*signs: str):
 
 
 def steps(learnt: Iterable[str] = ()) -> list:
-    """What a block goes through, one after the other. A block of ASCII alone has nothing of other scripts."""
-    foreign = lambda there: lambda t: (F.octet_length(t) != F.length(t)) & there(t)
-    return [
-        _replaced(NUMBER, f"$1{STOP}", lambda t: F.substring(t, 1, NUMBER_WITHIN).rlike(NUMBER)),
+    """What a block goes through, one after the other."""
+    quotations = [
         _replaced(LOW, f"{OPEN}$1{CLOSE}", _any("„")),
         _replaced(STRAIGHT, f"{OPEN}$1{CLOSE}", _any('"')),
-        _replaced(INSIDE, f"$1{STOP}", lambda t: t.rlike(_O)),
+        _replaced(INSIDE, f"$1{STOP}"),
         _replaced(LEFT_OUT, STOP, _any("…")),
-        _replaced(COMMON, f"$0{END}"),
+    ]
+    scripts = [_replaced(INDIC, f"$0{END}"), _replaced(CHINESE, f"$0{END}"), _replaced(THAI, f"$0{END}")]
+    other = lambda t: _any("।", "॥", "。", "｡", "！", "？")(t) | ((F.octet_length(t) >= F.length(t) + 4) & t.rlike(rf"[\u0E00-\u17FF&&[{_SOUTHEAST}]]"))
+    # few projections, so that the code made of them is small enough to be compiled
+    return [
+        _replaced(NUMBER, f"$1{STOP}", lambda t: F.instr(t, ".").between(2, NUMBER_WITHIN)),
+        lambda t: F.when(_any("„", '"', *_OPENING)(t), reduce(_let, quotations, t)).otherwise(t),
+        lambda t: F.when(_any("…", "؟")(t), F.regexp_replace(t, COMMON_ALL, f"$0{END}")).otherwise(F.regexp_replace(t, COMMON, f"$0{END}")),
         _replaced(no_end(learnt), STOP),
-        _replaced(INDIC, f"$0{END}", foreign(_any("।", "॥"))),
-        _replaced(CHINESE, f"$0{END}", foreign(_any("。", "｡", "！", "？"))),
-        _replaced(THAI, f"$0{END}", foreign(lambda t: t.rlike(f"[{_SOUTHEAST}]"))),
+        lambda t: F.when(other(t), reduce(_let, scripts, t)).otherwise(t),
     ]
 
 
@@ -282,13 +290,15 @@ def learn_abbreviations(frame: DataFrame, text: str) -> list[str]:
     before the shuffle, one row a distinct word of up to LONGEST signs.
     """
     pieces = frame.filter(F.col(f"`{text}`").contains(".")).select(F.split(F.col(f"`{text}`"), rf"\.(?=[{_B}]|$)").alias("p"))
-    last = lambda x: F.substring_index(F.substring_index(F.right(x, F.lit(LONGEST + 1)), " ", -1), "\n", -1)
+    last = lambda x: F.substring_index(F.substring_index(x, " ", -1), "\n", -1)
     # a few signs tell what follows: nothing or a blank line, a small letter or a number, or something else
     after = lambda x: F.when(x.rlike(rf"^[{_B}]*$|\n[{_L}]*\n"), 2).when(x.rlike(rf"^[{_B}]+[\p{{Ll}}\p{{N}}]"), 1).otherwise(0)
     pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.struct(
         a.alias("said"), F.substring(b, 1, 3).alias("then")))
     stops = pieces.filter(F.size("p") > 1).select(F.inline(pairs))
-    found = stops.groupBy(last(F.col("said")).alias("word"), "then").agg(F.count(F.lit(1)).alias("m"))
+    # long words are counted without their letters
+    words = stops.select(last(F.col("said")).alias("word"), "then").select(F.when(F.octet_length("word") <= 4 * LONGEST, F.col("word")).alias("word"), "then")
+    found = words.groupBy("word", "then").agg(F.count(F.lit(1)).alias("m"))
     m, next_ = F.col("m"), after(F.col("then"))
     counts = found.groupBy("word").agg(F.sum("m").alias("n"), F.sum(F.when(next_ == 1, m).otherwise(0)).alias("on"), F.sum(F.when(next_ == 2, m).otherwise(0)).alias("end"))
     counts = stored(counts, "stops")
@@ -309,7 +319,8 @@ def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] |
     learnt = learn_abbreviations(frame, text) if learnt is None else learnt
     cut = frame.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), blocks(F.col(f"`{text}`")).alias("bs"))
     rows = cut.select("k", F.inline(F.zip_with(_begins(F.col("bs")), "bs", lambda at, b: F.struct(at.alias("at"), b.alias("b")))))
-    rows = rows.select("k", "at", _bare(F.col("b")).alias("b")).filter("b <> ''").select("k", "at", "b", F.col("b").rlike(TERMINATORS).alias("more"))
+    rows = rows.select("k", "at", _bare(F.col("b")).alias("b")).filter("b <> ''")
+    rows = rows.select("k", "at", "b", F.col("b").rlike(TERMINATORS).alias("more"))
     # a projection for each step: the expressions run compiled, and none is worked out twice
     for step in steps(tuple(learnt)):
         rows = rows.select("k", "at", F.when(F.col("more"), step(F.col("b"))).otherwise(F.col("b")).alias("b"), "more")
