@@ -9,7 +9,9 @@ joining labels that were cut to the ancestor wanted, not from nesting.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
+from functools import reduce
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -23,7 +25,9 @@ def _nodes(xml: str) -> list[tuple[str, str, str, dict, str | None]] | None:
     """(label, path, local name, attributes, own text) of each element in document order; None if the text is not well-formed.
 
     Prefixes and namespaces are cut off element and attribute names. External
-    entities are never read; internal ones are not expanded into a record.
+    entities are never read, and references to internal ones stay in the text
+    as they are written, so that no declaration can blow a record up; the
+    record itself is kept.
     """
     out: list[list] = []
     stack: list[list] = []  # [node, number of children]
@@ -37,7 +41,7 @@ def _nodes(xml: str) -> list[tuple[str, str, str, dict, str | None]] | None:
             label, path = f"{top[0]}.{n + 1}", f"{top[1]}/{name}"
         else:
             label, path = "1", name
-        keep = {k.rpartition(":")[2]: v for k, v in attrs.items() if k != "xmlns" and not k.startswith("xmlns:")}
+        keep = {k.rpartition(":")[2]: v for k, v in attrs.items() if k != "xmlns" and not k.startswith("xmlns:")} if attrs else attrs
         node = [label, path, name, keep, []]
         out.append(node)
         stack.append([node, 0])
@@ -48,11 +52,13 @@ def _nodes(xml: str) -> list[tuple[str, str, str, dict, str | None]] | None:
     def text(chars):
         stack[-1][0][4].append(chars)
 
-    def entity(*_):
-        raise expat.ExpatError("entity declarations are not accepted")
+    def other(data):
+        if stack and data[:1] == "&":
+            text(data)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
-    parser.EntityDeclHandler = entity
+    # a default handler keeps internal entities from being expanded
+    parser.DefaultHandler = other
     parser.buffer_text = True
     try:
         parser.Parse(xml, True)
@@ -130,13 +136,14 @@ def entity_ids(nodes: DataFrame, entities: Mapping[str, str]) -> DataFrame:
 
 
 def child_tables(nodes: DataFrame, entities: Mapping[str, str], positioned: Mapping[str, str] | None = None) -> DataFrame:
-    """(rec_key, node, parent_id, node_id), distinct: every entity with the id of its nearest entity ancestor, else of the record.
+    """(rec_key, node, parent_id, node_id), distinct, from stored ``nodes``: every entity with the id of its nearest entity ancestor, else of the record.
 
     entities: element name → child element with its id. positioned: elements
-    without id, numbered from 1 among the elements of that name in document
-    order of the record; their parent is the record. Containers between an
-    entity and its ancestor, prefixes and order do not matter. Entities without
-    an id give a row with null node_id.
+    without id → an element above them (None: any place), numbered from 1 among
+    the elements of that name and place in document order of the record; their
+    parent is the record. Containers between an entity and its ancestor,
+    prefixes and order do not matter. Entities without an id give a row with
+    null node_id. The kinds of tables are the keys of both mappings.
 
     The ancestor is found by label: the chain of prefixes of a label is as
     long as the nesting is deep, and the longest prefix that is an entity wins.
@@ -158,8 +165,86 @@ def child_tables(nodes: DataFrame, entities: Mapping[str, str], positioned: Mapp
     out = linked
     if positioned:
         order = F.transform(F.split("dewey", r"\."), lambda x: x.cast("int"))
-        pos = nodes.filter(F.col("name").isin(list(positioned))).withColumn(
+        inside = reduce(lambda a, kv: a | ((F.col("name") == kv[0]) & (F.lit(True) if kv[1] is None else F.concat(F.lit("/"), "path").contains(f"/{kv[1]}/"))), positioned.items(), F.lit(False))
+        pos = nodes.filter(inside).withColumn(
             "node_id", F.row_number().over(Window.partitionBy("rec_key", "rec_no", "name").orderBy(order)).cast("bigint")
         )
         out = out.unionByName(pos.select("rec_key", F.col("name").alias("node"), F.col("rec_key").cast("bigint").alias("parent_id"), "node_id"))
     return out.distinct()
+
+
+_INT = re.compile(r"\s*[+-]?\d{1,19}\s*")
+
+
+def _number(text: str | None) -> int | None:
+    if text is None or not _INT.fullmatch(text):
+        return None
+    n = int(text)
+    return n if -(2**63) <= n < 2**63 else None
+
+
+def _links(found: list, key, entities: Mapping[str, str], positioned: Mapping[str, str | None]) -> set[tuple]:
+    """(node, parent id, node id) of one record's labelled nodes: parents by cutting labels until one is an entity."""
+    child_of: dict[str, set[str]] = {}
+    for name, child in entities.items():
+        child_of.setdefault(child, set()).add(name)
+    kind_at: dict[str, str] = {}
+    ids: dict[str, int | None] = {}
+    texts: dict[str, str] = {}
+    counts: dict[str, int] = {}
+    out: set[tuple] = set()
+    for label, path, name, attrs, text in found:
+        if name in entities:
+            kind_at[label] = name
+            ids[label] = _number(attrs.get("id"))
+        elif name in positioned and (positioned[name] is None or f"/{positioned[name]}/" in f"/{path}"):
+            counts[name] = counts.get(name, 0) + 1
+            out.add((name, key, counts[name]))
+        if name in child_of and text is not None:
+            above = label.rpartition(".")[0]
+            if kind_at.get(above) in child_of[name]:
+                texts[above] = min(text, texts.get(above, text))
+    for label, text in texts.items():
+        if ids[label] is None:
+            ids[label] = _number(text)
+    for label, name in kind_at.items():
+        above = label.rpartition(".")[0]
+        while above and above not in kind_at:
+            above = above.rpartition(".")[0]
+        out.add((name, ids[above] if above else key, ids[label]))
+    return out
+
+
+def _linked(entities: Mapping[str, str], positioned: Mapping[str, str | None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        kind = None
+
+        def flush():
+            cols = list(zip(*rows))
+            kinds = (kind, pa.string(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["rec_key", "node", "parent_id", "node_id"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, number, xml in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(key, *link) for link in _links(_nodes(xml) or [], number, entities, positioned)]
+                if len(rows) >= 20_000:
+                    yield flush()
+                    rows.clear()
+        if rows:
+            yield flush()
+
+    return run
+
+
+def linked_tables(frame: DataFrame, key: str, xml: str, entities: Mapping[str, str], positioned: Mapping[str, str | None] | None = None) -> DataFrame:
+    """The rows of ``child_tables`` straight from the records, in one pass: every record is parsed once and labelled, and its links are drawn from the labels where it stands.
+
+    For tables of links alone; ``dewey_nodes`` gives the nodes themselves.
+    Copies of a record give the same rows, which come out once. Null, empty and
+    not well-formed texts give no row. A task holds one record's nodes at a time.
+    """
+    picked = frame.select(F.col(f"`{key}`").alias("rec_key"), F.expr(f"try_cast(`{key}` AS bigint)").alias("number"), F.col(f"`{xml}`").alias("xml")).filter("xml <> ''")
+    kind = dict(picked.dtypes)["rec_key"]
+    return picked.mapInArrow(_linked(dict(entities), dict(positioned or {})), f"rec_key {kind}, node string, parent_id long, node_id long").distinct()

@@ -2,24 +2,36 @@
 
 ``WorkLedger`` keeps work items in a folder all executors share. An item is
 *pending* until a worker leases it, *leased* until the lease expires or the
-work is committed, then *done*. Every lease carries a fencing token, one more
-than the last; a commit with an older token is rejected, so a worker that lost
-its lease cannot overwrite its successor's result. Output goes to a path made
-of item and token, and the commit names that path: an attempt that broke off
-leaves nothing visible, a retry of the same attempt overwrites itself.
+work is committed, then *done*. What happens to an item is a numbered log:
+every change is the entry after the last one, and an entry is published whole
+and once, so of several writers that saw the same last entry one succeeds and
+the others are told. The number of a lease's entry is its fencing token: a
+commit is the entry right behind its lease, which another lease has taken if
+the first one was overtaken. Output goes to a path made of item and token, and
+the commit names that path: an attempt that broke off leaves nothing visible,
+a retry of the same attempt overwrites itself.
 
 ``changed_records`` tells which records of a source a run has to process, from
 the rows received and the log of earlier runs, whose rows are read as work
 items of the same kind: an acknowledged delivery is done, one that was never
 acknowledged is an expired lease and pending again, and the deliveries of a
 rolled back run carry a fenced token and count for nothing.
+
+``process_changed`` puts the two together: the pending records of a load are
+cut into ranges of key hashes, each a work item at a path that follows from the
+load, and workers lease, process and commit them side by side. A run that broke
+off is taken up where it stood; a second one finds nothing to do.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import time
+import uuid
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,35 +55,58 @@ class Lease:
 class WorkLedger:
     """Ledger below ``root``, on any file system Spark's Hadoop client knows.
 
-    States live in small JSON files that are created, never changed:
-    ``lease-N`` (token N, holder, expiry) and ``done``. Creation without
-    overwriting is atomic on HDFS and local disks, which decides races between
-    workers. The clock is a parameter for tests.
+    An item's log is a folder of small JSON files, named by their numbers. An
+    entry is written under a name of its own and then given its number, by a
+    hard link on local disks and by a rename that replaces nothing elsewhere;
+    both are atomic, so that a crash leaves no half entry and no number is
+    given twice. The clock is a parameter for tests.
     """
 
     def __init__(self, spark: SparkSession, root: str, *, lease_seconds: float = 3600, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.lease_seconds, self.clock = spark, root.rstrip("/"), lease_seconds, clock
         self._jvm = spark._jvm
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = self._path(self.root)
+        self._fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
+        if not self._local:
+            self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark._jsc.hadoopConfiguration())
 
     def _path(self, where: str):
         return self._jvm.org.apache.hadoop.fs.Path(where)
 
-    def _create(self, where: str, content: dict) -> bool:
-        """False when the file is there already."""
+    def _publish(self, where: str, content: dict) -> bool:
+        """The whole content under a name that is free; False when it is taken."""
+        own = f"{where.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+        if self._local:
+            own, where = (self._path(x).toUri().getPath() for x in (own, where))
+            os.makedirs(os.path.dirname(own), exist_ok=True)
+            with open(own, "w", encoding="utf-8") as f:
+                json.dump(content, f)
+                f.flush()
+                os.fsync(f.fileno())
+            try:
+                os.link(own, where)
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(own)
+            return True
+        out = self._fs.create(self._path(own), True)
+        out.write(json.dumps(content).encode())
+        out.close()
+        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        none = self.spark.sparkContext._gateway.new_array(rename, 1)
+        none[0] = rename.NONE
         try:
-            out = self._fs.create(self._path(where), False)
+            self._context.rename(self._path(own), self._path(where), none)
         except Exception as e:  # the JVM's FileAlreadyExistsException
+            self._fs.delete(self._path(own), False)
             if "already exists" in str(e) or "FileAlreadyExists" in str(e):
                 return False
             raise
-        out.write(json.dumps(content).encode())
-        out.close()
         return True
 
-    def _read(self, where: str) -> dict | None:
-        if not self._fs.exists(self._path(where)):
-            return None
+    def _read(self, where: str) -> dict:
         stream = self._fs.open(self._path(where))
         try:
             return json.loads(bytes(stream.readAllBytes()))
@@ -84,57 +119,79 @@ class WorkLedger:
     def add(self, items: Iterable[str]) -> None:
         """Registers items; one that is known keeps its state."""
         for item in items:
-            self._create(f"{self._home(item)}/item", {"item": item})
+            if not item or "/" in item or item[0] in "._":
+                raise ValueError(f"no name of an item: {item!r}")
+            self._publish(f"{self._home(item)}/{0:08d}", {"item": item})
 
     def items(self) -> list[str]:
         home = self._path(f"{self.root}/items")
         return sorted(s.getPath().getName() for s in self._fs.listStatus(home)) if self._fs.exists(home) else []
 
-    def _last_lease(self, item: str) -> tuple[int, dict | None]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self._home(item)))]
-        fences = [int(n[6:]) for n in names if n.startswith("lease-")]
-        return (max(fences), self._read(f"{self._home(item)}/lease-{max(fences)}")) if fences else (0, None)
+    def _last(self, item: str) -> tuple[int, dict]:
+        """Number and content of an item's last entry."""
+        numbers = [int(n) for s in self._fs.listStatus(self._path(self._home(item))) if (n := s.getPath().getName()).isdigit()]
+        if not numbers:
+            return -1, {}
+        return max(numbers), self._read(f"{self._home(item)}/{max(numbers):08d}")
 
-    def state(self, item: str) -> str:
-        if self._fs.exists(self._path(f"{self._home(item)}/done")):
+    def _state(self, entry: dict) -> str:
+        if "path" in entry:
             return DONE
-        _, lease = self._last_lease(item)
-        return LEASED if lease and lease["expires"] > self.clock() else PENDING
+        return LEASED if entry.get("expires", 0) > self.clock() else PENDING
+
+    def state(self, item: str) -> str:
+        return self._state(self._last(item)[1])
 
     def lease(self, item: str, owner: str = "driver") -> Lease | None:
         """A lease with the next token, or None when the item is done, leased, or was just taken by another worker."""
-        if self.state(item) != PENDING:
+        number, entry = self._last(item)
+        if self._state(entry) != PENDING:
             return None
-        fence = self._last_lease(item)[0] + 1
-        expires = self.clock() + self.lease_seconds
-        if not self._create(f"{self._home(item)}/lease-{fence}", {"owner": owner, "expires": expires}):
+        fence, expires = number + 1, self.clock() + self.lease_seconds
+        if not self._publish(f"{self._home(item)}/{fence:08d}", {"owner": owner, "expires": expires}):
             return None
-        return Lease(item, fence, expires, f"{self.root}/out/{item}/{fence:06d}")
+        return Lease(item, fence, expires, f"{self.root}/out/{item}/{fence:08d}")
 
     def commit(self, lease: Lease) -> None:
-        """Marks the item done with the output of ``lease``; raises StaleLease if a newer token was handed out."""
-        if self._last_lease(lease.item)[0] != lease.fence:
+        """Marks the item done with the output of ``lease``; raises StaleLease if another entry stands behind the lease."""
+        where = f"{self._home(lease.item)}/{lease.fence + 1:08d}"
+        if not self._publish(where, {"fence": lease.fence, "path": lease.path}) and self._read(where).get("fence") != lease.fence:
             raise StaleLease(f"{lease.item}: token {lease.fence} is fenced off")
-        if not self._create(f"{self._home(lease.item)}/done", {"fence": lease.fence, "path": lease.path}):
-            done = self._read(f"{self._home(lease.item)}/done")
-            if done["fence"] != lease.fence:
-                raise StaleLease(f"{lease.item}: done with token {done['fence']}")
+
+    def give_back(self, lease: Lease) -> None:
+        """Ends a lease whose work failed, so that others need not wait until it expires; nothing happens if it was overtaken."""
+        self._publish(f"{self._home(lease.item)}/{lease.fence + 1:08d}", {"given_back": lease.fence})
 
     def output(self, item: str) -> str | None:
-        done = self._read(f"{self._home(item)}/done")
-        return done and done["path"]
+        return self._last(item)[1].get("path")
+
+    def outputs(self) -> list[str]:
+        """The paths of all done items."""
+        return [p for item in self.items() if (p := self.output(item))]
 
-    def run(self, compute: Callable[[str], DataFrame], owner: str = "driver") -> list[str]:
-        """Leases every pending item, writes compute(item) to the lease's path and commits; the paths of all done items.
+    def run(self, compute: Callable[[str], DataFrame], owner: str = "driver", workers: int = 4) -> list[str]:
+        """Leases the pending items, ``workers`` at a time, writes compute(item) to the lease's path and commits; the items done by this call.
 
-        A failure leaves its item leased; it is pending again when the lease
-        expires, and a later run takes it up under a new token.
+        A failure is raised when the other workers are through; its item is
+        given back and pending for the next run. Where the whole driver dies,
+        its items are pending again when their leases expire.
         """
-        for item in self.items():
-            if lease := self.lease(item, owner):
+
+        def one(item: str) -> str | None:
+            lease = self.lease(item, owner)
+            if lease is None:
+                return None
+            try:
                 compute(item).write.mode("overwrite").parquet(lease.path)
-                self.commit(lease)
-        return [p for item in self.items() if (p := self.output(item))]
+            except Exception:
+                self.give_back(lease)
+                raise
+            self.commit(lease)
+            return item
+
+        with ThreadPoolExecutor(workers) as pool:
+            jobs = [pool.submit(one, item) for item in self.items()]
+        return [item for job in jobs if (item := job.result())]
 
 
 def stamp(*columns: str) -> Column:
@@ -214,4 +271,56 @@ def delivery_states(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
 
 
 
-__all__ = ["Lease", "StaleLease", "WorkLedger", "changed_records", "delivery_states", "settled", "stamp"]
+def fingerprint(*frames: DataFrame) -> str:
+    """A name for what the files behind ``frames`` hold: it follows from their paths, sizes and times of change."""
+    digest = hashlib.sha256()
+    for frame in frames:
+        spark = frame.sparkSession
+        for path in sorted(frame.inputFiles()):
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            status = there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there)
+            digest.update(f"{path} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return digest.hexdigest()[:32]
+
+
+def process_changed(
+    pending: Callable[[], DataFrame],
+    root: str,
+    key: str,
+    spark: SparkSession,
+    *,
+    ranges: int = 4,
+    process: Callable[[DataFrame], DataFrame] = lambda frame: frame,
+    owner: str = "driver",
+    workers: int = 4,
+    **options,
+) -> tuple[WorkLedger, list[str]]:
+    """Processes the pending records of one load through the ledger at ``root``; the ledger and the items that this call did.
+
+    The records of ``pending()`` are worked out once a load, as the first item
+    of the ledger, ``plan``: its committed output lies in ``ranges`` folders by
+    key hash. Each of these is an item then; its rows go through ``process``
+    and are committed. Whatever was committed is not computed again.
+    """
+    ledger = WorkLedger(spark, root, **options)
+    plan, rooms = WorkLedger(spark, f"{root}/plan", **options), [f"range-{i:05d}" for i in range(ranges)]
+    plan.add(["pending"])
+    lease = plan.lease("pending", owner)
+    if lease:
+        try:
+            placed = pending().withColumn("range", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(ranges)).cast("int"))
+            placed.write.mode("overwrite").partitionBy("range").parquet(lease.path)
+        except Exception:
+            plan.give_back(lease)
+            raise
+        plan.commit(lease)
+    found = plan.output("pending")
+    if found is None:
+        raise RuntimeError("another worker is planning this load")
+    ledger.add(rooms)
+    rows = spark.read.parquet(found)
+    done = ledger.run(lambda item: process(rows.filter(F.col("range") == int(item.rpartition("-")[2])).drop("range")), owner, workers)
+    return ledger, done
+
+
+__all__ = ["Lease", "StaleLease", "WorkLedger", "changed_records", "delivery_states", "fingerprint", "process_changed", "settled", "stamp"]

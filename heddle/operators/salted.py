@@ -2,8 +2,14 @@
 
 Stage one groups by (key, salt), where heavy keys get a salt in [0, salts) and
 all other keys the salt 0; stage two merges the partial results by key. No task
-of stage one gets more than about 1/salts of a heavy key's rows, and stage two
-sees at most ``salts`` rows a key from each of them.
+of stage one gets more than about 1/salts of a heavy key's rows, however many
+of them stand in one input partition, and stage two sees at most ``salts`` rows
+a key from each of them.
+
+Which keys are heavy is read off a mergeable frequency sketch, which takes one
+pass over the key columns and sends a few thousand counters a task, not a row a
+key; the sketch never misses a heavy key, and a key that it takes for heavy by
+mistake is salted to no harm.
 
 Nulls are an ordinary key value. Repeated rows count each time. An empty input
 gives an empty result. Columns of the input that are neither key nor aggregated
@@ -12,15 +18,20 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.session import row_salt
+from heddle.session import row_salt, stored
 
 KINDS = ("count", "sum", "min", "max", "avg", "count_distinct")
+#: Counters a sketch keeps for each heavy key there can be; the sketch is off by less than 3.5/counters of all rows.
+COUNTERS = 8
+#: Groups of input partitions whose sketches are merged first, so that no task merges those of all.
+FAN_IN = 128
 
 
 @dataclass(frozen=True)
@@ -38,32 +49,46 @@ class Agg:
             raise ValueError(f"{self.kind} needs a column")
 
 
-def heavy_keys(frame: DataFrame, keys: Sequence[str], share: float) -> list[tuple]:
-    """The keys with at least ``share`` of all rows: never more than 1/share of them, so the driver's list is bounded.
+def key_hash(frame: DataFrame, keys: Sequence[str], kinds: Sequence[str] | None = None) -> Column:
+    """One number for a key, nulls included; ``kinds``: the types to hash as, where two sides must agree."""
+    own = dict(frame.dtypes)
+    return F.xxhash64(*[F.col(f"`{k}`").cast(kinds[i] if kinds else own[k]) for i, k in enumerate(keys)])
 
-    Counts are combined on the map side; only one row per distinct key and map
-    task is shuffled, of any skew.
-    """
-    least = frame.count() * share
-    hot = frame.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= F.lit(least))
-    return [tuple(row[k] for k in keys) for row in hot.select(*[f"`{k}`" for k in keys]).collect()]
-
-
-def _is_heavy(frame: DataFrame, keys: Sequence[str], heavy: list[tuple]) -> Column:
-    if not heavy:
-        return F.lit(False)
-    kinds = {f.name: f.dataType for f in frame.schema}
-    struct = F.struct(*[F.col(f"`{k}`") for k in keys])
-    wanted = [F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, key)]) for key in heavy if None not in key]
-    # IN over structs is unknown for null parts; keys with nulls are compared null-safely
-    found = F.coalesce(struct.isin(*wanted), F.lit(False)) if wanted else F.lit(False)
-    for key in heavy:
-        if None in key:
-            same = F.lit(True)
-            for k, v in zip(keys, key):
-                same = same & F.col(f"`{k}`").eqNullSafe(F.lit(v).cast(kinds[k]))
-            found = found | same
-    return found
+
+def heavy_hashes(frame: DataFrame, keys: Sequence[str], share: float) -> list[int]:
+    """The hashes of the keys with at least ``share`` of all rows, from one pass; a few others near that share may be among them, never more than 2/share in all."""
+    if not 0 < share <= 1:
+        raise ValueError("a share is above 0 and at most 1")
+    tracked = min(1_000_000, math.ceil(COUNTERS / share))
+    hashed = frame.select(key_hash(frame, keys).alias("h"), F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("part"))
+    # one entry that counts for nothing: sketches of no rows at all cannot be merged
+    hashed = hashed.withColumn("one", F.lit(1)).unionByName(frame.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("part"), F.lit(0).alias("one")))
+    parts = hashed.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("s"), F.sum("one").alias("n"))
+    row = parts.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"), F.sum("n").alias("n")).select(
+        F.expr(f"approx_top_k_estimate(s, {min(tracked, math.ceil(2 / share))})").alias("top"), "n"
+    ).first()
+    return [x["item"] for x in row["top"] if x["count"] >= row["n"] * share] if row["n"] else []
+
+
+def is_heavy(frame: DataFrame, keys: Sequence[str], heavy: Sequence[int], kinds: Sequence[str] | None = None) -> Column:
+    return key_hash(frame, keys, kinds).isin(*heavy) if heavy else F.lit(False)
+
+
+def _partial(aggs: Sequence[Agg]) -> tuple[list[Column], list[Column], list[Column]]:
+    """Partial results, the same merged once (under their own names), and merged to the end."""
+    partial, again, last = [], [], []
+    for i, a in enumerate(aggs):
+        c = F.col(f"`{a.column}`") if a.column else F.lit(1)
+        if a.kind == "avg":
+            partial += [F.sum(c).alias(f"__s{i}"), F.count(c).alias(f"__c{i}")]
+            again += [F.sum(f"__s{i}").alias(f"__s{i}"), F.sum(f"__c{i}").alias(f"__c{i}")]
+            last.append((F.sum(f"__s{i}") / F.sum(f"__c{i}")).alias(a.name))
+        else:
+            first, merge = {"count": (F.count, F.sum), "sum": (F.sum, F.sum), "min": (F.min, F.min), "max": (F.max, F.max)}[a.kind]
+            partial.append(first(c).alias(f"__p{i}"))
+            again.append(merge(f"__p{i}").alias(f"__p{i}"))
+            last.append(merge(f"__p{i}").alias(a.name))
+    return partial, again, last
 
 
 def salted_aggregate(
@@ -73,57 +98,60 @@ def salted_aggregate(
     *,
     salts: int = 32,
     heavy_share: float = 0.005,
-    heavy: list[tuple] | None = None,
+    heavy: Sequence[int] | None = None,
+    row: str | None = None,
 ) -> DataFrame:
     """``aggs`` per key, by salted partial results of heavy keys.
 
-    heavy_share bounds what counts as heavy (and the list of heavy keys to
-    1/heavy_share); ``heavy`` gives that list when it is known already.
+    heavy_share bounds what counts as heavy (and the list of heavy keys);
+    ``heavy`` gives the list of ``heavy_hashes`` when it is known already.
+    ``row``: a column that tells rows apart and is the same when a lost task
+    runs again, such as ``session.with_row`` adds; without it the salt is a
+    hash of the columns used and the input partition, and rows equal in all of
+    these share one.
+
+    A count of distinct values is taken in the same pass: its salt is the hash
+    of the value, so that the salts of a key hold disjoint values and their
+    counts add up. Further distinct columns take a pass each.
     """
     keys = list(keys)
     if heavy is None:
-        heavy = heavy_keys(frame, keys, heavy_share)
-    cols = list(dict.fromkeys([*keys, *(a.column for a in aggs if a.column)]))
-    salted = frame.select(
-        *[F.col(f"`{c}`") for c in cols],
-        F.when(_is_heavy(frame, keys, heavy), row_salt(frame, salts)).otherwise(F.lit(0)).alias("__salt"),
-    )
+        heavy = heavy_hashes(frame, keys, heavy_share)
     group = [F.col(f"`{k}`") for k in keys]
+    hot = is_heavy(frame, keys, heavy)
+    distinct = list(dict.fromkeys(a.column for a in aggs if a.kind == "count_distinct"))
     plain = [a for a in aggs if a.kind != "count_distinct"]
-    partial, merge = [], []
-    for i, a in enumerate(plain):
-        c = F.col(f"`{a.column}`") if a.column else F.lit(1)
-        if a.kind == "avg":
-            partial += [F.sum(c).alias(f"__s{i}"), F.count(c).alias(f"__c{i}")]
-            merge.append((F.sum(f"__s{i}") / F.sum(f"__c{i}")).alias(a.name))
-        else:
-            partial.append({"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}[a.kind](c).alias(f"__p{i}"))
-            merge.append({"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}[a.kind](f"__p{i}").alias(a.name))
-    if not plain:
-        partial, merge = [F.count(F.lit(1)).alias("__p")], []
-    out = salted.groupBy(*group, "__salt").agg(*partial).groupBy(*group).agg(*merge or [F.sum("__p").alias("__p")])
-    # a value's salt is its hash: the distinct values of one key fall into disjoint salts, and their counts add up
-    for a in aggs:
-        if a.kind == "count_distinct":
-            v = F.col(f"`{a.column}`")
-            by_value = salted.select(*group, v.alias("__v"), F.when(F.col("__salt") >= 0, F.pmod(F.xxhash64(v), F.lit(salts))).alias("__salt"))
-            counted = (
-                by_value.groupBy(*group, "__salt", "__v").agg(F.lit(1).alias("__x"))
-                .groupBy(*group, "__salt").agg(F.count("__v").alias("__p"))
-                .groupBy(*group).agg(F.sum("__p").alias(a.name))
-            )
-            right = counted.select(*[F.col(f"`{k}`").alias(f"__k{j}") for j, k in enumerate(keys)], F.col(a.name))
+    partial, again, last = _partial(plain)
+    cols = list(dict.fromkeys([*keys, *(a.column for a in aggs if a.column)]))
+    if not distinct:
+        salted = frame.select(
+            *[F.col(f"`{c}`") for c in cols],
+            F.when(hot, row_salt(frame.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, *([row] if row else [])])]), salts, row)).otherwise(F.lit(0)).alias("__salt"),
+        )
+        out = salted.groupBy(*group, "__salt").agg(*partial).groupBy(*group).agg(*last)
+    else:
+        v = F.col(f"`{distinct[0]}`")
+        salted = frame.select(*[F.col(f"`{c}`") for c in cols], v.alias("__v"), F.when(hot, F.pmod(F.xxhash64(v), F.lit(salts))).otherwise(F.lit(0)).alias("__salt"))
+        by_value = salted.groupBy(*group, "__salt", "__v").agg(*partial or [F.lit(1).alias("__x")])
+        counted = by_value.groupBy(*group, "__salt").agg(F.count("__v").alias("__d"), *again)
+        out = counted.groupBy(*group).agg(*last, *[F.sum("__d").alias(a.name) for a in aggs if a.kind == "count_distinct" and a.column == distinct[0]])
+        for column in distinct[1:]:
+            more = [a for a in aggs if a.kind == "count_distinct" and a.column == column]
+            right = salted_aggregate(frame, keys, more, salts=salts, heavy=heavy)
+            right = right.select(*[F.col(f"`{k}`").alias(f"__k{j}") for j, k in enumerate(keys)], *[F.col(f"`{a.name}`") for a in more])
             on = F.lit(True)
             for j, k in enumerate(keys):
                 on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{j}"))
             out = out.join(right, on, "left").drop(*[f"__k{j}" for j in range(len(keys))])
-    return out.select(*group, *[F.col(a.name) for a in aggs])
+    return out.select(*group, *[F.col(f"`{a.name}`") for a in aggs])
 
 
 def share_of_rows(counts: DataFrame, within: str, count: str, least: float) -> DataFrame:
     """Rows of ``counts`` whose ``count`` is at least ``least`` of the sum over their ``within`` group.
 
-    The totals have one row for each value of ``within`` and are joined by it.
+    ``counts`` is stored, so that what made it runs once; the totals have one
+    row for each value of ``within`` and are joined by it.
     """
+    counts = stored(counts, "counts")
     totals = counts.groupBy(within).agg(F.sum(count).alias("__total"))
     return counts.join(totals, within).filter(F.col(count) >= F.col("__total") * F.lit(least)).drop("__total")

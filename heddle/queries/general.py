@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators.flatten import child_tables, dewey_nodes
-from heddle.operators.ledger import WorkLedger, changed_records, delivery_states
-from heddle.operators.orphans import ForeignKey, Keyed, cascade, orphan_report
+from heddle.operators.flatten import dewey_nodes, linked_tables
+from heddle.operators.ledger import changed_records, delivery_states, fingerprint, process_changed
+from heddle.operators.orphans import ForeignKey, Keyed, cascade, direct_orphans, orphan_report
 from heddle.operators.salted import Agg, salted_aggregate, share_of_rows
-from heddle.session import load, scratch
+from heddle.session import load, shared_dir, with_row
 
 #: A key that holds at least this share of a table's rows is reported.
 FOUND_SHARE = 0.025
 
 
-def _keys(spark: SparkSession, sf: str) -> DataFrame:
-    item, mfhd = load(spark, sf, "item", "mfhd")
-    return item.select(F.lit("item").alias("src"), "bib_id").unionByName(mfhd.select(F.lit("mfhd").alias("src"), "bib_id"))
-
-
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    counts = salted_aggregate(_keys(spark, sf), ["src", "bib_id"], [Agg("n")])
+    item, mfhd = (with_row(load(spark, sf, name)).select(F.lit(name).alias("src"), "bib_id", "__row") for name in ("item", "mfhd"))
+    counts = salted_aggregate(item.unionByName(mfhd), ["src", "bib_id"], [Agg("n")], row="__row")
     return share_of_rows(counts, "src", "n", FOUND_SHARE).filter("bib_id IS NOT NULL AND bib_id <> 0").select("src", "bib_id")
 
 
@@ -38,16 +34,22 @@ SOURCES = {"mfhd": ("mfhd_id", ("hold_create_date", "last_hold_update")), "item"
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """One ledger item for each source; each run of the query has a ledger of its own."""
+    """The pending records of both sources, as the ledger of this load has committed them.
+
+    The load is named by the files it is made of, so a call that follows a
+    broken one takes up its ledger, and one that follows a whole one computes
+    nothing and gives what was committed.
+    """
     runs, deliveries = load(spark, sf, "load_run", "load_delivery")
-    ledger = WorkLedger(spark, scratch(spark, "ledger"))
-    ledger.add(SOURCES)
+    tables = {src: load(spark, sf, src) for src in SOURCES}
 
-    def compute(src: str) -> DataFrame:
-        key, stamps = SOURCES[src]
-        return changed_records(load(spark, sf, src), runs, deliveries, src=src, key=key, stamps=stamps)
+    def pending() -> DataFrame:
+        parts = [changed_records(tables[src], runs, deliveries, src=src, key=key, stamps=stamps) for src, (key, stamps) in SOURCES.items()]
+        return parts[0].unionByName(parts[1])
 
-    return spark.read.parquet(*ledger.run(compute)).select("src", "rec_id")
+    root = f"{shared_dir(spark)}/ledger/{fingerprint(runs, deliveries, *tables.values())}"
+    ledger, _ = process_changed(pending, root, "rec_id", spark)
+    return spark.read.schema("src string, rec_id long, change_stamp timestamp_ntz").parquet(*ledger.outputs()).select("src", "rec_id")
 
 
 def p4_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,26 +64,31 @@ FKS = [
 ]
 
 
-def _orphans(spark: SparkSession, sf: str) -> DataFrame:
+def _graph(spark: SparkSession, sf: str) -> tuple:
     bib, mfhd, item, status, deleted = load(spark, sf, "bib", "mfhd", "item", "item_status", "deletion_log")
     tables = {"bib": Keyed(bib, "bib_id"), "mfhd": Keyed(mfhd, "mfhd_id"), "item": Keyed(item, "item_id"), "item_status": Keyed(status, None)}
-    return cascade(tables, FKS, deleted.withColumnRenamed("src", "table"))
+    return tables, FKS, deleted.withColumnRenamed("src", "table")
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _orphans(spark, sf).filter("kind = 'direct'").drop("kind", "level")
+    """The first step of the cascade: orphan references themselves."""
+    return direct_orphans(*_graph(spark, sf))
 
 
 def p5_report(spark: SparkSession, sf: str) -> DataFrame:
-    return orphan_report(_orphans(spark, sf))
+    return orphan_report(cascade(*_graph(spark, sf)))
 
 
 ENTITIES = {"holding": "mfhd_id", "item": "item_id", "itemStatus": "status_id"}
 
 
+#: Numbered by their place among the data fields of the record's own MARC.
+POSITIONED = {"datafield": "marc"}
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = dewey_nodes(load(spark, sf, "integrated"), "bib_id", "rec_xml")
-    return child_tables(nodes, ENTITIES, {"datafield": "marc"}).select(F.col("rec_key").alias("bib_id"), "node", "parent_id", "node_id")
+    tables = linked_tables(load(spark, sf, "integrated"), "bib_id", "rec_xml", ENTITIES, POSITIONED)
+    return tables.select(F.col("rec_key").alias("bib_id"), "node", "parent_id", "node_id")
 
 
 def p7_nodes(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,11 +6,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators.flatten import child_tables, cut, dewey_nodes, tables_by_path
-from heddle.operators.ledger import DONE, LEASED, PENDING, StaleLease, WorkLedger, changed_records, delivery_states
+from heddle.operators.flatten import child_tables, cut, dewey_nodes, linked_tables, tables_by_path
+from heddle.operators.ledger import DONE, LEASED, PENDING, StaleLease, WorkLedger, changed_records, delivery_states, fingerprint, process_changed
 from heddle.operators.orphans import ForeignKey, Keyed, cascade, direct_orphans, orphan_report
-from heddle.operators.salted import Agg, heavy_keys, salted_aggregate, share_of_rows
+from heddle.operators.salted import Agg, heavy_hashes, is_heavy, salted_aggregate, share_of_rows
 from heddle.operators.skewjoin import lookup_join
+from heddle.session import row_salt, with_row
 
 
 def rows(frame):
@@ -37,12 +38,27 @@ def test_salted_aggregate_of_nothing_and_clashing_columns(spark):
 
 def test_heavy_keys_are_bounded(spark):
     df = spark.createDataFrame(KEYED, "k int, v string, x double")
-    assert heavy_keys(df, ["k"], 0.5) == [(1,)]
-    assert heavy_keys(df.filter("false"), ["k"], 0.5) == []
+    hot = heavy_hashes(df, ["k"], 0.5)
+    assert {r["k"] for r in df.filter(is_heavy(df, ["k"], hot)).collect()} == {1}
+    assert heavy_hashes(df.filter("false"), ["k"], 0.5) == []
+    # more distinct keys than a sketch has counters: the heavy one is never missed, the list stays short
+    many = spark.range(60_000).select(F.when(F.col("id") % 50 == 0, 7).otherwise(F.col("id") + 1000).alias("k"))
+    hot = heavy_hashes(many, ["k"], 0.015)
+    assert len(hot) <= 2 / 0.015 and many.filter(is_heavy(many, ["k"], hot) & (F.col("k") == 7)).count() == 1200
     counts = df.groupBy(F.lit("t").alias("src"), "k").agg(F.count("*").alias("n"))
     assert [r["k"] for r in share_of_rows(counts, "src", "n", 0.5).collect()] == [1]
 
 
+def test_salt_splits_a_hot_key_in_one_partition(spark, tmp_path):
+    spark.range(20_000).select(F.lit(1).alias("k")).coalesce(1).write.parquet(str(tmp_path / "hot"))
+    df = with_row(spark.read.parquet(str(tmp_path / "hot")))
+    assert df.select(F.spark_partition_id()).distinct().count() == 1
+    used = df.groupBy(row_salt(df, 32, "__row").alias("s")).count().collect()
+    assert len(used) >= 16 and max(r["count"] for r in used) < 2 * 20_000 / 32
+    assert df.select(row_salt(df, 32, "__row")).collect() == df.select(row_salt(df, 32, "__row")).collect()
+    assert rows(salted_aggregate(df, ["k"], [Agg("n")], row="__row")) == [(1, 20_000)]
+
+
 def test_lookup_join_keeps_rows_with_hot_and_null_keys(spark):
     left = spark.createDataFrame(KEYED, "k int, v string, x double")
     right = spark.createDataFrame([(1, "one"), (3, "three")], "k int, name string")
@@ -76,9 +92,70 @@ def test_ledger_states_fences_and_retries(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         ledger.run(compute)
+    assert ledger.state("b") == PENDING  # given back
+    assert ledger.run(compute) == ["b"] and ledger.run(compute) == []
+    assert calls == ["b", "b"] and ledger.state("b") == DONE and len(ledger.outputs()) == 2
+
+
+def test_ledger_survives_crashes(spark, tmp_path):
+    now = [100.0]
+    ledger = WorkLedger(spark, str(tmp_path / "ledger"), lease_seconds=10, clock=lambda: now[0])
+    ledger.add(["a"])
+    home = tmp_path / "ledger" / "items" / "a"
+    # a writer that died before its entry had a number leaves a half file that nobody reads
+    (home / "_dead").write_text('{"owner')
+    assert ledger.state("a") == PENDING
+    lease = ledger.lease("a", "w1")
+    # a worker that died: the lease expires, then another takes it, even right before the first one commits
     now[0] += 11
-    ledger.run(compute)
-    assert calls == ["b", "b"] and ledger.state("b") == DONE
+    second = ledger.lease("a", "w2")
+    with pytest.raises(StaleLease):
+        ledger.commit(lease)
+    ledger.commit(second)
+    with pytest.raises(StaleLease):
+        ledger.commit(lease)
+    ledger.give_back(lease)
+    assert ledger.output("a") == second.path and ledger.state("a") == DONE
+    with pytest.raises(ValueError):
+        ledger.add(["a/b"])
+
+
+def test_only_one_of_many_gets_a_lease(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ledgers = [WorkLedger(spark, str(tmp_path / "ledger")) for _ in range(8)]
+    ledgers[0].add(["a"])
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda x: x.lease("a"), ledgers))
+    assert sum(g is not None for g in got) == 1
+
+
+def test_process_changed_takes_up_where_it_stood(spark, tmp_path):
+    calls, planned = [], []
+
+    def pending():
+        planned.append(1)
+        return spark.range(40).withColumnRenamed("id", "rec_id")
+
+    def process(frame):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("broke off")
+        return frame
+
+    root = str(tmp_path / "ledger")
+    with pytest.raises(RuntimeError):
+        process_changed(pending, root, "rec_id", spark, process=process, workers=1)
+    ledger, done = process_changed(pending, root, "rec_id", spark, process=process)
+    assert len(planned) == 1 and len(done) == 1 and len(calls) == 5
+    assert sorted(r[0] for r in spark.read.parquet(*ledger.outputs()).collect()) == list(range(40))
+    # a second run gives nothing new
+    assert process_changed(pending, root, "rec_id", spark, process=process)[1] == [] and len(planned) == 1 and len(calls) == 5
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    before = fingerprint(spark.read.parquet(str(tmp_path / "t")))
+    assert before == fingerprint(spark.read.parquet(str(tmp_path / "t")))
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert before != fingerprint(spark.read.parquet(str(tmp_path / "t")))
 
 
 def test_changed_records(spark):
@@ -120,6 +197,20 @@ def test_orphans_direct_and_inherited(spark):
     assert cascade(none, fks, dels).count() == 0
 
 
+def test_orphans_below_hot_parents_and_with_two_keys(spark):
+    t = lambda d: datetime(2025, 1, d)
+    a = spark.createDataFrame([(1, t(1)), (2, t(9))], "a long, extracted_at timestamp_ntz")
+    # two references of one record; most refer to a parent that is late
+    b = spark.createDataFrame([(i, 2, 1, t(2)) for i in range(1, 301)] + [(500, 1, 7, t(2)), (501, None, 0, t(2))], "b long, up long, other long, extracted_at timestamp_ntz")
+    c = spark.createDataFrame([(i, i % 300 + 1, t(3)) for i in range(600)], "c long, b long, extracted_at timestamp_ntz")
+    dels = spark.createDataFrame([], "table string, rec_id long, deleted_at timestamp_ntz")
+    tables = {"a": Keyed(a, "a"), "b": Keyed(b, "b"), "c": Keyed(c, "c")}
+    fks = [ForeignKey("b", "b", "up", "a"), ForeignKey("b", "b", "other", "a"), ForeignKey("c", "c", "b", "b")]
+    direct = direct_orphans(tables, fks, dels, share=0.1)
+    assert direct.filter("reason = 'late' AND parent_id = 2").count() == 300 and direct.filter("child_id = 500").select("parent_id", "reason").collect() == [(7, "missing")] and direct.count() == 301
+    assert cascade(tables, fks, dels, share=0.1).filter("kind = 'inherited'").count() == 600
+
+
 def test_cascade_with_a_cycle_ends(spark):
     t = datetime(2025, 1, 1)
     a = spark.createDataFrame([(1, 2, t), (2, 1, t), (3, 9, t), (4, 3, t), (5, 4, t)], "id long, up long, extracted_at timestamp_ntz")
@@ -132,12 +223,17 @@ XML = '<r id="7"><x:marc xmlns:x="u"><x:record><x:datafield tag="1"/><x:datafiel
 
 
 def test_flatten(spark):
-    data = [(7, XML), (7, XML), (8, "<r><h id='1'>"), (9, None), (10, ""), (11, "<r/>"), (12, '<!DOCTYPE r [<!ENTITY e "x">]><r>&e;</r>'), (None, "<r/>")]
+    data = [(7, XML), (7, XML), (8, "<r><h id='1'>"), (9, None), (10, ""), (11, "<r/>"), (12, '<!DOCTYPE r [<!ENTITY e "x">]><r>&e;<h id="3"/></r>'), (None, "<r/>"), (13, '<r><datafield/><marc><y><datafield/></y></marc></r>')]
     df = spark.createDataFrame(data, "bib long, x string").withColumn("rec_key", F.lit("clash"))
     nodes = dewey_nodes(df, "bib", "x")
-    assert nodes.filter("rec_key = 8 OR rec_key = 12").count() == 0
-    got = rows(child_tables(nodes, {"h": "h_id", "i": "i_id"}, {"datafield": "marc"}))
-    assert got == sorted([(7, "h", 7, 5), (7, "h", 7, 6), (7, "i", 5, 8), (7, "i", 5, 9), (7, "i", 6, 10), (7, "datafield", 7, 1), (7, "datafield", 7, 2)], key=str)
+    assert nodes.filter("rec_key = 8").count() == 0
+    # a well-formed record with an entity declaration is kept, the reference as it is written
+    assert nodes.filter("rec_key = 12 AND name = 'r'").first()["text"] == "&e;"
+    want = [(7, "h", 7, 5), (7, "h", 7, 6), (7, "i", 5, 8), (7, "i", 5, 9), (7, "i", 6, 10), (7, "datafield", 7, 1), (7, "datafield", 7, 2), (12, "h", 12, 3), (13, "datafield", 13, 1)]
+    for got in (child_tables(nodes, {"h": "h_id", "i": "i_id"}, {"datafield": "marc"}), linked_tables(df, "bib", "x", {"h": "h_id", "i": "i_id"}, {"datafield": "marc"})):
+        assert rows(got) == sorted(want, key=str)
+    assert linked_tables(df, "bib", "x", {}, {"datafield": None}).filter("rec_key = 13").count() == 2
+    assert linked_tables(df.filter("false"), "bib", "x", {"h": "h_id"}).count() == 0
     tables = tables_by_path(nodes)
     assert tables["r/hs/h/is/i"].count() == 2 and {r["parent"] for r in tables["r/hs/h/is/i"].collect()} == {"1.2.1.2"}
     assert spark.range(1).select(cut(F.lit("1.2.13"), 2)).first()[0] == "1"
@@ -147,5 +243,6 @@ def test_flatten(spark):
 
 def test_flatten_one_holding_in_two_elements_and_missing_ids(spark):
     x = '<r><h id="1"><i id="2"/></h><h id="1"><i id="3"/></h><h><i id="4"/></h></r>'
-    got = rows(child_tables(dewey_nodes(spark.createDataFrame([(1, x)], "b long, x string"), "b", "x"), {"h": "h_id", "i": "i_id"}))
-    assert got == sorted([(1, "h", 1, 1), (1, "h", 1, None), (1, "i", 1, 2), (1, "i", 1, 3), (1, "i", None, 4)], key=str)
+    df = spark.createDataFrame([(1, x)], "b long, x string")
+    got = rows(child_tables(dewey_nodes(df, "b", "x"), {"h": "h_id", "i": "i_id"}))
+    assert got == rows(linked_tables(df, "b", "x", {"h": "h_id", "i": "i_id"})) == sorted([(1, "h", 1, 1), (1, "h", 1, None), (1, "i", 1, 2), (1, "i", 1, 3), (1, "i", None, 4)], key=str)
