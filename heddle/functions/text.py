@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -48,23 +48,82 @@ def add_trailing(x: ColumnLike, sign: str) -> Column:
     return F.when(_c(x).endswith(sign), _c(x)).otherwise(F.concat(_c(x), F.lit(sign)))
 
 
+# A text with this end keeps its period.
+KEPT_END = "etc."
+# Signs whose patterns take the blanks before them as well; before a comma or an equals sign they stay.
+WITH_BLANKS_BEFORE = ";:/"
+_S = r"[ \t\r\n]"
+
+
 def trim_trailing_period(x: ColumnLike, keep_etc: bool = True) -> Column:
-    cut = F.regexp_replace(_c(x), r"\.\s*$", "")
-    return F.when(_c(x).rlike(r"etc\.\s*$"), _c(x)).otherwise(cut) if keep_etc else cut
+    """Without a period and the blanks behind it at the end; a text that ends right with 'etc.' is left as it is."""
+    cut = F.regexp_replace(_c(x), rf"\.{_S}*$", "")
+    return F.when(_c(x).endswith(KEPT_END), _c(x)).otherwise(cut) if keep_etc else cut
+
+
+def trim_trailing(x: ColumnLike, sign: str) -> Column:
+    """Without one ``sign`` (several characters: a run of any of them) and the blanks behind it at the end."""
+    inside = "".join("\\" + s for s in sign)
+    before = f"{_S}*" if all(s in WITH_BLANKS_BEFORE for s in sign) else ""
+    return F.regexp_replace(_c(x), rf"{before}[{inside}]{'+' if len(sign) > 1 else ''}{_S}*$", "")
+
 
+def trim_pipes(x: ColumnLike) -> Column:
+    """Without a run of pipes and the blanks behind it at the end."""
+    return F.regexp_replace(_c(x), rf"\|+{_S}*$", "")
 
-def trim_trailing(x: ColumnLike, signs: str) -> Column:
-    """Without one of ``signs`` and the blanks around it at the end."""
-    inside = "".join("\\" + s for s in signs)
-    return F.regexp_replace(_c(x), rf"\s*[{inside}]\s*$", "")
+
+def trim_colon_and_semicolon(x: ColumnLike) -> Column:
+    """Without a colon and the blanks behind it at the end, then without a semicolon likewise."""
+    return F.regexp_replace(F.regexp_replace(_c(x), rf":{_S}*$", ""), rf";{_S}*$", "")
 
 
 def convert_quotes(x: ColumnLike) -> Column:
-    return F.replace(_c(x), F.lit('"'), F.lit("&quot;"))
+    """Straight double quotation marks become apostrophes."""
+    return F.replace(_c(x), F.lit('"'), F.lit("'"))
 
 
 def convert_amp(x: ColumnLike) -> Column:
-    return F.replace(_c(x), F.lit("&"), F.lit("&amp;"))
+    """Ampersands become the word."""
+    return F.replace(_c(x), F.lit("&"), F.lit("and"))
+
+
+def trim_only_spaces(x: ColumnLike) -> Column:
+    """Runs of blanks as one, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(_c(x), rf"{_S}+", " "), "^ +| +$", "")
+
+
+def trim_whitespace(x: ColumnLike) -> Column:
+    """As trim_only_spaces, and without a period at the end."""
+    return trim_trailing_period(trim_only_spaces(x), keep_etc=False)
+
+
+def year(as_of: int | None = None) -> Column:
+    """The current year as a number; ``as_of`` fixes it, for runs that must give the same again."""
+    return F.lit(as_of) if as_of is not None else F.year(F.current_date())
+
+
+def verbatim(x: Column, row_tag: str) -> Column:
+    """A struct as XML text."""
+    return F.to_xml(x, {"rowTag": row_tag})
+
+
+def cdata(x: ColumnLike) -> Column:
+    """The text as character data that needs no escapes; an end mark inside is split over two sections."""
+    return F.concat(F.lit("<![CDATA["), F.replace(_c(x), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+
+
+def lookup(frame: DataFrame, key: str, table: DataFrame, *, name: str = "value", most_bytes: int = 64_000_000) -> DataFrame:
+    """``frame`` with the value of (key, value) rows of a lookup document under ``name``; null without one, a row for each of several.
+
+    The table is broadcast if it has at most ``most_bytes``, which is measured;
+    a larger one is joined by shuffle. Repeated rows of the table count once.
+    """
+    unique = table.filter("key IS NOT NULL").select(F.col("key").cast("string").alias("__key"), F.col("value").alias(f"__{name}")).distinct()
+    size = unique.agg(F.sum(F.octet_length("__key") + F.coalesce(F.octet_length(F.col(f"__{name}").cast("string")), F.lit(0)) + 32).alias("b")).first()["b"] or 0
+    side = F.broadcast(unique) if size <= most_bytes else unique
+    kept = [F.col(f"`{c}`") for c in frame.columns if c != name]
+    return frame.join(side, F.col(f"`{key}`").cast("string") == F.col("__key"), "left").select(*kept, F.col(f"__{name}").alias(name))
 
 
 def trim_all_but_alphanumeric(x: ColumnLike) -> Column:

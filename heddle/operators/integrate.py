@@ -41,7 +41,7 @@ class Node:
 
 
 class Integrator:
-    """A tree of sources. ``fused``: full joins as union and one aggregation, a single shuffle for any number of siblings; the rows are the same."""
+    """A tree of sources. ``fused``: full joins as union and one aggregation, a single shuffle for any number of siblings; the rows are the same, repeated ids included. An id's rows meet in one task there; where an id may have very many, leave it off."""
 
     def __init__(self, fused: bool = False):
         self.root = Node("")
@@ -142,11 +142,13 @@ class Integrator:
                 raise ValueError(f"{name} is keyed by {other}, its siblings by {ids}")
         names = [k[2] for k in kids]
         if self.fused and len(kids) > 1:
-            parts = []
-            for frame, _, name, _ in kids:
-                parts.append(frame.select(*ids, F.col(f"`{name}`")))
+            # each sibling's rows of an id are gathered, and combined with the others' as a full join combines them
+            parts = [frame.select(*ids, F.array(F.struct(F.col(f"`{name}`").alias("v"))).alias(name)) for frame, _, name, _ in kids]
             merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-            base = merged.groupBy(*ids).agg(*[F.first(F.col(f"`{n}`"), ignorenulls=True).alias(n) for n in names])
+            base = merged.groupBy(*ids).agg(*[F.flatten(F.collect_list(F.col(f"`{n}`"))).alias(n) for n in names])
+            for n in names:
+                base = base.withColumn(n, F.explode_outer(f"`{n}`"))
+            base = base.select(*ids, *[F.col(f"`{n}`")["v"].alias(n) for n in names])
         else:
             base = kids[0][0]
             for frame, _, _, _ in kids[1:]:

@@ -8,40 +8,44 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from heddle.session import stored
 
 
-def split_chunks(records: DataFrame, document: Sequence[str], position: str, size: int = 100) -> DataFrame:
-    """Adds chunk_no: every ``size`` records of a document, by position, from 0. Every document begins a chunk.
+def _offsets(records: DataFrame, document: Sequence[str], position: str, what: Column) -> DataFrame:
+    """Adds __sum: the running sum of ``what`` (0 or more, per record) within a document, by position.
 
-    A document's records are numbered by range-partitioned counts and offsets,
-    so that one huge document is not numbered by one task: positions are sorted
-    over all tasks, each task counts its records of each document, and the few
-    counts are summed to offsets.
+    Records are range-partitioned by document and position; each task sums its
+    own records of each document, and the few sums of (task, document) are
+    added up to offsets, so that no document is numbered by one task alone.
     """
-    if size < 1:
-        raise ValueError("a chunk has one record at least")
-    ordered = records.repartitionByRange(*[F.col(c) for c in [*document, position]]).sortWithinPartitions(*document, position)
+    ordered = records.withColumn("__what", what).repartitionByRange(*[F.col(c) for c in [*document, position]]).sortWithinPartitions(*document, position)
     # stored, for the partition a record is in must be the same in both uses
     tagged = stored(ordered.withColumn("__part", F.spark_partition_id()), "split")
-    inside = Window.partitionBy("__part", *document).orderBy(position)
-    numbered = tagged.withColumn("__rn", F.row_number().over(inside))
-    counts = tagged.groupBy("__part", *document).agg(F.count(F.lit(1)).alias("__n"))
+    inside = Window.partitionBy("__part", *document).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = tagged.withColumn("__own", F.sum("__what").over(inside))
+    sums = tagged.groupBy("__part", *document).agg(F.sum("__what").alias("__n"))
     before = Window.partitionBy(*document).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).select("__part", *document, "__before")
-    keyed = offsets.select(F.col("__part").alias("__p"), F.struct(*document).alias("__d"), "__before")
-    joined = numbered.join(keyed, (F.col("__part") == F.col("__p")) & F.struct(*document).eqNullSafe(F.col("__d")), "left")
-    return joined.withColumn("chunk_no", F.expr(f"(__before + __rn - 1) div {size}")).select(*records.columns, "chunk_no")
+    offsets = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    keyed = offsets.select(F.col("__part").alias("__p"), F.struct(F.lit(0), *document).alias("__d"), "__before")
+    joined = numbered.join(keyed, (F.col("__part") == F.col("__p")) & F.struct(F.lit(0), *document).eqNullSafe(F.col("__d")), "left")
+    return joined.withColumn("__sum", F.col("__before") + F.col("__own"))
+
+
+def split_chunks(records: DataFrame, document: Sequence[str], position: str, size: int = 100) -> DataFrame:
+    """Adds chunk_no: every ``size`` records of a document, by position, from 0. Every document begins a chunk."""
+    if size < 1:
+        raise ValueError("a chunk has one record at least")
+    return _offsets(records, document, position, F.lit(1)).withColumn("chunk_no", F.expr(f"(__sum - 1) div {size}")).select(*records.columns, "chunk_no")
 
 
 def split_at(records: DataFrame, document: Sequence[str], position: str, boundary: Column) -> DataFrame:
     """Adds chunk_no, counted up at each record where ``boundary`` holds; null holds not. The first record's chunk is 0 or, at a boundary, 1."""
-    w = Window.partitionBy(*document).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("chunk_no", F.sum(F.coalesce(boundary, F.lit(False)).cast("int")).over(w))
+    return _offsets(records, document, position, F.coalesce(boundary, F.lit(False)).cast("int")).withColumn("chunk_no", F.col("__sum")).select(*records.columns, "chunk_no")
 
 
 def concat_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -55,11 +59,29 @@ def concat_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def concat_runs(documents: DataFrame, system_id: str, position: str) -> DataFrame:
-    """Adds run_no to a list of documents: documents next to each other with the same system id make one output document, later ones do not join it."""
-    order = Window.orderBy(position)
-    change = (~F.col(system_id).eqNullSafe(F.lag(system_id).over(order))) | (F.row_number().over(order) == 1)
-    return documents.withColumn("run_no", F.sum(change.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+def concat_runs(documents: DataFrame, system_id: str, position: str, tie: Sequence[str] = ()) -> DataFrame:
+    """Adds run_no to a list of documents: documents next to each other with the same system id make one output document, later ones do not join it.
+
+    ``position`` orders the documents (with ``tie`` where it is not unique). The
+    first document of a task is compared with the last one of the task before
+    it, of which there is one a task; nothing else is gathered.
+    """
+    order = [position, *tie]
+    ordered = documents.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    tagged = stored(ordered.withColumn("__part", F.spark_partition_id()), "runs")
+    inside = Window.partitionBy("__part").orderBy(*order)
+    named = tagged.withColumns({"__lag": F.lag(F.struct(F.col(system_id).alias("s"))).over(inside), "__no": F.row_number().over(inside)})
+    # of each task its last document; tasks without documents are not there
+    ends = tagged.groupBy("__part").agg(F.max_by(F.struct(F.col(system_id).alias("s")), F.struct(*order)).alias("__end"))
+    across = ends.select((F.lead("__part").over(Window.orderBy("__part"))).alias("__next"), F.col("__end"))
+    met = named.join(across, (F.col("__part") == F.col("__next")) & (F.col("__no") == 1), "left")
+    last = F.coalesce(F.col("__lag"), F.col("__end"))
+    change = F.when(last.isNull(), 1).otherwise((~F.col(system_id).eqNullSafe(last["s"])).cast("int"))
+    flagged = met.withColumn("__what", change).select(*documents.columns, "__part", "__what")
+    sums = flagged.groupBy("__part").agg(F.sum("__what").alias("__n"))
+    before = sums.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum("__what").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.withColumn("__own", own).join(before, F.col("__part") == F.col("__p")).withColumn("run_no", F.col("__before") + F.col("__own") - 1).select(*documents.columns, "run_no")
 
 
 def nest(rows: DataFrame, ids: Sequence[str], position: str | None = None) -> DataFrame:
@@ -97,18 +119,37 @@ def transform_records(records: DataFrame, function: Callable[[dict], dict], sche
     kinds = [f for f in records.schema if f.name in keep]
     out = StructType([*kinds, *made.fields]).add("error", "string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    target = to_arrow_schema(out)
+
+    names = [f.name for f in made]
+
+    def failed(base: dict, e: Exception) -> dict:
+        return {**base, **dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"}
+
+    def fitting(row: dict) -> dict:
+        """The row, or its failure if what the function gave does not fit the schema."""
+        try:
+            pa.RecordBatch.from_pylist([row], schema=target)
+            return row
+        except (pa.ArrowException, TypeError, ValueError) as e:
+            return failed({k: row[k] for k in keep}, e)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 base = {k: row[k] for k in keep}
                 try:
-                    rows.append({**base, **function(row), "error": None})
+                    given = function(row)
+                    rows.append({**base, **{n: given.get(n) for n in names}, "error": None})
                 except Exception as e:  # the function is the user's
-                    rows.append({**base, **{f.name: None for f in made}, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[f.name for f in out])
+                    rows.append(failed(base, e))
+            try:
+                yield pa.RecordBatch.from_pylist(rows, schema=target)
+            except (pa.ArrowException, TypeError, ValueError):
+                yield pa.RecordBatch.from_pylist([fitting(row) for row in rows], schema=target)
 
-    return records.mapInPandas(run, out)
+    return records.mapInArrow(run, out)
 
 
 def drop_failed_chunks(records: DataFrame, chunk: Sequence[str], failed: Column) -> DataFrame:
@@ -142,8 +183,8 @@ def failure_log(failed: DataFrame, record_id: str, chunk: Sequence[str] | None =
 
 
 def tee(records: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
-    """Writes a copy and passes the records on; they are computed once."""
-    kept = records.persist()
+    """Writes a copy and passes the records on; they are computed once, stored in the shared folder, and hold no executor's memory."""
+    kept = stored(records, "tee")
     write(kept)
     return kept
 

@@ -153,9 +153,12 @@ def main(argv: list[str] | None = None) -> int:
 
     load_plugins()
     spark = SparkSession.builder.appName("heddle").getOrCreate()
-    frame = run(spark, parse_args(sys.argv[1:] if argv is None else argv))
-    for row in frame.toJSON().toLocalIterator():
-        print(row)
+    ops = parse_args(sys.argv[1:] if argv is None else argv)
+    frame = run(spark, ops)
+    # what went to files is not worked out again for the screen
+    if ops[-1].options.get("output", "-") == "-" and "output-base-name" not in ops[-1].options:
+        for row in frame.toJSON().toLocalIterator():
+            print(row)
     return 0
 
 

@@ -160,10 +160,10 @@ def concat_all(spark, sf):
     ])
 
 
-@query("""SELECT n_nationkey, n_regionkey, sum(c) OVER (ORDER BY n_nationkey)::BIGINT - 1 AS run_no FROM (
-  SELECT n_nationkey, n_regionkey, (n_regionkey IS DISTINCT FROM lag(n_regionkey) OVER (ORDER BY n_nationkey) OR row_number() OVER (ORDER BY n_nationkey) = 1)::INT AS c FROM nation)""")
+@query("""SELECT doc_id, source, sum(c) OVER (ORDER BY doc_id)::BIGINT - 1 AS run_no FROM (
+  SELECT doc_id, source, (source IS DISTINCT FROM lag(source) OVER (ORDER BY doc_id) OR row_number() OVER (ORDER BY doc_id) = 1)::INT AS c FROM documents)""")
 def concat_runs(spark, sf):
-    return records.concat_runs(load(spark, sf, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", "n_nationkey")
+    return records.concat_runs(load(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
 
 
 @query("SELECT o_orderkey, (o_orderkey // 6)::BIGINT AS batch_no FROM orders")
@@ -234,20 +234,67 @@ def transform_failures(spark, sf):
     return records.transform_records(_chunked(spark, sf), work, "value string", ["mfhd_id"])
 
 
-@query("SELECT p_partkey, p_name, trim(regexp_replace(p_name || '  x ', '[ \\t\\r\\n]+', ' ', 'g')) AS spaced, replace(p_brand, '-', '') AS bare, "
-       "split_part(p_name, ' ', 1) AS before, CASE WHEN instr(p_name, ' ') > 0 THEN substr(p_name, instr(p_name, ' ') + 1) ELSE '' END AS after, "
-       "regexp_replace(p_brand, '[^0-9]+', '', 'g') AS digits FROM part WHERE instr(p_name, ' ') > 0")
+@query("""SELECT p_partkey, p_name, trim(regexp_replace(p_name || '  x ', '[ \\t\\r\\n]+', ' ', 'g')) AS spaced, replace(p_brand, '-', '') AS bare,
+  CASE WHEN instr(p_name, ' ') > 0 THEN split_part(p_name, ' ', 1) ELSE '' END AS before, CASE WHEN instr(p_name, ' ') > 0 THEN substr(p_name, instr(p_name, ' ') + 1) ELSE '' END AS after,
+  CASE WHEN instr(p_brand, '#') > 0 THEN split_part(p_brand, '#', 2) ELSE '' END AS without, regexp_replace(p_brand, '[^0-9]+', '', 'g') AS digits FROM part""")
 def text_functions(spark, sf):
-    part = load(spark, sf, "part").filter("instr(p_name, ' ') > 0")
-    return part.select(
+    return load(spark, sf, "part").select(
         "p_partkey", "p_name", text.normalize_space(F.concat("p_name", F.lit("  x "))).alias("spaced"), text.strip_hyphen("p_brand").alias("bare"),
-        text.substring_before("p_name", " ").alias("before"), text.substring_after("p_name", " ").alias("after"), text.digits_only("p_brand").alias("digits"))
+        text.substring_before("p_name", " ").alias("before"), text.substring_after("p_name", " ").alias("after"), text.substring_after("p_brand", "#").alias("without"), text.digits_only("p_brand").alias("digits"))
+
+
+#: Ends that the trimming functions tell apart, given to the parts' names in turn.
+_ENDS = ["", ".", " . ", "etc.", "etc. ", " ,", ", ", " =", "= ", " ;", ";  ", " : ", " / ", ":;", ";:", "||", "| | ", ' "q" & <x> (y)', "--", "  % ", "\t\n"]
+_ENDED = "[" + ", ".join("'" + e.replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") + "'" for e in _ENDS) + "]"
+
+
+@query(f"""WITH e AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN ' % ' ELSE '' END || p_name || ({_ENDED})[p_partkey % {len(_ENDS)} + 1] AS t FROM part)
+  SELECT p_partkey, CASE WHEN suffix(t, 'etc.') THEN t ELSE regexp_replace(t, '\\.[ \\t\\r\\n]*$', '') END AS no_period, regexp_replace(t, ',[ \\t\\r\\n]*$', '') AS no_comma, regexp_replace(t, '=[ \\t\\r\\n]*$', '') AS no_equal,
+    regexp_replace(t, '[ \\t\\r\\n]*;[ \\t\\r\\n]*$', '') AS no_semicolon, regexp_replace(t, '[ \\t\\r\\n]*:[ \\t\\r\\n]*$', '') AS no_colon, regexp_replace(t, '[ \\t\\r\\n]*/[ \\t\\r\\n]*$', '') AS no_slash,
+    regexp_replace(regexp_replace(t, ':[ \\t\\r\\n]*$', ''), ';[ \\t\\r\\n]*$', '') AS no_both, regexp_replace(t, '\\|+[ \\t\\r\\n]*$', '') AS no_pipes, replace(t, '"', '''') AS quotes, replace(t, '&', 'and') AS amp,
+    regexp_replace(t, '[^a-zA-Z0-9_-]+$', '') AS alnum, regexp_replace(t, '^[ \\t\\r\\n]*%[ \\t\\r\\n]*', '') AS no_percent, CASE WHEN suffix(t, '.') THEN t ELSE t || '.' END AS with_period,
+    regexp_replace(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), '^ +| +$', '', 'g') AS spaces,
+    regexp_replace(regexp_replace(regexp_replace(t, '[ \\t\\r\\n]+', ' ', 'g'), '^ +| +$', '', 'g'), '\\.[ \\t\\r\\n]*$', '') AS spaces_period,
+    replace(replace(t, '(', ''), ')', '') AS no_parens, replace(replace(t, '<', ''), '>', '') AS no_angles, replace(t, '"', '') AS no_quotes,
+    array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS capitals, substr(t, 3, 4) AS part, '<![CDATA[' || t || ']]>' AS cdata FROM e""")
+def text_functions_2(spark, sf):
+    part = load(spark, sf, "part")
+    t = F.concat(F.when(F.col("p_partkey") % 2 == 0, " % ").otherwise(""), F.col("p_name"), F.element_at(F.array(*map(F.lit, _ENDS)), (F.col("p_partkey") % len(_ENDS) + 1).cast("int")))
+    return part.select("p_partkey", t.alias("t")).select(
+        "p_partkey", text.trim_trailing_period("t").alias("no_period"), text.trim_trailing("t", ",").alias("no_comma"), text.trim_trailing("t", "=").alias("no_equal"),
+        text.trim_trailing("t", ";").alias("no_semicolon"), text.trim_trailing("t", ":").alias("no_colon"), text.trim_trailing("t", "/").alias("no_slash"),
+        text.trim_colon_and_semicolon("t").alias("no_both"), text.trim_pipes("t").alias("no_pipes"), text.convert_quotes("t").alias("quotes"), text.convert_amp("t").alias("amp"),
+        text.trim_all_but_alphanumeric("t").alias("alnum"), text.trim_leading_percent("t").alias("no_percent"), text.add_trailing("t", ".").alias("with_period"),
+        text.trim_only_spaces("t").alias("spaces"), text.trim_whitespace("t").alias("spaces_period"), text.trim_parens("t").alias("no_parens"), text.trim_angle_brackets("t").alias("no_angles"),
+        text.trim_double_quotes("t").alias("no_quotes"), text.init_cap("t").alias("capitals"), text.substring_from("t", 3, 4).alias("part"), text.cdata("t").alias("cdata"))
+
+
+def _repeated(spark, sf, fused):
+    line = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("O"), F.col("l_linenumber").cast("bigint").alias("L"), "l_partkey", "l_suppkey")
+    tree = Integrator(fused).add("/record/part", line.drop("l_suppkey"), ["O", "L"]).add("/record/supplier", line.filter("L % 2 = 0").drop("l_partkey"), ["O", "L"])
+    return tree.compile().select("O", "L", F.col("part.l_partkey").alias("part"), F.col("supplier.l_suppkey").alias("supplier"))
+
+
+_REPEATED = """SELECT a.l_orderkey AS O, a.l_linenumber::BIGINT AS L, a.l_partkey AS part, b.l_suppkey AS supplier FROM lineitem a
+  LEFT JOIN (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0) b USING (l_orderkey, l_linenumber)"""
+
+
+@query(_REPEATED)
+def integrate_repeated_ids(spark, sf):
+    return _repeated(spark, sf, False)
+
+
+@query(_REPEATED)
+def integrate_repeated_ids_fused(spark, sf):
+    return _repeated(spark, sf, True)
 
 
 @query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
 def lookup_broadcast(spark, sf):
     customer, nation, region = load(spark, sf, "customer", "nation", "region")
-    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "n_name", "r_name")
+    found = text.lookup(customer, "c_nationkey", nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")), name="n_name")
+    found = text.lookup(found, "c_nationkey", nation.select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("value")), name="region")
+    return text.lookup(found, "region", region.select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("value")), name="r_name").select("c_custkey", "n_name", "r_name")
 
 
 @query("""SELECT bib_id, count(*)::BIGINT AS n_records, max(n)::INT AS most_subjects FROM (

@@ -202,3 +202,31 @@ def test_stream_of_drops(spark, tmp_path):
     for _ in range(2):
         process_drops(spark, src, "id long", lambda f: f.withColumn("x", F.col("id") * 2), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_transform_keeps_nulls_and_isolates_what_does_not_fit(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, 7)], "id long, n int")
+    seen = records.transform_records(df, lambda r: {"v": repr(r["n"])}, "v string", ["id"])
+    assert {r["id"]: r["v"] for r in seen.collect()} == {1: "None", 2: "5", 3: "7"}
+    odd = records.transform_records(df, lambda r: {"v": "x" if r["id"] == 2 else r["n"]}, "v int", ["id"])
+    got = {r["id"]: (r["v"], r["error"] is None) for r in odd.collect()}
+    assert got == {1: (None, True), 2: (None, False), 3: (7, True)}
+
+
+def test_integrate_forms_agree_on_repeated_ids(spark):
+    a = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "I long, x string")
+    b = spark.createDataFrame([(1, "p"), (1, "q"), (3, None)], "I long, y string")
+    got = [Integrator(fused).add("/r/a", a, ["I"]).add("/r/b", b, ["I"]).compile().selectExpr("I", "a.x", "b.y", "b IS NULL AS none") for fused in (False, True)]
+    first, second = (sorted(map(tuple, g.collect()), key=str) for g in got)
+    assert first == second and len(first) == 6
+
+
+def test_runs_over_tasks(spark):
+    names = [None, None, "a", "a", "b", "a"] * 40
+    df = spark.createDataFrame(list(enumerate(names)), "pos long, sid string").repartition(5)
+    want, run = {}, -1
+    for i, n in enumerate(names):
+        run += i == 0 or n != names[i - 1]
+        want[i] = run
+    assert {r["pos"]: r["run_no"] for r in records.concat_runs(df, "sid", "pos").collect()} == want
+    assert records.concat_runs(df.filter("false"), "sid", "pos").count() == 0
