@@ -44,6 +44,8 @@ PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae",
 INITIAL, NICKNAME, ABBREVIATED, TYPO, DROPPED, UNDATED, KEY_TYPO, ACRONYM = -1.0, -1.5, -0.5, -3.0, -0.7, -0.5, -3.0, -1.0
 #: Dates that agree are no accident.
 SAME_BIRTH, SAME_DATES = 2.5, 4.0
+#: A first name that is none of these but begins alike, beside the same surname and full dates; with a typo in the surname, one with two typos.
+ODD, TWO_TYPOS = -5.0, -4.0
 #: Log score below which a spelling is an entity of its own.
 ALONE = -4.0
 
@@ -151,8 +153,18 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[:2] == y[1::-1] and len(y) > 1 and x[2:] == y[2:])
 
 
-def _part(v: str, c: str, nicknames: dict[str, set[str]]) -> float | None:
-    """Log likelihood of writing part c as v; None if that does not happen."""
+def _distance(a: str, b: str) -> int:
+    """Letters to insert, drop or change."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b):
+            row.append(min(last[j] + (x != y), last[j + 1] + 1, row[j] + 1))
+    return row[-1]
+
+
+def _part(v: str, c: str, nicknames: dict[str, set[str]], odd: float | None = None) -> float | None:
+    """Log likelihood of writing part c as v; None if that does not happen. odd: of parts that only begin alike, where other evidence allows for them."""
     a, b = v.rstrip("."), c.rstrip(".")
     if a == b:
         return 0.0
@@ -170,12 +182,15 @@ def _part(v: str, c: str, nicknames: dict[str, set[str]]) -> float | None:
         rest = iter(long)
         if short[0] == long[0] and all(ch in rest for ch in short):
             return ABBREVIATED
-    if min(len(a), len(b)) > 2 and _near(a, b):
-        return TYPO
+    if min(len(a), len(b)) > 2:
+        if _near(a, b):
+            return TYPO
+        if odd is not None and a[0] == b[0] and (odd == ODD or _distance(a, b) <= 2):
+            return odd
     return None
 
 
-def parts_cost(kind: str, v: list[str], c: list[str], nicknames: dict[str, set[str]]) -> float | None:
+def parts_cost(kind: str, v: list[str], c: list[str], nicknames: dict[str, set[str]], odd: float | None = None) -> float | None:
     """Log likelihood of the parts of a variant, given those of a canonical form: in order, some dropped on the one side or the other."""
     if kind == BODY and (len(v) == 1 and v[0].endswith("*") or len(c) == 1 and c[0].endswith("*")):
         x, y = (v, c) if v and v[0].endswith("*") else (c, v)
@@ -192,7 +207,7 @@ def parts_cost(kind: str, v: list[str], c: list[str], nicknames: dict[str, set[s
         for j in range(at, len(long) - (len(short) - i) + 1):
             if i == 0 and j > 0:
                 break  # the first name stays first
-            cost = _part(p, long[j], nicknames)
+            cost = _part(p, long[j], nicknames, odd)
             if cost is not None:
                 best = (cost, j)
                 break
@@ -279,56 +294,78 @@ def _signature(nicknames: dict[str, set[str]]):
     return run
 
 
+def _order(r: tuple) -> tuple:
+    """The order in which the spellings of a block come: own ones before moved ones, complete and frequent ones first."""
+    form, kind, n, parts, birth, death, sure, typo, brief = r
+    return typo, birth is None, -sum(len(p.rstrip(".")) > 1 and not p.endswith("*") for p in parts), -sum(not p.endswith(".") for p in parts), -n, -sure, form
+
+
+def _block(rows: list[tuple], nicknames: dict[str, set[str]]) -> Iterator[tuple[int, int, float]]:
+    """(form, entity, score) of the spellings of a block."""
+    entities: list[dict] = []
+    by_birth: dict[str | None, list[dict]] = {}
+    for form, kind, n, parts, birth, death, sure, typo, brief in sorted(rows, key=_order):
+        dates = (birth, death)
+        # dated spellings meet their own year and the undated entities only
+        near = entities if birth is None else [*by_birth.get(birth, ()), *by_birth.get(None, ())]
+        best, at = ALONE, None
+        for e in near:
+            d = dates_cost(dates, e["dates"])
+            if d is None or brief and d < SAME_DATES:
+                continue
+            p = parts_cost(kind, parts, e["parts"], nicknames, None if d < SAME_DATES else TWO_TYPOS if typo else ODD)
+            if p is None:
+                continue
+            score = math.log(e["n"] + 0.5) + d + p
+            if score > best:
+                best, at = score, e
+        penalty = math.log(sure) + (KEY_TYPO if typo else 0.0)
+        if at is not None and best + penalty > ALONE:
+            if not typo:
+                at["n"] += n
+                if at["dates"][0] == birth and not at["dates"][1]:
+                    at["dates"] = (at["dates"][0], death)
+            yield form, at["form"], best + penalty
+        elif not typo:
+            e = {"form": form, "dates": dates, "parts": parts, "n": n}
+            entities.append(e)
+            by_birth.setdefault(birth, []).append(e)
+            yield form, form, ALONE + penalty
+
+
 def _attribute(nicknames: dict[str, set[str]]):
+    """The blocks of a partition that is sorted by block, one after the other; a block may reach over several batches."""
     out = pa.schema([("form", pa.int64()), ("entity", pa.int64()), ("score", pa.float64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        rows.sort(key=lambda r: (
-            r["typo"], -(r["birth"] is not None), -sum(len(p.rstrip(".")) > 1 and not p.endswith(("*",)) for p in r["parts"]), -sum(not p.endswith(".") for p in r["parts"]), -r["n"], -r["sure"], r["form"],
-        ))
-        entities: list[dict] = []
-        by_birth: dict[str | None, list[dict]] = {}
-        result = []
-        for r in rows:
-            dates = (r["birth"], r["death"])
-            # dated spellings meet their own year and the undated entities only
-            near = entities if r["birth"] is None else [*by_birth.get(r["birth"], ()), *by_birth.get(None, ())]
-            best, at = ALONE, None
-            for e in near:
-                d = dates_cost(dates, e["dates"])
-                if d is None:
-                    continue
-                p = parts_cost(r["kind"], r["parts"], e["parts"], nicknames)
-                if p is None:
-                    continue
-                score = math.log(e["n"] + 0.5) + d + p
-                if score > best:
-                    best, at = score, e
-            penalty = math.log(r["sure"]) + (KEY_TYPO if r["typo"] else 0.0)
-            if at is not None and best + penalty > ALONE:
-                if not r["typo"]:
-                    at["n"] += r["n"]
-                    if at["dates"][0] == r["birth"] and not at["dates"][1]:
-                        at["dates"] = (at["dates"][0], r["death"])
-                result.append((r["form"], at["form"], best + penalty))
-            elif not r["typo"]:
-                e = {"form": r["form"], "dates": dates, "parts": r["parts"], "n": r["n"]}
-                entities.append(e)
-                by_birth.setdefault(r["birth"], []).append(e)
-                result.append((r["form"], r["form"], ALONE + penalty))
-        cols = list(zip(*result)) or [(), (), ()]
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(cols, out)], schema=out)
+    def made(result: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*result), out)], schema=out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows, result = None, [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:4]), zip(columns[4], columns[0], *columns[5:])):
+                if key != block:
+                    result += _block(rows, nicknames)
+                    block, rows = key, []
+                    if len(result) > 20_000:
+                        yield made(result)
+                        result = []
+                rows.append(row)
+        result += _block(rows, nicknames)
+        if result:
+            yield made(result)
 
     return run
 
 
 def _neighbours(read: DataFrame) -> DataFrame:
-    """(kind, key, other): key parts and the more frequent ones one edit away, found by the keys they share when a letter is left out.
+    """(kind, key, other, brief): key parts and the more frequent ones one edit away, found by the keys they share when a letter is left out.
 
     Equally frequent ones are taken in the order of their letters, so every close pair stands in one direction. Weights are whole tenths, for sums of fractions would depend on their order.
+    brief: one of the two has less than four letters, which are close to many others by chance; such a pair links spellings with the same full dates only.
     """
-    keys = read.groupBy("kind", "key").agg(F.sum(F.col("n") * F.round(F.col("sure") * 10).cast("long")).alias("w")).filter("length(key) >= 4")
+    keys = read.groupBy("kind", "key").agg(F.sum(F.col("n") * F.round(F.col("sure") * 10).cast("long")).alias("w")).filter("length(key) >= 2")
     cuts = keys.select(
         "kind", "key", "w",
         F.explode(F.array_distinct(F.concat(F.array("key"), F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.concat(
@@ -338,34 +375,77 @@ def _neighbours(read: DataFrame) -> DataFrame:
     close = (F.levenshtein("key", "other") <= 1) | (
         (F.length("key") == F.length("other")) & (F.levenshtein("key", "other") == 2) & (F.array_sort(F.split("key", "")) == F.array_sort(F.split("other", "")))
     )
-    return cuts.join(other, ["kind", "cut"]).filter("w < w_other OR w = w_other AND key > other").filter(close).select("kind", "key", "other").distinct()
-
-
-def attribute(headings: DataFrame) -> DataFrame:
+    found = cuts.join(other, ["kind", "cut"]).filter("w < w_other OR w = w_other AND key > other").filter(close)
+    return found.select("kind", "key", "other", F.expr("least(length(key), length(other)) < 4").alias("brief")).distinct()
+
+
+#: Blocks of more spellings are cut by year of birth.
+MOST_IN_BLOCK = 2_000
+BLOCK = ["kind", "key", "sign", "room"]
+
+
+def _rooms(placed: DataFrame, most: int) -> DataFrame:
+    """Adds the room of each spelling: '' in blocks of up to ``most`` spellings; larger ones have a room for each year of birth, where dated spellings meet those of their year, and undated ones, which may be anybody, stand in all of them and in one of their own."""
+    sizes = placed.groupBy("kind", "key", "sign").agg(F.count(F.lit(1)).alias("size"), F.array_append(F.collect_set("birth"), "").alias("years")).filter(F.col("size") > most)
+    sizes = stored(sizes.drop("size"), "blocks")
+    if sizes.isEmpty():
+        return placed.withColumn("room", F.lit(""))
+    known = placed.join(sizes, ["kind", "key", "sign"], "left")
+    where = F.when(F.col("years").isNull(), F.array(F.lit(""))).when(F.col("birth").isNotNull(), F.array("birth")).otherwise(F.col("years"))
+    return known.withColumn("room", F.explode(where)).drop("years")
+
+
+def roots(best: DataFrame) -> DataFrame:
+    """(form, entity) with every chain followed to its end: each entity is its own. Spellings that were attributed in a circle have the least of the circle as entity."""
+    best = stored(best, "entities")
+    left = None
+    while True:
+        ends = best.filter("form = entity").select("entity")
+        loose = best.filter("form <> entity").join(ends, "entity", "left_anti").count()
+        if not loose:
+            return best
+        if loose == left:
+            break
+        left = loose
+        best = stored(best.join(best.select(F.col("form").alias("entity"), F.col("entity").alias("next")), "entity", "left").select("form", F.coalesce("next", "entity").alias("entity")), "entities")
+    # what is left runs into circles: far is a place on the circle after enough doublings, low the least of what was passed from there on
+    step = best.filter("form <> entity").join(best.filter("form = entity").select("entity"), "entity", "left_anti").select("form", F.col("entity").alias("far"), F.least("form", "entity").alias("low"))
+    same, before = 0, None
+    while same < 2:
+        step = stored(step, "circles")
+        on = step.select(F.col("form").alias("far"), F.col("far").alias("far2"), F.col("low").alias("low2"))
+        step = stored(step.join(on, "far").select("form", F.col("far2").alias("far"), F.least("low", "low2").alias("low")), "circles")
+        label = step.select("form", "far").join(step.select(F.col("form").alias("far"), F.col("low").alias("entity")), "far").select("form", "entity")
+        now = label.agg(F.sum(F.xxhash64("form", "entity").cast("decimal(38,0)"))).first()[0]
+        same, before = (same + 1 if now == before else 0), now
+    label = stored(label, "circles")
+    fixed = best.join(label.withColumnRenamed("entity", "circle"), "form", "left").select("form", F.coalesce("circle", "entity").alias("entity"))
+    return roots(fixed)
+
+
+def attribute(headings: DataFrame, *, most_in_block: int = MOST_IN_BLOCK) -> DataFrame:
     """(kind, name, dates, entity): each distinct spelling with its entity, named by the spelling that founded it.
 
     headings: (kind, name, dates) with one row for each occurrence; null and
-    blank names are left out. Equal entity means the same person or body.
+    blank names are left out. Equal entity means the same person or body. A
+    task holds one block of spellings at a time; ``most_in_block`` is the size
+    from which a block is cut by year of birth.
     """
     spelt = headings.filter("name IS NOT NULL AND trim(name) <> ''").groupBy("kind", "name", "dates").agg(F.count(F.lit(1)).alias("n"))
     spelt = stored(spelt.select(F.xxhash64("kind", "name", "dates").alias("form"), "kind", "name", "dates", "n"), "spellings")
     read = stored(spelt.mapInArrow(_parse, _READ), "readings")
     nicknames = learn_nicknames(read)
     signed = read.mapInArrow(_signature(nicknames), f"{_READ}, signs array<string>")
-    own = signed.withColumn("typo", F.lit(False))
+    own = signed.withColumns({"typo": F.lit(False), "brief": F.lit(False)})
     moved = signed.join(_neighbours(read), ["kind", "key"]).drop("key").withColumnRenamed("other", "key").withColumn("typo", F.lit(True))
-    placed = own.unionByName(moved).select("*", F.explode("signs").alias("sign")).drop("signs")
-    found = placed.groupBy("kind", "key", "sign").applyInArrow(_attribute(nicknames), "form long, entity long, score double")
+    placed = stored(own.unionByName(moved).select("*", F.explode("signs").alias("sign")).drop("signs"), "blocks")
+    rows = _rooms(placed, most_in_block).select(*BLOCK, "form", "n", "parts", "birth", "death", "sure", "typo", "brief")
+    found = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_attribute(nicknames), "form long, entity long, score double")
     best = stored(found.groupBy("form").agg(F.max_by("entity", F.struct("score", "entity")).alias("entity")), "entities")
-    # a founder may itself have been attributed elsewhere
+    # a founder may itself have been attributed elsewhere; of two spellings attributed to each other, the lesser is the entity
     on = best.select(F.col("form").alias("entity"), F.col("entity").alias("next"))
-    # of two spellings attributed to each other, the lesser is the entity
     back = F.when(F.col("next") == F.col("form"), F.least("form", "entity")).otherwise(F.col("entity"))
-    best = best.join(on, "entity", "left").select("form", back.alias("entity"))
-    on = best.select(F.col("form").alias("entity"), F.col("entity").alias("next"))
-    for _ in range(2):
-        best = best.join(on, "entity", "left").select("form", F.coalesce("next", "entity").alias("entity"))
-    return spelt.join(best, "form").select("kind", "name", "dates", "entity")
+    return spelt.join(roots(best.join(on, "entity", "left").select("form", back.alias("entity"))), "form").select("kind", "name", "dates", "entity")
 
 
 def bib_headings(bib: DataFrame) -> DataFrame:

@@ -300,6 +300,25 @@ def test_headings_of_odd_records(spark):
     assert rows(names.same_main_entry(bib)) == [(1, 2)]
 
 
+def test_chains_and_circles_of_attributions(spark):
+    chain = [(4, 3), (3, 2), (2, 1), (1, 1), (9, 9)]
+    circle = [(20, 21), (21, 22), (22, 20), (30, 21), (31, 30), (10, 31)]
+    got = {r["form"]: r["entity"] for r in names.roots(spark.createDataFrame(chain + circle, "form long, entity long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 20: 20, 21: 20, 22: 20, 30: 20, 31: 20, 10: 20}
+    assert names.roots(spark.createDataFrame([], "form long, entity long")).count() == 0
+
+
+def test_short_surnames_and_large_blocks(spark):
+    data = [("person", "Lee, Harriet", "1900-1980")] * 3 + [("person", "Leo, Harriet", "1900-1980"), ("person", "Lea, Harriet", "1911-1990"), ("person", "Kim, A.", None)]
+    data += [("person", f"Bonufado, A{c}bert", f"{1900 + i}-1990") for i in range(12) for c in "ld"] + [("person", "Bonufado, A.", None)]
+    df = spark.createDataFrame(data, "kind string, name string, dates string")
+    for most in (2_000, 4):
+        entity = {(r["name"], r["dates"]): r["entity"] for r in names.attribute(df, most_in_block=most).collect()}
+        assert entity["Lee, Harriet", "1900-1980"] == entity["Leo, Harriet", "1900-1980"] != entity["Lea, Harriet", "1911-1990"]
+        pairs = [{entity[f"Bonufado, A{c}bert", f"{1900 + i}-1990"] for c in "ld"} for i in range(12)]
+        assert all(len(p) == 1 for p in pairs) and len({v for p in pairs for v in p}) == 12
+
+
 # --- the subpackage stands apart
 
 
