@@ -27,7 +27,9 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +52,15 @@ LETTERS_THERE = {0xA1: "Ł", 0xA2: "Ø", 0xA3: "Đ", 0xA4: "Þ", 0xA5: "Æ", 0xA
 DISCOUNT = 1
 #: Probability from which the letter behind a lost byte is given.
 SURE = 0.9
-#: Words of a character that make it part of the alphabet, so that garbled text does not bring in signs of its own.
+#: Words of a character that make it part of the alphabet, so that garbled text does not bring in signs of its own; a rarer letter is taken in where others of its block are that frequent.
 LEAST_LETTER = 3
+#: EM ends when no share of a swap, and no share of a letter behind a damaged symbol, moves by more than this.
+SETTLED = 1e-3
+#: How much all letters being alike behind a damaged symbol weighs against what is learnt.
+EVEN = 0.3
+#: A symbol learnt to stand for a letter: in so many words at least, and so much more probable (log, a word) than any sign that is no letter.
+LEAST_WORDS, CLEARLY = 20, 2.0
+LEARNT = "learnt"
 #: Symbols are folded to these before translate.
 FOLD = 0xF0000
 
@@ -75,14 +84,17 @@ class Swap:
     pattern: re.Pattern = field(init=False)
     fold: dict[str, str] = field(init=False)
     table: dict[int, str] = field(init=False)
+    #: What symbols begin with: a word without any of these did not go through the swap.
+    signs: frozenset[str] = field(init=False)
 
     def __post_init__(self):
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.symbols, key=lambda s: (-len(s), s))))) if self.symbols else re.compile(r"(?!)")
         self.fold = {s: chr(FOLD + i) for i, s in enumerate(self.symbols)}
         self.table = {FOLD + i: to for i, to in enumerate(self.symbols.values())}
+        self.signs = frozenset(s[0] for s in self.symbols)
 
     def decode(self, word: str) -> str:
-        if self.script and not self._whole(word):
+        if self.signs.isdisjoint(word) or self.script and not self._whole(word):
             return word
         return self.pattern.sub(lambda m: self.fold[m[0]], word).translate(self.table)
 
@@ -145,6 +157,13 @@ def _kind(c: str) -> str:
     return c if code < 0x590 or 0x1E00 <= code < 0x2100 or code in (0xFFFD,) or 0x2200 <= code < 0x2600 else "字"
 
 
+def alphabet_of(singles: dict[str, float]) -> set[str]:
+    """The characters of the corpus: those in LEAST_LETTER words, and letters beside such ones in their block of 128."""
+    frequent = {c for c, n in singles.items() if n >= LEAST_LETTER and c not in ("字", LOST)}
+    blocks = {ord(c) >> 7 for c in frequent if c.isalpha()}
+    return frequent | {c for c, n in singles.items() if n >= 1 and c.isalpha() and c not in ("字", LOST) and ord(c) >> 7 in blocks}
+
+
 @dataclass
 class Model:
     """Letter bigrams with add-one backing off to single letters, and what was learnt of each source."""
@@ -156,9 +175,13 @@ class Model:
     weights: dict[str, dict[str, float]] = field(default_factory=dict)
     #: {source: {damaged symbol: {letter: expected number}}}
     lost: dict[str, dict[str, dict[str, float]]] = field(default_factory=dict)
+    #: {source: {symbol: letter}}: substitutions of no known page, learnt from where the symbols stand.
+    learnt: dict[str, dict[str, str]] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.candidates = lost_symbols({c for c, n in self.singles.items() if n >= LEAST_LETTER})
+        self.candidates = lost_symbols(alphabet_of(self.singles))
+        self.own = {source: Swap(LEARNT, mapping) for source, mapping in self.learnt.items() if mapping}
+        self.logs: dict[str, float] = {}
         self.damaged = re.compile("|".join(map(re.escape, sorted(self.candidates, key=lambda u: (-len(u), u)))))
 
     def _given(self, before: str, c: str) -> float:
@@ -166,35 +189,41 @@ class Model:
         return (max(self.pairs.get(before + c, 0) - DISCOUNT, 0) + 3 * single) / (self.singles.get(before, 0) + 3)
 
     def letters(self, text: str, source: str) -> Iterator[tuple[int, int, str, dict[str, float]]]:
-        """(begin, end, symbol, {letter: probability}) of each damaged symbol of a word, from its neighbours and what the symbol stood for in this source elsewhere."""
+        """(begin, end, symbol, {letter: probability}) of each damaged symbol of a word, from its neighbours and what the symbol stood for in this source elsewhere, beside EVEN for all letters alike."""
         known = self.lost.get(source, {})
         for m in self.damaged.finditer(text):
             before = _kind(text[m.start() - 1]) if m.start() else " "
             after = _kind(text[m.end()]) if m.end() < len(text) else " "
+            here = self.places(m[0], before, after)
             seen = known.get(m[0], {})
-            odds = {}
-            for c in self.candidates[m[0]]:
-                here = self._given(before, c) * (1.0 if after == LOST else self._given(c, after))
-                odds[c] = here * (seen.get(c, 0.0) + 0.5)
+            prior = EVEN * max(sum(seen.values()), 1.0) / len(here)
+            odds = {c: x * (seen.get(c, 0.0) + prior) for c, x in here.items()}
             whole = sum(odds.values())
             if whole > 0:
                 yield m.start(), m.end(), m[0], {c: x / whole for c, x in odds.items()}
 
+    def places(self, symbol: str, before: str, after: str) -> dict[str, float]:
+        """How probable each letter is that a damaged symbol may stand for, by its neighbours alone."""
+        return {c: self._given(before, c) * (1.0 if after == LOST else self._given(c, after)) for c in self.candidates[symbol]}
+
     def fill(self, text: str, source: str) -> str:
-        """A word with each damaged symbol whose letter is SURE put right; the others stay."""
+        """A word with each damaged symbol whose letter is SURE put right; the others stay, and so do those that begin a word, whose case nothing tells."""
         out, end = [], 0
         for begin, stop, _, odds in self.letters(text, source):
             c = max(odds, key=odds.get)
-            if odds[c] >= SURE:
+            if odds[c] >= SURE and begin > 0 and text[begin - 1].isalpha():
                 out += [text[end:begin], c]
                 end = stop
         return "".join([*out, text[end:]])
 
     def cost(self, word: str, known: dict[str, float] | None = None) -> float:
         """Minus log probability of a word between two blanks."""
-        out, before = 0.0, " "
+        out, before, logs = 0.0, " ", self.logs
         for c in [*map(_kind, word), " "]:
-            out -= math.log(self._given(before, c))
+            pair = before + c
+            if pair not in logs:
+                logs[pair] = -math.log(self._given(before, c))
+            out += logs[pair]
             before = c
         return out
 
@@ -204,13 +233,15 @@ class Model:
         if beside:
             weights = {n: x / 2 for n, x in weights.items()} | {beside: 0.5}
         found = {word: (self.cost(word) - math.log(weights.get(CLEAN, 0.97)), CLEAN, word)}
-        for swap in self.ciphers:
+        own = self.own.get(source)
+        for swap in [*self.ciphers, own] if own else self.ciphers:
             text = swap.decode(word)
             if text == word:
                 continue
-            prior = -math.log(weights.get(swap.name, 0.001))
+            # a learnt substitution has shown itself already
+            prior = -math.log(0.5 if swap.name == LEARNT else weights.get(swap.name, 0.001))
             for times, t in ((1, text), (2, swap.decode(text))):
-                if times == 2 and (t == text or swap.name == MARC8):
+                if times == 2 and (t == text or swap.name in (MARC8, LEARNT)):
                     continue
                 cost = self.cost(t) + prior * (1 if times == 1 else 1.3)
                 if t not in found or cost < found[t][0]:
@@ -263,23 +294,53 @@ def _words(frame: DataFrame, source: str, value: str) -> DataFrame:
     )
 
 
-def _count(model: Model | None, clean_only: bool):
-    """Counts of bigrams, single letters and swaps in the words of a partition, each word weighted by its number and its probability to be clean."""
+def _ascii(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the bigrams in words of ASCII, which no swap touches: they are taken once, over whole buffers."""
+    total = np.zeros(128 * 128)
+    digits = np.arange(128, dtype=np.int64)
+    digits[ord("0") : ord("9") + 1] = ord("0")
+    for batch in batches:
+        words, numbers = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+        data = np.frombuffer((" " + " ".join(words.to_pylist()) + " ").encode(), np.uint8)
+        codes = digits[data]
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False) + 1
+        total += np.bincount(codes[:-1] * 128 + codes[1:], weights=np.repeat(numbers, lengths), minlength=128 * 128)
+    at = np.flatnonzero(total)
+    if len(at):
+        yield pa.RecordBatch.from_pydict({"name": pa.array([chr(i >> 7) + chr(i & 127) for i in at.tolist()], pa.string()), "n": pa.array(total[at], pa.float64())})
+
+
+#: Signs that stand inside words of their own right.
+_JOINERS = "'’‘ʼ´`-‐‑–—·/.&"
+
+
+def _inside(word: str) -> Iterator[tuple[str, str, str]]:
+    """(before, symbol, after) of signs that are no letters and yet stand between two letters."""
+    for i in range(1, len(word) - 1):
+        c = word[i]
+        if ord(c) >= 0x80 and c != LOST and not c.isalpha() and c not in _JOINERS and not unicodedata.combining(c) and word[i - 1].isalpha() and word[i + 1].isalpha():
+            yield _kind(word[i - 1]), c, _kind(word[i + 1])
+
+
+def _count(model: Model | None):
+    """Counts of bigrams, swaps, and places of lost bytes and of odd signs in the other words of a partition, each word weighted by its number and its probability to be clean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: dict[str, float] = defaultdict(float)
         used: dict[tuple[str, str], float] = defaultdict(float)
-        letters: dict[tuple[str, str], float] = defaultdict(float)
+        lost: dict[tuple[str, str], float] = defaultdict(float)
+        odd: dict[tuple[str, str], float] = defaultdict(float)
         for batch in batches:
             for source, word, n in zip(*(c.to_pylist() for c in batch.columns)):
                 share = 1.0
                 if is_damaged(word):
                     share = 0.0
                     if model is not None and LOST in word:
-                        for _, _, symbol, odds in model.letters(model.readings(word, source)[0][2], source):
-                            for c, x in odds.items():
-                                letters[source, symbol + c] += n * x
-                elif model is not None and not word.isascii():
+                        text = model.readings(word, source)[0][2]
+                        for m in model.damaged.finditer(text):
+                            sides = (_kind(text[m.start() - 1]) if m.start() else " ") + (_kind(text[m.end()]) if m.end() < len(text) else " ")
+                            lost[source, sides + m[0]] += n
+                elif model is not None:
                     ways = model.readings(word, source)
                     best = ways[0][0]
                     odds = {}
@@ -289,24 +350,96 @@ def _count(model: Model | None, clean_only: bool):
                     for swap, x in odds.items():
                         used[source, swap] += n * x / whole
                     share = odds.get(CLEAN, 0) / whole
-                elif model is None and clean_only and _suspect(word):
+                elif _suspect(word):
                     share = 0.0
-                if share > 0.5:
+                signs = list(_inside(word))
+                if share > 0.5 or odds_of_learnt(model, source, signs):
+                    for before, c, after in signs:
+                        odd[source, c + before + after] += n
+                if share > 0.5 and not signs:
                     before = " "
                     for c in [*map(_kind, word), " "]:
                         pairs[before + c] += n
                         before = c
-        keys = [("", k) for k in pairs] + list(used) + list(letters)
-        values = list(pairs.values()) + list(used.values()) + list(letters.values())
+        keys = [("", k) for k in pairs] + list(used) + list(lost) + list(odd)
+        values = [*pairs.values(), *used.values(), *lost.values(), *odd.values()]
         if keys:
+            kinds = ["pair"] * len(pairs) + ["swap"] * len(used) + ["lost"] * len(lost) + ["odd"] * len(odd)
             yield pa.RecordBatch.from_pydict({
                 "source": pa.array([k[0] for k in keys], pa.string()), "name": pa.array([k[1] for k in keys], pa.string()),
-                "kind": pa.array(["pair"] * len(pairs) + ["swap"] * len(used) + ["letter"] * len(letters), pa.string()), "n": pa.array(values, pa.float64()),
+                "kind": pa.array(kinds, pa.string()), "n": pa.array(values, pa.float64()),
             })
 
     return run
 
 
+def odds_of_learnt(model: Model | None, source: str, signs: list) -> bool:
+    """Whether a word has signs that the model has learnt for this source: their places count on."""
+    return model is not None and any(c in model.learnt.get(source, ()) for _, c, _ in signs)
+
+
+def _settled(places: list[tuple[dict[str, float], float]], prior: float) -> tuple[dict[str, float], float]:
+    """Expectation maximisation of what one symbol stands for: ({letter: expected number}, mean log likelihood of a place).
+
+    places: for each place the letters' likelihoods by its neighbours, and how
+    often it occurs. A place's letter is hidden; its probability is its
+    likelihood times the letter's share, to which ``prior`` is added.
+    """
+    sums: dict[str, float] = {}
+    whole = sum(n for _, n in places) or 1.0
+    while True:
+        new: dict[str, float] = defaultdict(float)
+        gain = 0.0
+        for here, n in places:
+            odds = {c: x * (sums.get(c, 0.0) + prior) for c, x in here.items()}
+            all_ = sum(odds.values()) or 1e-300
+            gain += n * math.log(all_ / (whole + prior * len(odds)) + 1e-300)
+            for c, x in odds.items():
+                new[c] += n * x / all_
+        moved = max((abs(new[c] - sums.get(c, 0.0)) for c in new), default=0.0)
+        sums = dict(new)
+        if moved <= SETTLED * whole:
+            return sums, gain / whole
+
+
+def _behind_lost(model: Model, lost: dict[str, dict[str, float]]) -> dict[str, dict[str, dict[str, float]]]:
+    """{source: {damaged symbol: {letter: expected number}}} from where the symbols stand."""
+    out: dict[str, dict[str, dict[str, float]]] = {}
+    for source, places in lost.items():
+        by_symbol = defaultdict(list)
+        for name, n in places.items():
+            if name[2:] in model.candidates:
+                by_symbol[name[2:]].append((model.places(name[2:], name[0], name[1]), n))
+        # some weight is on all letters alike, lest one that is common takes all places
+        out[source] = {u: _settled(where, EVEN * max(sum(n for _, n in where), 1.0) / len(model.candidates[u]))[0] for u, where in by_symbol.items()}
+    return out
+
+
+def _substitutions(model: Model, odd: dict[str, dict[str, float]]) -> dict[str, dict[str, str]]:
+    """{source: {symbol: letter}} from where signs that are no letters stand between letters.
+
+    A symbol of a cipher stands where its letter would stand. A letter that
+    takes SURE of a symbol's places, in LEAST_WORDS words and CLEARLY better
+    than by chance, is what it stands for.
+    """
+    letters = sorted(c for c in alphabet_of(model.singles) if ord(c) >= 0x80 and c.isalpha())
+    chance = math.log(1 / (len(model.singles) + 1)) * 2
+    out: dict[str, dict[str, str]] = {}
+    for source, places in odd.items():
+        by_symbol: dict[str, list] = defaultdict(list)
+        for name, n in places.items():
+            by_symbol[name[0]].append(({c: model._given(name[1], c) * model._given(c, name[2]) for c in letters}, n))
+        for symbol, where in by_symbol.items():
+            whole = sum(n for _, n in where)
+            if whole < LEAST_WORDS or not letters:
+                continue
+            sums, gain = _settled(where, 1e-3)
+            best = max(sums, key=sums.get)
+            if sums[best] >= SURE * whole and gain - chance >= CLEARLY:
+                out.setdefault(source, {})[symbol] = best
+    return out
+
+
 #: Leads and followers of two-byte sequences in the usual wrong code pages: words with such a pair start out as not clean.
 _SUSPECT = re.compile(
     "[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]"
@@ -318,36 +451,50 @@ def _suspect(word: str) -> bool:
     return bool(_SUSPECT.search(word))
 
 
-def learn(values: DataFrame, source: str = "source", value: str = "value", rounds: int = 3) -> tuple[Model, DataFrame]:
+def _moved(old: dict, new: dict) -> float:
+    """The greatest change of a share."""
+    return max((abs(new.get(k, 0.0) - old.get(k, 0.0)) for k in {*old, *new}), default=0.0)
+
+
+def learn(values: DataFrame, source: str = "source", value: str = "value", most_rounds: int = 30) -> tuple[Model, DataFrame]:
     """The model of all values, and the words it was learnt from.
 
     ``source`` names what texts of one origin share; null counts as ''. Every
-    round is one pass over the distinct words: the expectation is taken word by
-    word in the tasks, summed over the partitions, and the sums (bounded by
-    alphabet and number of sources) go to the driver.
+    round is one pass over the distinct words with other than ASCII signs: the
+    expectation is taken word by word in the tasks, summed over the partitions,
+    and the sums (bounded by alphabet and number of sources) go to the driver.
+    Rounds go on until the shares are SETTLED; a model that has not settled
+    after ``most_rounds`` is an error.
     """
     words = stored(_words(values, source, value), "words")
-    model = None
-    for _ in range(rounds):
-        sums = words.mapInArrow(_count(model, True), "source string, name string, kind string, n double").groupBy("source", "name", "kind").agg(F.sum("n").alias("n"))
-        pairs: Counter = Counter()
-        used: dict[str, dict[str, float]] = defaultdict(dict)
-        letters: dict[str, dict[str, dict[str, float]]] = {}
+    high = stored(words.filter(F.col("word").rlike(r"[^\x00-\x7F]")), "high")
+    plain: Counter = Counter()
+    ascii_words = words.filter(~F.col("word").rlike(r"[^\x00-\x7F]")).groupBy("word").agg(F.sum("n").alias("n"))
+    for r in ascii_words.mapInArrow(_ascii, "name string, n double").groupBy("name").agg(F.sum("n").alias("n")).collect():
+        plain[r["name"]] = r["n"]
+    model, before = None, None
+    for _ in range(most_rounds):
+        sums = high.mapInArrow(_count(model), "source string, name string, kind string, n double").groupBy("source", "name", "kind").agg(F.sum("n").alias("n"))
+        pairs: Counter = Counter(plain)
+        by_kind: dict[str, dict[str, dict[str, float]]] = {k: defaultdict(dict) for k in ("swap", "lost", "odd")}
         for r in sums.collect():
             if r["kind"] == "pair":
                 pairs[r["name"]] += r["n"]
-            elif r["kind"] == "letter":
-                letters.setdefault(r["source"], {}).setdefault(r["name"][:-1], {})[r["name"][-1]] = r["n"]
             else:
-                used[r["source"]][r["name"]] = r["n"]
+                by_kind[r["kind"]][r["source"]][r["name"]] = r["n"]
         singles: Counter = Counter()
         for pair, n in pairs.items():
             singles[pair[0]] += n
-        alphabet = {c for c, n in singles.items() if n >= LEAST_LETTER and c != "字" and c != LOST}
-        weights = {s: _weights(u) for s, u in used.items()}
+        weights = {s: _weights(u) for s, u in by_kind["swap"].items()}
         weights[""] = weights.get("", _weights({}))
-        model = Model(dict(pairs), dict(singles), int(sum(singles.values())), swaps(alphabet), weights, letters)
-    return model, words
+        now = {(s, n): x for s, w in weights.items() for n, x in w.items()}
+        bare = Model(dict(pairs), dict(singles), int(sum(singles.values())), swaps(alphabet_of(singles)), weights)
+        first, known = model is None, model.learnt if model else {}
+        model = Model(bare.pairs, bare.singles, bare.total, bare.ciphers, weights, _behind_lost(bare, by_kind["lost"]), _substitutions(bare, by_kind["odd"]))
+        if not first and before is not None and _moved(before, now) < SETTLED and model.learnt == known:
+            return model, words
+        before = None if first else now
+    raise RuntimeError(f"not settled after {most_rounds} rounds")
 
 
 #: What a swap counts beforehand, against this many clean words.

@@ -230,6 +230,22 @@ def test_garbled(spark):
     assert mojibake.restore(df.filter("false"), empty).count() == 0
 
 
+def test_a_page_in_no_list_is_learnt_for_its_source(spark):
+    draw = random.Random(5)
+    stock = ["Verlag für Bücher", "Über grüne Flößerei und Möbel", "Edições de café e avó", "écoles et forêts régionales", "mère et père fidèles", "schöne Höhlen für Schüler", "sécurité générale des élèves", "grüße aus der Küche"]
+    good = [("a", draw.choice(stock)) for _ in range(2500)]
+    # a substitution that no code page makes, in one source only
+    swap = str.maketrans({"é": "‡", "ü": "¤", "ö": "¬"})
+    bad = [("z", t.translate(swap), t) for t in (draw.choice(stock) for _ in range(600)) if t.translate(swap) != t and t[0] not in "éüö"]
+    df = spark.createDataFrame([(s, v, None) for s, v in good] + bad, "source string, value string, truth string")
+    model, _ = mojibake.learn(df.select("source", "value"))
+    assert model.learnt == {"z": {"‡": "é", "¤": "ü", "¬": "ö"}}
+    out = mojibake.restore(df, model)
+    assert out.filter("garbled AND truth IS NULL").count() == 0
+    rest = out.filter("truth IS NOT NULL")
+    assert rest.filter("garbled AND restored = truth").count() >= 0.9 * rest.count()
+
+
 # --- names
 
 PEOPLE = [
