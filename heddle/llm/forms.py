@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.session import stored
+
 # Letters of other scripts and the Latin letters they look like.
 LOOK_ALIKE = {
     "АВЕЅІЈКМНОРСТУХҮԌԚԜ": "ABESIJKMHOPCTYXYGQW",
@@ -24,6 +26,9 @@ LOOK_ALIKE = {
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ": "ABEZHIKMNOPTYX",
     "νορ": "vop",
     "ΆΈΉΊΌΎό": "ÁÉHÍÓÝó",
+    "ɡϳɑ": "gja",
+    "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ": "ABCDEHJKLMPRSTVWZ",
+    "ՕՏՍհոսօցզ": "OSUhnuogq",
 }
 HYPHENS = "‐‑﹣－⁃"
 #: General categories without a glyph; soft hyphens, joiners and direction marks are among them.
@@ -102,7 +107,7 @@ def _read(columns: list[str], memory: str):
                 )
             part = pa.Table.from_batches([batch])
             con.register("part", part)
-            out = con.execute(f"SELECT {picked} FROM part").to_arrow_table()
+            out = con.sql(f"SELECT {picked} FROM part").to_arrow_table()
             con.unregister("part")
             yield from out.cast(batch.schema).to_batches()
 
@@ -125,21 +130,39 @@ def reading(frame: DataFrame, *columns: str, memory: str = "256MB") -> DataFrame
     return frame.mapInArrow(_read(list(columns), memory), frame.schema)
 
 
+def reading_classes(texts: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """(id, raw, reading, class_id, n_ways): each distinct (key, text) with the class of texts that read the same.
+
+    A class is named by the hash of its reading; n_ways counts the strings in
+    it, of which 1 means that all its texts agree to the letter. Linear in the
+    rows, whatever share of them one reading has: only distinct strings are
+    read and counted, and the rows meet their string's class by the string.
+    Null texts and keys are left out, and so are texts whose reading is empty.
+    """
+    spelt = texts.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("raw")).filter("raw IS NOT NULL AND id IS NOT NULL").distinct()
+    strings = reading(spelt.select("raw").distinct().withColumn("reading", F.col("raw")), "reading").filter("reading <> ''")
+    strings = stored(strings, "readings")
+    ways = strings.groupBy("reading").agg(F.count(F.lit(1)).alias("n_ways"))
+    known = strings.join(ways, "reading").withColumn("class_id", F.xxhash64("reading"))
+    return spelt.join(known, "raw").select("id", "raw", "reading", "class_id", "n_ways")
+
+
 def same_reading(left: DataFrame, right: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """(left_id, right_id, reading): every pair whose texts read the same but are not the same string.
 
-    Both sides are (key, text); their rows are reduced to distinct ones, and
-    readings written in one way only on both sides are left out before the
-    join, so frequent texts that all agree make no pair.
+    For results that are asked for as pairs; ``reading_classes`` gives the same
+    links as classes. Both sides are (key, text); their rows are reduced to
+    distinct ones, and readings written in one way only on both sides are left
+    out before the join, so frequent texts that all agree make no pair.
     """
     both = left.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("raw"), F.lit(0).alias("side")).unionByName(
         right.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("raw"), F.lit(1).alias("side"))
     )
     spelt = both.filter("raw IS NOT NULL AND id IS NOT NULL").distinct()
-    strings = reading(spelt.select("raw").distinct().withColumn("reading", F.col("raw")), "reading").filter("reading <> ''")
+    # stored, for the strings are read for their number and again for the rows
+    strings = stored(reading(spelt.select("raw").distinct().withColumn("reading", F.col("raw")), "reading").filter("reading <> ''"), "readings")
     several = strings.groupBy("reading").agg(F.count(F.lit(1)).alias("ways")).filter("ways > 1").select("reading")
-    worth = strings.join(several, "reading", "left_semi")
-    sides = spelt.join(worth, "raw")
+    sides = spelt.join(strings.join(several, "reading", "left_semi"), "raw")
     a = sides.filter("side = 0").select("reading", F.col("id").alias("left_id"), F.col("raw").alias("left_raw"))
     b = sides.filter("side = 1").select("reading", F.col("id").alias("right_id"), F.col("raw").alias("right_raw"))
     return a.join(b, "reading").filter("left_raw <> right_raw").select("left_id", "right_id", "reading").distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm import scan
-from heddle.session import scratch
+from heddle.session import scratch, stored
 
 #: Positions between two texts of a shard, so that no stretch crosses them.
 GAP = 1
@@ -272,18 +272,31 @@ def _aligned(shard: _Shard, words: list[str], at: np.ndarray, reach: int, step:
     return closed
 
 
-def _search(passages: list[tuple[int, list[str]]], length: int, near: tuple[int, int] | None):
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, sizes = _cut(batch.column(1))
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), words.cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["item", "words"])
+
+
+def _search(length: int, near: tuple[int, int] | None):
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
-    def search(table: pa.Table) -> pa.Table:
-        shard = _Shard(table)
+    def search(met: pa.Table, postings: pa.Table) -> pa.Table:
+        """The passages that may stand in a shard, looked for in its postings."""
+        if not met.num_rows or not postings.num_rows:
+            return out.empty_table()
+        shard = _Shard(postings)
         docs, items = [], []
-        for item, words in passages:
-            places = near_places(shard, words, length, *near) if near else exact_places(shard, words, length)
-            if len(places):
-                found = np.unique(shard.text(places))
-                docs.append(found)
-                items.append(np.full(len(found), item, np.int64))
+        for batch in met.select(["item", "words"]).to_batches():
+            for item, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = words.as_py()
+                places = near_places(shard, words, length, *near) if near else exact_places(shard, words, length)
+                if len(places):
+                    found = np.unique(shard.text(places))
+                    docs.append(found)
+                    items.append(np.full(len(found), item, np.int64))
         if not docs:
             return out.empty_table()
         return pa.table([np.concatenate(docs), np.concatenate(items)], schema=out)
@@ -291,37 +304,52 @@ def _search(passages: list[tuple[int, list[str]]], length: int, near: tuple[int,
     return search
 
 
-def search(index: DataFrame, items: DataFrame, item: str, passage: str, *, length: int = 13, near: tuple[int, int] | None = None, most_items: int = 50_000) -> DataFrame:
+#: A list of words is broadcast up to this many bytes, which are measured; a longer one is joined by shuffle.
+MOST_BROADCAST = 64_000_000
+
+
+def _small(words: DataFrame) -> DataFrame:
+    size = words.agg(F.sum(F.octet_length("word") + 40).alias("b")).first()["b"] or 0
+    return F.broadcast(words) if size <= MOST_BROADCAST else words
+
+
+def anchors(passages: DataFrame, counts: DataFrame, length: int, least: int) -> DataFrame:
+    """(item, words, word): for each passage the words from which its stretches are approached: of every stretch the ``length - least + 1`` that are rarest in the whole index, of which a place that holds ``least`` words of it has one. Words that the index lacks are none; a stretch that lacks too many is left out."""
+    k = length - least + 1
+    spread = passages.withColumn("no", F.monotonically_increasing_id()).select("no", "item", "words", F.posexplode("words").alias("at", "word"))
+    known = spread.join(counts, "word", "left").groupBy("no").agg(
+        F.first("item").alias("item"), F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("all"))
+    starts = F.sequence(F.lit(1), F.size("all") - length + 1)
+    rarest = lambda i: F.slice(F.array_sort(F.transform(F.slice("all", i, F.lit(length)), lambda x: F.struct(x["n"].alias("n"), x["word"].alias("word")))), 1, k)
+    alive = F.filter(F.transform(starts, rarest), lambda r: F.element_at(r, k)["n"] > 0)
+    every = F.array_distinct(F.transform(F.filter(F.flatten(alive), lambda x: x["n"] > 0), lambda x: x["word"]))
+    return known.filter(F.size("all") >= length).select("item", "words", F.explode(every).alias("word"))
+
+
+def search(index: DataFrame, items: DataFrame, item: str, passage: str, *, length: int = 13, near: tuple[int, int] | None = None) -> DataFrame:
     """(doc_id, item_id), distinct: texts that hold ``length`` consecutive words of a passage, of all passages in ``items``.
 
     near=(least, slack): instead, ``least`` of ``length`` words in order with at
     most ``slack`` foreign words among them, not counting one in the place of
-    each missing word. The passages travel with the task;
-    there may be ``most_items`` at a time, more are searched in several passes
-    over the index. Passages shorter than ``length`` are never found; null
-    passages and ids give nothing. Only the postings of passage words are read
-    and shuffled, by shard.
+    each missing word. Passages shorter than ``length`` are never found; null
+    passages and ids give nothing.
+
+    Words are counted over the whole index, which gives every stretch of a
+    passage its rarest words; a shard and a passage meet where the shard has
+    one of them, and only what meets is looked through. The work follows the
+    number of places of rare words, not of shards times passages. Only the
+    postings of passage words are read and shuffled, by shard; the passages are
+    a table like any other and never on the driver.
     """
     asked = items.select(F.col(f"`{item}`").cast("bigint").alias("i"), F.col(f"`{passage}`").alias("p")).filter("i IS NOT NULL AND p <> ''").distinct()
-    spark = index.sparkSession
-    parts = []
-    found = None
-    rows = asked.orderBy("i", "p").toLocalIterator()
-    for row in rows:
-        parts.append((row["i"], words_of(row["p"])))
-        if len(parts) == most_items:
-            found = _pass(spark, index, parts, length, near, found)
-            parts = []
-    if parts or found is None:
-        found = _pass(spark, index, parts, length, near, found)
-    return found.distinct()
-
-
-def _pass(spark, index: DataFrame, passages, length, near, before):
-    vocabulary = sorted({w for _, words in passages for w in words} | {TEXTS})
-    wanted = F.broadcast(spark.createDataFrame(pa.table({"word": pa.array(vocabulary, pa.string())})))
-    hits = index.join(wanted, "word", "left_semi").groupBy("shard").applyInArrow(_search(passages, length, near), "doc_id long, item_id long")
-    return hits if before is None else before.unionByName(hits)
+    passages = stored(asked.mapInArrow(_passages, "item long, words array<string>"), "passages")
+    words = stored(passages.select(F.explode("words").alias("word")).distinct(), "words")
+    read = stored(index.join(_small(words.unionByName(index.sparkSession.range(1).select(F.lit(TEXTS).alias("word")))), "word", "left_semi"), "asked")
+    counts = read.filter(F.col("word") != TEXTS).groupBy("word").agg(F.sum("n").alias("n"))
+    begin = anchors(passages, counts, length, near[0] if near else length)
+    met = read.select(F.col("shard").alias("at"), "word").join(begin, "word").select("at", "item", "words").distinct()
+    hits = met.groupBy("at").cogroup(read.groupBy("shard")).applyInArrow(_search(length, near), "doc_id long, item_id long")
+    return hits.distinct()
 
 
 __all__ = ["build_index", "exact_places", "near_places", "search", "unpack", "words_of"]

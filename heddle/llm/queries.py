@@ -31,6 +31,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles and subjects by class of equal readings, with the number of spellings of each."""
+    bib, term = load(spark, sf, "bib", "subject_term")
+    subjects = forms.subfields(bib).filter(forms.is_subject(F.col("tag"), F.col("code"))).select(F.concat(F.lit("bib-"), "bib_id").alias("id"), F.col("value").alias("text"))
+    texts = bib.select(F.concat(F.lit("title-"), "bib_id").alias("id"), F.col("title_sort").alias("text")).unionByName(subjects)
+    return forms.reading_classes(texts.unionByName(term.select(F.concat(F.lit("term-"), "term_id").alias("id"), F.col("term").alias("text"))))
+
+
 def sourced(bib: DataFrame) -> DataFrame:
     """The subfields of bib with their source: the coding that the record's leader states."""
     coding = F.substring(F.col("marc_record.leader"), 10, 1).alias("source")
@@ -79,17 +87,33 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.sentence_ends(load(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_entities, p3_found, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_entities, p3_found, p3_classes, p6_found, p6_restored, p8_ids, p8_decoded, p9_found, p9_near, p10_found)}
 
 _SUBJECTS = """SELECT DISTINCT bib_id, s.value AS text FROM (
   SELECT bib_id, unnest(f.subfield) AS s FROM (SELECT bib_id, unnest(marc_record.datafield) AS f FROM bib) WHERE f.tag = '650') WHERE s.code = 'a' AND s.value IS NOT NULL"""
 _WORDS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
 _GRAMS = "SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i : i + 12], ' '))) AS gram FROM (SELECT {id}, {words} AS w FROM {table}) WHERE len(w) >= 13"
 
+def _independent(column: str) -> str:
+    """DuckDB's expression for a reading, put together apart from the operator: Latin letters with their accents off and on again, no table of the operator's."""
+    alike = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j",
+             "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "һ": "h", "ԁ": "d", "Ё": "Ë", "ё": "ë", "Ї": "Ï", "ї": "ï", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
+             "Υ": "Y", "Χ": "X", "ν": "v", "ο": "o", "ρ": "p", "ӏ": "l", "ԛ": "q", "ԝ": "w"}
+    out = f"regexp_replace(nfc_normalize({column}), '[\\x{{AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}\\x{{34F}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g')"
+    out = f"translate({out}, '{''.join(alike)}', '{''.join(alike.values())}')"
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))).replace(chr(0xFF07), "")
+    narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide)
+    out = f"translate({out}, '{wide}', '{narrow}')"
+    for ligature, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ")):
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    out = f"regexp_replace(nfc_normalize({out}), '[\\x{{2010}}\\x{{2011}}\\x{{FE63}}\\x{{2043}}]', '-', 'g')"
+    return f"trim(regexp_replace({out}, '[\\x{{9}}-\\x{{D}} \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
 ORACLE = {
-    "p3_found": f"""WITH t AS (SELECT DISTINCT bib_id, title_sort AS text, {forms.reading_sql('title_sort')} AS r FROM bib WHERE title_sort IS NOT NULL),
-        s AS (SELECT bib_id, text, {forms.reading_sql('text')} AS r FROM ({_SUBJECTS})),
-        h AS (SELECT term_id, term AS text, {forms.reading_sql('term')} AS r FROM subject_term WHERE term IS NOT NULL)
+    "p3_found": f"""WITH t AS (SELECT DISTINCT bib_id, title_sort AS text, {_independent('title_sort')} AS r FROM bib WHERE title_sort IS NOT NULL),
+        s AS (SELECT bib_id, text, {_independent('text')} AS r FROM ({_SUBJECTS})),
+        h AS (SELECT term_id, term AS text, {_independent('term')} AS r FROM subject_term WHERE term IS NOT NULL)
       SELECT DISTINCT 'title' AS kind, a.bib_id AS left_id, b.bib_id AS right_id FROM t a JOIN t b ON a.r = b.r AND a.bib_id < b.bib_id AND a.text <> b.text WHERE a.r <> ''
       UNION ALL SELECT DISTINCT 'subject', term_id, bib_id FROM h JOIN s ON h.r = s.r AND h.text <> s.text WHERE h.r <> ''""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
