@@ -25,7 +25,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -378,40 +378,60 @@ def odds_of_learnt(model: Model | None, source: str, signs: list) -> bool:
     return model is not None and any(c in model.learnt.get(source, ()) for _, c, _ in signs)
 
 
-def _settled(places: list[tuple[dict[str, float], float]], prior: float) -> tuple[dict[str, float], float]:
-    """Expectation maximisation of what one symbol stands for: ({letter: expected number}, mean log likelihood of a place).
+def _settled(likely: np.ndarray, times: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Expectation maximisation of what one symbol stands for: (expected number of each letter, mean log likelihood of a place).
 
-    places: for each place the letters' likelihoods by its neighbours, and how
-    often it occurs. A place's letter is hidden; its probability is its
-    likelihood times the letter's share, to which ``prior`` is added.
+    likely: a row for each place with the letters' likelihoods by its
+    neighbours; times: how often it occurs. A place's letter is hidden; its
+    probability is its likelihood times the letter's share, to which ``prior``
+    is added.
     """
-    sums: dict[str, float] = {}
-    whole = sum(n for _, n in places) or 1.0
+    sums = np.zeros(likely.shape[1])
+    whole = times.sum() or 1.0
     while True:
-        new: dict[str, float] = defaultdict(float)
-        gain = 0.0
-        for here, n in places:
-            odds = {c: x * (sums.get(c, 0.0) + prior) for c, x in here.items()}
-            all_ = sum(odds.values()) or 1e-300
-            gain += n * math.log(all_ / (whole + prior * len(odds)) + 1e-300)
-            for c, x in odds.items():
-                new[c] += n * x / all_
-        moved = max((abs(new[c] - sums.get(c, 0.0)) for c in new), default=0.0)
-        sums = dict(new)
+        odds = likely * (sums + prior)
+        every = odds.sum(axis=1) + 1e-300
+        new = (odds * (times / every)[:, None]).sum(axis=0)
+        moved, sums = np.abs(new - sums).max(initial=0.0), new
         if moved <= SETTLED * whole:
-            return sums, gain / whole
+            return sums, float((times * np.log(every / (whole + prior * likely.shape[1]) + 1e-300)).sum() / whole)
+
+
+class _Sides:
+    """The likelihoods of letters beside their neighbours, each worked out once."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+
+    def _of(self, letters: tuple[str, ...], before: str | None, after: str | None) -> np.ndarray:
+        key = letters, before, after
+        if key not in self.known:
+            given = self.model._given
+            if after == LOST:
+                self.known[key] = np.ones(len(letters))
+            else:
+                self.known[key] = np.array([given(before, c) if after is None else given(c, after) for c in letters])
+        return self.known[key]
+
+    def table(self, letters: tuple[str, ...], where: list[tuple[str, str]]) -> np.ndarray:
+        return np.array([self._of(letters, b, None) * self._of(letters, None, a) for b, a in where])
 
 
 def _behind_lost(model: Model, lost: dict[str, dict[str, float]]) -> dict[str, dict[str, dict[str, float]]]:
     """{source: {damaged symbol: {letter: expected number}}} from where the symbols stand."""
     out: dict[str, dict[str, dict[str, float]]] = {}
+    sides = _Sides(model)
     for source, places in lost.items():
-        by_symbol = defaultdict(list)
+        by_symbol: dict[str, list] = defaultdict(list)
         for name, n in places.items():
             if name[2:] in model.candidates:
-                by_symbol[name[2:]].append((model.places(name[2:], name[0], name[1]), n))
-        # some weight is on all letters alike, lest one that is common takes all places
-        out[source] = {u: _settled(where, EVEN * max(sum(n for _, n in where), 1.0) / len(model.candidates[u]))[0] for u, where in by_symbol.items()}
+                by_symbol[name[2:]].append((name[0], name[1], n))
+        out[source] = {}
+        for symbol, where in by_symbol.items():
+            letters, times = tuple(model.candidates[symbol]), np.array([n for _, _, n in where])
+            # some weight is on all letters alike, lest one that is common takes all places
+            sums, _ = _settled(sides.table(letters, [w[:2] for w in where]), times, EVEN * max(times.sum(), 1.0) / len(letters))
+            out[source][symbol] = dict(zip(letters, sums.tolist()))
     return out
 
 
@@ -422,21 +442,22 @@ def _substitutions(model: Model, odd: dict[str, dict[str, float]]) -> dict[str,
     takes SURE of a symbol's places, in LEAST_WORDS words and CLEARLY better
     than by chance, is what it stands for.
     """
-    letters = sorted(c for c in alphabet_of(model.singles) if ord(c) >= 0x80 and c.isalpha())
+    letters = tuple(sorted(c for c in alphabet_of(model.singles) if ord(c) >= 0x80 and c.isalpha()))
     chance = math.log(1 / (len(model.singles) + 1)) * 2
     out: dict[str, dict[str, str]] = {}
+    sides = _Sides(model)
     for source, places in odd.items():
         by_symbol: dict[str, list] = defaultdict(list)
         for name, n in places.items():
-            by_symbol[name[0]].append(({c: model._given(name[1], c) * model._given(c, name[2]) for c in letters}, n))
+            by_symbol[name[0]].append((name[1], name[2], n))
         for symbol, where in by_symbol.items():
-            whole = sum(n for _, n in where)
-            if whole < LEAST_WORDS or not letters:
+            times = np.array([n for _, _, n in where])
+            if times.sum() < LEAST_WORDS or not letters:
                 continue
-            sums, gain = _settled(where, 1e-3)
-            best = max(sums, key=sums.get)
-            if sums[best] >= SURE * whole and gain - chance >= CLEARLY:
-                out.setdefault(source, {})[symbol] = best
+            sums, gain = _settled(sides.table(letters, [w[:2] for w in where]), times, 1e-3)
+            best = int(sums.argmax())
+            if sums[best] >= SURE * times.sum() and gain - chance >= CLEARLY:
+                out.setdefault(source, {})[symbol] = letters[best]
     return out
 
 
@@ -490,9 +511,9 @@ def learn(values: DataFrame, source: str = "source", value: str = "value", most_
         now = {(s, n): x for s, w in weights.items() for n, x in w.items()}
         bare = Model(dict(pairs), dict(singles), int(sum(singles.values())), swaps(alphabet_of(singles)), weights)
         first, known = model is None, model.learnt if model else {}
-        model = Model(bare.pairs, bare.singles, bare.total, bare.ciphers, weights, _behind_lost(bare, by_kind["lost"]), _substitutions(bare, by_kind["odd"]))
+        model = Model(bare.pairs, bare.singles, bare.total, bare.ciphers, weights, {}, _substitutions(bare, by_kind["odd"]))
         if not first and before is not None and _moved(before, now) < SETTLED and model.learnt == known:
-            return model, words
+            return replace(model, lost=_behind_lost(bare, by_kind["lost"])), words
         before = None if first else now
     raise RuntimeError(f"not settled after {most_rounds} rounds")
 

@@ -104,7 +104,7 @@ def _independent(column: str) -> str:
     wide = "".join(map(chr, range(0xFF01, 0xFF5F))).replace(chr(0xFF07), "")
     narrow = "".join(chr(ord(c) - 0xFEE0) for c in wide)
     out = f"translate({out}, '{wide}', '{narrow}')"
-    for ligature, letters in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ")):
+    for ligature, letters in (("＇", "''"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"), ("ĳ", "ij"), ("Ĳ", "IJ")):
         out = f"replace({out}, '{ligature}', '{letters}')"
     out = f"regexp_replace(nfc_normalize({out}), '[\\x{{2010}}\\x{{2011}}\\x{{FE63}}\\x{{2043}}]', '-', 'g')"
     return f"trim(regexp_replace({out}, '[\\x{{9}}-\\x{{D}} \\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
