@@ -98,6 +98,39 @@ class Integrator:
         frame, ids = self._merge(record, [self._compile(c) for c in record.children]) if record.frame is None else self._compile(record, nest=False)
         return frame.select(*[F.col(c).alias(self.types[i]) for i, c in enumerate(ids)], *[F.col(f"`{c}`") for c in frame.columns if c not in ids])
 
+    def to_xml(self) -> DataFrame:
+        """(root id columns, rec_xml): the records as XML, one element for each node with its id as TYPE-number, siblings in declaration order, null payload left out. Without records there are no rows, and a document of them is its bare root."""
+        frame = self.compile()
+        record = self.root.children[0]
+        roots = self.types[: self._root_levels(record)]
+        inner = F.concat(*self._inner(record, lambda name: F.col(f"`{name}`"), [F.col(f"`{t}`") for t in roots], payload=[c for c in frame.columns if c not in roots and record.child(c) is None]))
+        return frame.select(*[F.col(f"`{t}`") for t in roots], self._element(record.name, len(roots), F.col(f"`{roots[-1]}`"), inner).alias("rec_xml"))
+
+    def _root_levels(self, record: Node) -> int:
+        return len(record.ids) if record.frame is not None else self.level(record.children[0])
+
+    def _element(self, name: str, level: int, last_id, inner):
+        from heddle.ids import render_id
+
+        return F.concat(F.lit(f'<{name} id="'), render_id(self.types[level - 1], last_id), F.lit('">'), inner, F.lit(f"</{name}>"))
+
+    def _inner(self, node: Node, of, ids: list, payload: list[str]) -> list:
+        """The parts inside an element: its payload, then its children."""
+        parts = [F.lit("")]
+        for c in payload:
+            parts.append(F.coalesce(F.concat(F.lit(f"<{c.lower()}>"), escape_xml(of(c).cast("string")), F.lit(f"</{c.lower()}>")), F.lit("")))
+        return parts + [self._emit(child, of(child.name), ids) for child in node.children]
+
+    def _emit(self, node: Node, value, ids: list):
+        """The element of a node from its value in the compiled record; '' for null."""
+        if node.frame is None and node.gathers:
+            child = node.children[0]
+            inner = F.array_join(F.transform(value, lambda x: self._emit(child, x[child.name], [*ids, x["_id"]])), "")
+        else:
+            payload = [c for c in node.frame.columns if c not in node.ids] if node.frame is not None else []
+            inner = F.concat(*self._inner(node, lambda name: value[name], ids, payload))
+        return F.coalesce(F.when(value.isNotNull(), self._element(node.name, len(ids), ids[-1], inner)), F.lit(""))
+
     def level(self, node: Node) -> int:
         """The number of ids a node's rows are keyed by; siblings that differ in it cannot be joined."""
         if node.frame is not None:
@@ -159,6 +192,65 @@ class Integrator:
         return base, ids
 
 
+def escape_xml(x):
+    """Text inside an element: signs that markup uses as entities, those that XML does not allow replaced."""
+    from heddle.functions.text import sanitize
+
+    return F.replace(F.replace(F.replace(sanitize(x), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+#: Elements of a configuration in this namespace say what to do; all others are the paths of the output.
+CONFIG = "urn:heddle:config"
+
+
+def from_config(text: str, source, params: DataFrame | None = None, **options) -> Integrator:
+    """The tree of an XML configuration.
+
+    <c:source type="integrate" xmlns:c="urn:heddle:config"> holds the output's
+    elements; one with c:required="true" is required, one with a c:source inside
+    takes its rows from it. ``source(type, properties)`` gives (frame, ids) for
+    such a leaf; its properties are its c:property elements over those of the
+    whole. ``params``: (value) ids that all sources are restricted to, by their
+    first id, as one list for all.
+    """
+    from xml.etree import ElementTree
+
+    from heddle.operators.records import pivot
+
+    top = ElementTree.fromstring(text)
+    mine = lambda e, name: e.tag == f"{{{CONFIG}}}{name}"
+    if not mine(top, "source") or top.get("type") != "integrate":
+        raise ValueError("a configuration begins with a source of type integrate")
+    tree = Integrator(**options)
+    flags: list[tuple[str, bool]] = []
+
+    def properties(e) -> dict[str, str]:
+        return {p.get("name").strip(): (p.text or "").strip() for p in e if mine(p, "property") and (p.get("name") or "").strip()}
+
+    shared = properties(top)
+
+    def walk(e, path: str) -> None:
+        for child in e:
+            if mine(child, "property"):
+                continue
+            if mine(child, "source"):
+                frame, ids = source(child.get("type"), shared | properties(child))
+                if params is not None:
+                    frame = pivot(params, params.columns[0], frame, ids[0])
+                tree.add(path, frame, ids)
+            elif child.tag.startswith(f"{{{CONFIG}}}"):
+                raise ValueError(f"{child.tag.rpartition('}')[2]} is no element of an integrate configuration")
+            else:
+                inner = f"{path}/{child.tag.rpartition('}')[2]}"
+                walk(child, inner)
+                flags.append((inner, child.get(f"{{{CONFIG}}}required") == "true"))
+
+    walk(top, "")
+    for path, required in flags:
+        tree.flag(path, required=required)
+    return tree
+
+
 def integrate(paths: list[tuple], **options) -> DataFrame:
     """integrate([(path, frame, ids, required), …]): the tree from a list."""
     tree = Integrator(**options)

@@ -6,6 +6,7 @@ sinks go by it, and no operator relies on the order of a DataFrame.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -204,3 +205,44 @@ def pivot_batches(upstream: DataFrame, token: str, position: str, size: int, dow
 def first_texts(records: DataFrame, record: str, position: str, column: str) -> DataFrame:
     """The first value of each record, one a line: what a pipeline hands on as parameter list."""
     return records.groupBy(record).agg(F.min_by(column, position).alias("value"))
+
+
+def xpath_of(path: str) -> str:
+    """A simple absolute path as XPath 1.0: local names whatever their prefix, [@k=v] with or without quotation marks, a last [@k] or /@k for an attribute's value."""
+    steps = [p for p in path.split("/") if p]
+    if not path.startswith("/") or not steps:
+        raise ValueError(f"not an absolute path: {path}")
+    out = ""
+    for i, step in enumerate(steps):
+        m = _STEP.fullmatch(step)
+        if m is None:
+            raise ValueError(f"not a step of a path: {step}")
+        if m["attr"]:
+            if i != len(steps) - 1:
+                raise ValueError("an attribute ends a path")
+            return out + f"/@*[local-name()='{m['attr'].rpartition(':')[2]}']"
+        name = m["name"].rpartition(":")[2]
+        out += "/*" if name == "*" else f"/*[local-name()='{name}']"
+        if m["key"]:
+            key = f"@*[local-name()='{m['key'].rpartition(':')[2]}']"
+            if m["value"] is None:
+                if i != len(steps) - 1:
+                    raise ValueError("[@name] without a value ends a path")
+                return out + "/" + key
+            value = m["value"].strip("'\"")
+            if "'" in value and '"' in value:
+                raise ValueError("a value with both quotation marks")
+            quote = '"' if "'" in value else "'"
+            out += f"[{key}={quote}{value}{quote}]"
+    return out
+
+
+_STEP = re.compile(r"@(?P<attr>[\w.:-]+)|(?P<name>\*|[\w.:-]+)(?:\[@(?P<key>[\w.:-]+)(?:=(?P<value>'[^']*'|\"[^\"]*\"|[^\]]*))?\])?")
+
+
+def record_ids(records: DataFrame, xml: str, path: str, name: str = "record_id", required: bool = False) -> DataFrame:
+    """Adds the id of each record: the attribute or trimmed text at ``path`` of its XML; null without one, or an error if ``required``. XML that is not well-formed fails the job."""
+    found = F.nullif(F.trim(F.xpath_string(F.col(f"`{xml}`"), F.lit(xpath_of(path)))), F.lit(""))
+    if required:
+        found = F.coalesce(found, F.raise_error(F.lit(f"no value at {path}")).cast("string"))
+    return records.withColumn(name, found)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import configparser
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -12,7 +13,9 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.operators import records
+from heddle.functions import text
+from heddle.operators import integrate, records
+from heddle.sinks import files as sinks
 from heddle.sources import files, sqltemplate
 
 PASS, SPLIT, JOIN = 0, 1, 2
@@ -77,7 +80,37 @@ def _query(spark, frame, o):
 
 @command("process")
 def _process(spark, frame, o):
-    return frame.select("*", F.expr(o["expr"]).alias(o.get("name", "value")))
+    """An expression for each record; with record-xpath its id from its XML. Failing records are left out (subdivide-on-failure), or their whole chunk is."""
+    out = frame
+    if "record-xpath" in o:
+        out = records.record_ids(out, o.get("xml", "xml"), o["record-xpath"])
+    if "expr" in o:
+        out = out.select("*", F.expr(o["expr"]).alias(o.get("name", "value")))
+    if "failed" in o:
+        bad = F.expr(o["failed"])
+        out = records.isolate(out, bad)[0] if "subdivide-on-failure" in o else records.drop_failed_chunks(out, o.get("chunk", "chunk_no").split(","), bad)
+    return out
+
+
+@command("integrate")
+def _integrate(spark, frame, o):
+    """A configuration of sources; what comes in from the command before is the list of ids that all of them are restricted to."""
+    with open(o["config"], encoding="utf-8") as f:
+        text = f.read()
+
+    def source(kind: str, p: dict) -> tuple[DataFrame, list[str]]:
+        ids = [c for c in p.pop("id-field-labels", "").split(",") if c]
+        return REGISTRY[kind][0](spark, None, p), ids
+
+    return integrate.from_config(text, source, params=frame, fused="fused" in o).to_xml()
+
+
+@command("solrpost")
+def _post(spark, frame, o):
+    """Posts index documents and, at the end, a commit."""
+    lines = frame if "value" in frame.columns else sinks.index_lines(frame, o.get("id", "id"), o.get("fields", "fields"))
+    sinks.post_documents(lines, o["url"], int(o.get("batch", 100)), retries=int(o.get("retries", 3)), commit="no-commit" not in o)
+    return frame
 
 
 @command("tee")
@@ -87,8 +120,24 @@ def _tee(spark, frame, o):
 
 @command("output")
 def _output(spark, frame, o):
-    if o.get("output") not in (None, "-"):
-        frame.write.mode("overwrite").format(o.get("format", "parquet")).save(o["output"])
+    """Writes tables in a format of Spark's, or with ``documents`` XML documents by the rules of sinks.output_paths."""
+    where = o.get("output", "-")
+    if "documents" in o or "output-base-name" in o:
+        names = [c for c in ("doc_pos", "run_no", "chunk_no") if c in frame.columns]
+        number = o.get("number") or (names[-1] if names else None)
+        keyed = frame if number else frame.withColumn("doc_pos", F.lit(0))
+        keyed = keyed if "system_id" in keyed.columns else keyed.withColumn("system_id", F.lit(""))
+        number = number or "doc_pos"
+        xml = o.get("xml") or next((c for c in ("rec_xml", "xml") if c in frame.columns), None)
+        keyed = keyed if xml else keyed.withColumn("xml", text.verbatim(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), o.get("row-tag", "record")))
+        documents = keyed.select("system_id", number).distinct()
+        placed = sinks.output_paths(
+            documents, "system_id", number, output=where, is_directory=os.path.isdir(where), input_base=o.get("input-base", ""), base_name=o.get("output-base-name"),
+            suffix_length=int(o.get("suffix-length", 5)), extension=o.get("output-extension"), gz="gzip" in o, grouped=not names or number == "run_no")
+        sinks.write_documents(keyed.join(placed, ["system_id", number]), "path", xml or "xml", [c for c in (o.get("order"), "rec_pos", xml or "xml") if c in keyed.columns], o.get("root", "root"))
+    elif where != "-":
+        writer = frame.write.mode("overwrite").format(o.get("format", "parquet"))
+        (writer.option("compression", "gzip") if "gzip" in o else writer).save(where)
     return frame
 
 
@@ -104,7 +153,11 @@ def kind_of(ops: list[Op]) -> int:
     return max((REGISTRY[op.command][1] for op in ops), default=PASS)
 
 
-def parse_args(argv: list[str], flags: tuple[str, ...] = ("all", "from0", "gzip", "no-indent", "nest", "subdivide-on-failure", "suppress-param-clause")) -> list[Op]:
+#: Short names of the options of output; -z stands for --gzip.
+SHORT = {"b": "output-base-name", "l": "suffix-length", "o": "output"}
+
+
+def parse_args(argv: list[str], flags: tuple[str, ...] = ("all", "from0", "gzip", "no-indent", "nest", "subdivide-on-failure", "suppress-param-clause", "documents", "fused", "no-commit")) -> list[Op]:
     """[[--command] [--option [value]]*]+: options before any command belong to an input; an output is added if there is none."""
     ops: list[Op] = []
     at = 0
@@ -118,13 +171,13 @@ def parse_args(argv: list[str], flags: tuple[str, ...] = ("all", "from0", "gzip"
                 ops.append(Op("input"))
             if not word.startswith("-"):
                 ops[-1].options["input" if ops[-1].command == "input" else "path"] = word
-            elif name in flags:
-                ops[-1].options[name] = ""
+            elif name in flags or ops[-1].command == "output" and word == "-z":
+                ops[-1].options["gzip" if word == "-z" else name] = ""
             else:
                 at += 1
                 if at == len(argv):
                     raise ValueError(f"{word} needs a value")
-                ops[-1].options[name] = argv[at]
+                ops[-1].options[SHORT.get(name, name) if ops[-1].command == "output" else name] = argv[at]
         at += 1
     if not ops or ops[-1].command != "output":
         ops.append(Op("output"))

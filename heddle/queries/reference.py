@@ -9,7 +9,7 @@ from heddle import ids
 from heddle.functions import marcfields as mf
 from heddle.functions import text
 from heddle.operators import marc, records
-from heddle.operators.integrate import Integrator
+from heddle.operators.integrate import Integrator, from_config
 from heddle.session import load
 from heddle.sinks import files as sinks
 from heddle.sources import sqltemplate
@@ -348,3 +348,48 @@ def output_paths(spark, sf):
 @query(r"""SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x09\x0A\x0D\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]', chr(65533), 'g') AS clean FROM documents WHERE text IS NOT NULL""")
 def text_sanitized(spark, sf):
     return load(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", text.sanitize("text").alias("clean"))
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR AS record_id, o_orderstatus AS status, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS priority FROM orders")
+def record_xpath(spark, sf):
+    """Ids and values by simple absolute paths, whatever the prefixes."""
+    orders = load(spark, sf, "orders")
+    kind = F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd")
+    made = orders.select("o_orderkey", F.concat(
+        F.lit('<x:o xmlns:x="urn:x" id="'), "o_orderkey", F.lit('"><x:s k="st">'), "o_orderstatus", F.lit('</x:s><p k="'), kind, F.lit('"> '), "o_orderpriority", F.lit(" </p></x:o>")).alias("xml"))
+    out = records.record_ids(made, "xml", "/o/@id", required=True)
+    out = records.record_ids(out, "xml", "/o/s[@k=st]", "status")
+    return records.record_ids(out, "xml", "/x:o/p[@k='even']", "priority").drop("xml")
+
+
+_CONFIG = """<c:source type="integrate" xmlns:c="urn:heddle:config"><c:property name="ids">C</c:property>
+  <record><customer c:required="true"><c:source type="customer"/></customer>
+    <orders><order><c:source type="orders"><c:property name="ids">C,O</c:property></c:source></order></orders></record></c:source>"""
+
+
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS C FROM orders WHERE o_orderpriority = '1-URGENT'),
+  g AS (SELECT o_custkey AS C, string_agg('<order id="O-' || o_orderkey || '"><status>' || o_orderstatus || '</status></order>', '' ORDER BY o_orderkey) AS t FROM orders GROUP BY o_custkey)
+  SELECT c_custkey AS C, '<record id="C-' || c_custkey || '"><customer id="C-' || c_custkey || '"><name>' || c_name || '</name></customer><orders id="C-' || c_custkey || '">' || t || '</orders></record>' AS rec_xml
+  FROM customer JOIN p ON C = c_custkey JOIN g ON g.C = c_custkey""")
+def integrate_config(spark, sf):
+    """Sources named in a configuration, restricted to one list of ids, integrated and written as XML."""
+    customer, orders = load(spark, sf, "customer", "orders")
+    tables = {
+        "customer": customer.select(F.col("c_custkey").alias("C"), F.col("c_name").alias("NAME")),
+        "orders": orders.select(F.col("o_custkey").alias("C"), F.col("o_orderkey").alias("O"), F.col("o_orderstatus").alias("status")),
+    }
+    params = orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("value"))
+    return from_config(_CONFIG, lambda kind, p: (tables[kind], p["ids"].split(",")), params).to_xml()
+
+
+@query("""WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)
+  SELECT doc_id, '/out/x/' || source || '-' || lpad(n::VARCHAR, 4, '0') || '.xml.gz' AS each, '/out/x/' || source || '.xml' AS grouped, '/out/all-' || lpad(doc_id::VARCHAR, 5, '0') || '.txt' AS numbered,
+    CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN '/out/one' END AS single FROM d""")
+def output_dispatch(spark, sf):
+    """Where documents go, by the kind of output asked for."""
+    docs = load(spark, sf, "documents").select("doc_id", F.concat(F.lit("/in/x/"), "source", F.lit(".xml")).alias("system_id"))
+    place = lambda name, **o: sinks.output_paths(docs, "system_id", "doc_id", **o).select("doc_id", F.col("path").alias(name))
+    each = place("each", output="/out", is_directory=True, input_base="/in", suffix_length=4, gz=True)
+    grouped = place("grouped", output="/out/", is_directory=True, input_base="/in", grouped=True)
+    numbered = place("numbered", output="/out", is_directory=True, base_name="all", extension=".txt")
+    return each.join(grouped, "doc_id").join(numbered, "doc_id").join(place("single", output="/out/one", is_directory=False), "doc_id", "left")

@@ -230,3 +230,85 @@ def test_runs_over_tasks(spark):
         want[i] = run
     assert {r["pos"]: r["run_no"] for r in records.concat_runs(df, "sid", "pos").collect()} == want
     assert records.concat_runs(df.filter("false"), "sid", "pos").count() == 0
+
+
+def emitted(tree):
+    return [r["rec_xml"] for r in tree.to_xml().orderBy("BIB_ID").collect()]
+
+
+def keyed(spark, ids, kinds, name):
+    rows = [(*(i if isinstance(i, tuple) else (i,)), str(i[-1] if isinstance(i, tuple) else i)) for i in ids]
+    return spark.createDataFrame(rows, ", ".join(f"{k} long" for k in kinds) + f", {name} string")
+
+
+def test_emitted_xml(spark):
+    kinds = ["BIB_ID", "HLDG_ID", "ITEM_ID"]
+    marc, odd = keyed(spark, [0, 2, 4], kinds[:1], "BIB"), keyed(spark, [1, 2], kinds[:1], "BIB")
+    # siblings side by side, in the order they were declared
+    tree = Integrator().add("/record/marc", marc, kinds[:1]).add("/record/marcOdd", odd, kinds[:1])
+    assert emitted(tree) == [
+        '<record id="BIB_ID-0"><marc id="BIB_ID-0"><bib>0</bib></marc></record>', '<record id="BIB_ID-1"><marcOdd id="BIB_ID-1"><bib>1</bib></marcOdd></record>',
+        '<record id="BIB_ID-2"><marc id="BIB_ID-2"><bib>2</bib></marc><marcOdd id="BIB_ID-2"><bib>2</bib></marcOdd></record>', '<record id="BIB_ID-4"><marc id="BIB_ID-4"><bib>4</bib></marc></record>']
+    # gathered holdings, and items below those that are there; an empty required sibling leaves nothing
+    holdings, items = keyed(spark, [(0, 100), (0, 200), (3, 103)], kinds[:2], "hldg"), keyed(spark, [(0, 200, 2000), (0, 201, 2010), (4, 400, 4000)], kinds, "item")
+    tree = Integrator().add("/record/marc", marc, kinds[:1]).add("/record/hldgs/hldg", holdings, kinds[:2]).add("/record/hldgs/hldg/items/itemEven", items, kinds)
+    assert emitted(tree) == [
+        '<record id="BIB_ID-0"><marc id="BIB_ID-0"><bib>0</bib></marc><hldgs id="BIB_ID-0"><hldg id="HLDG_ID-100"><hldg>100</hldg></hldg>'
+        '<hldg id="HLDG_ID-200"><hldg>200</hldg><items id="HLDG_ID-200"><itemEven id="ITEM_ID-2000"><item>2000</item></itemEven></items></hldg></hldgs></record>',
+        '<record id="BIB_ID-2"><marc id="BIB_ID-2"><bib>2</bib></marc></record>', '<record id="BIB_ID-3"><hldgs id="BIB_ID-3"><hldg id="HLDG_ID-103"><hldg>103</hldg></hldg></hldgs></record>',
+        '<record id="BIB_ID-4"><marc id="BIB_ID-4"><bib>4</bib></marc></record>']
+    assert emitted(Integrator().add("/record/marc", marc, kinds[:1]).add("/record/none", odd.filter("false"), kinds[:1], True)) == []
+    odd_text = spark.createDataFrame([(1, "a<b>&\x01", None)], "BIB_ID long, t string, u string")
+    assert emitted(Integrator().add("/r/m", odd_text, kinds[:1])) == ['<r id="BIB_ID-1"><m id="BIB_ID-1"><t>a&lt;b&gt;&amp;�</t></m></r>']
+
+
+def test_a_truncated_source_fails_the_integration(spark, tmp_path):
+    (tmp_path / "whole.xml").write_text("<root><record><B>1</B></record></root>")
+    (tmp_path / "cut.xml").write_text("<root><record><B>1</B></record><record><B>2")
+    a, b = (files.read_xml(spark, str(tmp_path / n), "record", "B long") for n in ("whole.xml", "cut.xml"))
+    tree = Integrator().add("/r/a", a.drop("system_id"), ["B"]).add("/r/b", b.drop("system_id"), ["B"])
+    with pytest.raises(Exception):
+        tree.to_xml().collect()
+
+
+def test_integrate_from_configuration_is_strict(spark):
+    from heddle.operators.integrate import from_config
+
+    with pytest.raises(ValueError):
+        from_config("<x/>", lambda k, p: None)
+    with pytest.raises(ValueError):
+        from_config('<c:source type="integrate" xmlns:c="urn:heddle:config"><r><c:other/></r></c:source>', lambda k, p: None)
+
+
+def test_record_paths(spark):
+    df = spark.createDataFrame([("<a><b k='v'> 1 </b></a>",), ("<a><b>2</b></a>",)], "xml string")
+    assert {r["record_id"] for r in records.record_ids(df, "xml", "/a/b[@k=v]").collect()} == {"1", None}
+    assert {r["record_id"] for r in records.record_ids(df, "xml", "/*/b[@k]").collect()} == {"v", None}
+    with pytest.raises(Exception):
+        records.record_ids(df, "xml", "/a/b[@k=v]", required=True).collect()
+    for wrong in ("a/b", "/", "/a[b]", "/a/@k/b", "/a[@k]/b"):
+        with pytest.raises(ValueError):
+            records.xpath_of(wrong)
+
+
+def test_output_writes_documents_and_post_retries(spark, tmp_path):
+    df = spark.createDataFrame([("/in/a.xml", 0, "<r>1</r>"), ("/in/a.xml", 0, "<r>2</r>"), ("/in/b.xml", 1, "<r>3</r>")], "system_id string, chunk_no long, xml string")
+    out = tmp_path / "out"
+    out.mkdir()
+    pipeline.run(spark, [pipeline.Op("output", {"output": str(out), "documents": "", "input-base": "/in", "output-base-name": "all", "output-extension": ".xml"})], df)
+    assert sorted(p.name for p in out.iterdir()) == ["all-00000.xml", "all-00001.xml"]
+    assert (out / "all-00000.xml").read_text().split("\n")[1:-1] == ["<root>", "<r>1</r>", "<r>2</r>", "</root>"]
+    pipeline.run(spark, [pipeline.Op("output", {"output": str(out), "documents": "", "input-base": "/in", "gzip": ""})], df)
+    assert {p.name for p in out.iterdir()} >= {"a-00000.xml.gz", "b-00000.xml.gz"}
+    assert pipeline.parse_args(["x.xml", "--output", "-b", "base", "-l", "3", "-z"])[-1].options == {"output-base-name": "base", "suffix-length": "3", "gzip": ""}
+    calls = []
+
+    def send(url, body):
+        calls.append(body)
+        if len(calls) < 3:
+            raise OSError("down")
+
+    sinks._tried(send, "http://x.invalid", "[]", 3)
+    assert len(calls) == 3
+    with pytest.raises(OSError):
+        sinks._tried(lambda u, b: (_ for _ in ()).throw(OSError("down")), "http://x.invalid", "[]", 0)
