@@ -47,11 +47,13 @@ def load_plugins(group: str = "heddle.commands") -> None:
 
 @command("input")
 def _input(spark, frame, o):
+    """XML files, or lists of them: files-from names a list, and an input that does not begin with '<' is one."""
+    delimiter, row_tag = "\0" if "from0" in o else o.get("input-delimiter"), o.get("row-tag", "record")
     if "files-from" in o:
-        listed = files.read_params(spark, o["files-from"], "\0" if "from0" in o else o.get("input-delimiter"))
-        paths = [r["value"] for r in listed.orderBy("pos").collect()]  # a list of files, given by hand
-        return files.read_xml(spark, paths, o.get("row-tag", "record"))
-    return files.read_xml(spark, o["input"], o.get("row-tag", "record"))
+        return files.read_listed(spark, files.read_params(spark, o["files-from"], delimiter), row_tag)
+    if not files.is_content(files.first_sign(spark, o["input"])):
+        return files.read_listed(spark, files.read_params(spark, o["input"], delimiter), row_tag)
+    return files.read_xml(spark, o["input"], row_tag)
 
 
 @command("split", SPLIT)

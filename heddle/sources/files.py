@@ -33,6 +33,21 @@ def is_content(first: str) -> bool:
     return first[:1] == "<"
 
 
+def first_sign(spark: SparkSession, path: str) -> str:
+    """The first character of a file, '' of an empty one; for a directory or pattern that of its first file."""
+    row = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).filter("c <> ''").limit(1).collect()
+    return row[0]["c"] if row else ""
+
+
+def read_listed(spark: SparkSession, listed: DataFrame, row_tag: str, schema: str | None = None, **options) -> DataFrame:
+    """The records of the files in a (pos, value) list, with doc_pos, the place of their file in it; a file that is listed twice counts at its first place."""
+    places = listed.groupBy("value").agg(F.min("pos").alias("doc_pos"))
+    paths = [r["value"] for r in places.orderBy("doc_pos").collect()]  # a list of files, given by hand
+    clean = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    frame = read_xml(spark, paths, row_tag, schema, **options)
+    return frame.join(places.select(clean(F.col("value")).alias("__at"), "doc_pos"), clean(F.col("system_id")) == F.col("__at"), "left").drop("__at")
+
+
 def read_lookup(spark: SparkSession, path: str, row_tag: str, key: str, value: str) -> DataFrame:
     """(key, value) of a lookup document."""
     return spark.read.format("xml").options(rowTag=row_tag).load(path).select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{value}`").cast("string").alias("value"))

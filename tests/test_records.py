@@ -312,3 +312,12 @@ def test_output_writes_documents_and_post_retries(spark, tmp_path):
     assert len(calls) == 3
     with pytest.raises(OSError):
         sinks._tried(lambda u, b: (_ for _ in ()).throw(OSError("down")), "http://x.invalid", "[]", 0)
+
+
+def test_input_is_content_or_a_list_in_order(spark, tmp_path):
+    for name, n in (("b.xml", 2), ("a.xml", 1)):
+        (tmp_path / name).write_text(f"<root><record><B>{n}</B></record></root>")
+    (tmp_path / "list").write_text(f"{tmp_path}/b.xml\n{tmp_path}/a.xml\n")
+    got = pipeline.run(spark, [pipeline.Op("input", {"input": str(tmp_path / "list")})])
+    assert [(r["doc_pos"], r["B"]) for r in got.orderBy("doc_pos").collect()] == [(0, 2), (1, 1)]
+    assert pipeline.run(spark, [pipeline.Op("input", {"input": str(tmp_path / "a.xml")})]).first()["B"] == 1
