@@ -200,9 +200,9 @@ def token_bytes(path: str) -> pa.BinaryArray:
     return pa.array([table.get(i) for i in range(max(table, default=-1) + 1)], pa.binary())
 
 
-def _join_bytes(path: str):
+def _join_bytes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        table = shared.value
         for batch in batches:
             lists = batch.column(1)
             ids = lists.flatten()
@@ -228,13 +228,23 @@ def _join_bytes(path: str):
     return run
 
 
+#: Largest token-byte table that is sent to the tasks.
+MOST_BYTES = 256_000_000
+
+
 def decode(encoded: DataFrame, key: str, *, path: str) -> DataFrame:
-    """(key, text) from (key, ids), by joining the token-byte table; null for ids that are null, unknown or not UTF-8 together.
+    """(key, text) from (key, ids), by a map-side join with the token-byte table; null for ids that are null, unknown or not UTF-8 together.
 
-    One row for each row. Each task holds the table, which is as large as the
-    vocabulary, and looks all ids of a batch up at once; nothing is shuffled.
+    One row for each row. The table is read once, its size is checked (it is
+    that of the vocabulary, whatever the corpus), and it is broadcast; a task
+    looks all ids of a batch up at once, by position. Nothing is shuffled, so
+    that frequent ids make no hot key and texts need not be put together again.
     """
     kind = dict(encoded.dtypes)[key]
+    table = token_bytes(path)
+    if table.nbytes > MOST_BYTES:
+        raise ValueError(f"a token-byte table of {table.nbytes} bytes is above {MOST_BYTES}")
+    shared = encoded.sparkSession.sparkContext.broadcast(table)
     rows = encoded.select(F.col(f"`{key}`").alias("k"), F.col("ids").cast("array<int>").alias("ids"))
-    joined = rows.mapInArrow(_join_bytes(path), f"k {kind}, b binary")
+    joined = rows.mapInArrow(_join_bytes(shared), f"k {kind}, b binary")
     return joined.select(F.col("k").alias(key), F.try_validate_utf8(F.col("b").cast("string")).alias("text"))
