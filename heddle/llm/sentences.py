@@ -28,7 +28,10 @@ from heddle.session import stored
 
 # Placeholders, one character each: end of a unit, the two sides of a quotation
 # whose marks have no side of their own, a stop that ends nothing.
-END, OPEN, CLOSE, STOP = "\uE000", "\uE001", "\uE002", "\uE003"
+# They are C1 controls (0x91 and 0x92 are the two set aside for private use): a text
+# of the lower range keeps one byte a character with them in it. Where a text has
+# such a control of its own, it counts as a replacement character here.
+END, OPEN, CLOSE, STOP = "\x91", "\x80", "\x81", "\x92"
 MASKS = END + OPEN + CLOSE + STOP
 
 # Abbreviations after which a full stop ends no sentence.
