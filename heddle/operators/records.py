@@ -104,8 +104,8 @@ def nest(rows: DataFrame, ids: Sequence[str], position: str | None = None) -> Da
 
 
 def token_batches(tokens: DataFrame, position: str, size: int, source: Sequence[str] = ()) -> DataFrame:
-    """Adds batch_no: tokens in batches of ``size`` per source."""
-    return split_chunks(tokens, list(source), position, size).withColumnRenamed("chunk_no", "batch_no") if source else tokens.withColumn("batch_no", F.expr(f"`{position}` div {int(size)}"))
+    """Adds batch_no: tokens in batches of ``size``, per source if one is given, by their place in the order of ``position``, which need not be dense."""
+    return split_chunks(tokens, list(source), position, size).withColumnRenamed("chunk_no", "batch_no")
 
 
 def transform_records(records: DataFrame, function: Callable[[dict], dict], schema: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -198,10 +198,16 @@ def pivot(upstream: DataFrame, token: str, downstream: DataFrame, key: str) -> D
 
 def pivot_batches(upstream: DataFrame, token: str, position: str, size: int, downstream: DataFrame, key: str) -> DataFrame:
     """As pivot, once for each batch of ``size`` tokens: a token repeated in a batch counts once, in another batch again. Adds batch_no."""
-    asked = upstream.select(F.col(f"`{token}`").cast(dict(downstream.dtypes)[key]).alias(key), F.expr(f"`{position}` div {int(size)}").alias("batch_no")).filter(F.col(key).isNotNull()).distinct()
+    numbered = token_batches(upstream.select(F.col(f"`{token}`").alias("__token"), F.col(f"`{position}`").alias("__position")), "__position", size)
+    asked = numbered.select(F.col("__token").cast(dict(downstream.dtypes)[key]).alias(key), "batch_no").filter(F.col(key).isNotNull()).distinct()
     return downstream.join(asked, key, "inner")
 
 
+def in_order(frame: DataFrame, batch: str | None, ids: Sequence[str]) -> DataFrame:
+    """The rows in the order of their batch, then of their ids, nulls first: what a sink that keeps order is given. Sorted over all tasks by ranges."""
+    return frame.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in [*([batch] if batch else []), *ids]])
+
+
 def first_texts(records: DataFrame, record: str, position: str, column: str) -> DataFrame:
     """The first value of each record, one a line: what a pipeline hands on as parameter list."""
     return records.groupBy(record).agg(F.min_by(column, position).alias("value"))

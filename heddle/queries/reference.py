@@ -166,9 +166,10 @@ def concat_runs(spark, sf):
     return records.concat_runs(load(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
 
 
-@query("SELECT o_orderkey, (o_orderkey // 6)::BIGINT AS batch_no FROM orders")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, ((row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 6)::BIGINT AS batch_no FROM lineitem WHERE l_quantity < 10")
 def token_batches(spark, sf):
-    return records.token_batches(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 6)
+    line = load(spark, sf, "lineitem").filter("l_quantity < 10").withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return records.token_batches(line.select("l_orderkey", "l_linenumber", "l_partkey", "at"), "at", 6).drop("at")
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")
@@ -177,7 +178,8 @@ def pivot_semijoin(spark, sf):
     return records.pivot(orders.filter("o_orderpriority = '1-URGENT'"), "o_orderkey", lineitem.select("l_orderkey", "l_partkey", "l_linenumber"), "l_orderkey")
 
 
-@query("""SELECT c_custkey, c_name, b AS batch_no FROM customer JOIN (SELECT DISTINCT o_custkey, (o_orderkey // 6)::BIGINT AS b FROM orders) ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey, c_name, b AS batch_no FROM customer JOIN (
+  SELECT DISTINCT o_custkey, b FROM (SELECT o_custkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 6)::BIGINT AS b FROM orders)) ON o_custkey = c_custkey""")
 def pivot_batches(spark, sf):
     orders, customer = load(spark, sf, "orders", "customer")
     return records.pivot_batches(orders, "o_custkey", "o_orderkey", 6, customer.select(F.col("c_custkey"), "c_name"), "c_custkey")
