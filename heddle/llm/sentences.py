@@ -170,8 +170,8 @@ def _let(value: Column, use) -> Column:
 
 #: What begins a block: a line break followed by a blank line.
 BLANK_LINE = rf"\n(?=[{_L}]*+\n)"
-#: A block without any of these has one unit.
-TERMINATORS = _signs(".!?", "…।॥؟。！？｡" + _SOUTHEAST)
+#: Terminators beyond ASCII; a block without any terminator has one unit.
+_OWN = "…।॥؟。！？｡"
 
 
 def _replaced(pattern: str, by: str, there=None):
@@ -191,8 +191,18 @@ def _any(*signs: str):
     return there
 
 
-def steps(learnt: Iterable[str] = ()) -> list:
-    """What a block goes through, one after the other."""
+def _wide(t: Column) -> Column:
+    """Whether a block may have terminators of other scripts, which take three bytes each, or two for the shortest."""
+    return F.octet_length(t) > F.length(t)
+
+
+def _has_terminator(t: Column) -> Column:
+    """Whether a block has any sign that may end a unit; the usual ones are looked for first."""
+    return _any(".", "?", "!")(t) | (_wide(t) & (_any(*_OWN)(t) | t.rlike(rf"[\u0E00-\u17FF&&[{_SOUTHEAST}]]")))
+
+
+def steps(learnt: Iterable[str] = (), wide: Column | bool = True) -> list:
+    """What a block goes through, one after the other. ``wide``: whether it has more than ASCII."""
     quotations = [
         _replaced(LOW, f"{OPEN}$1{CLOSE}", _any("„")),
         _replaced(STRAIGHT, f"{OPEN}$1{CLOSE}", _any('"')),
@@ -200,7 +210,8 @@ def steps(learnt: Iterable[str] = ()) -> list:
         _replaced(LEFT_OUT, STOP, _any("…")),
     ]
     scripts = [_replaced(INDIC, f"$0{END}"), _replaced(CHINESE, f"$0{END}"), _replaced(THAI, f"$0{END}")]
-    other = lambda t: _any("।", "॥", "。", "｡", "！", "？")(t) | ((F.octet_length(t) >= F.length(t) + 4) & t.rlike(rf"[\u0E00-\u17FF&&[{_SOUTHEAST}]]"))
+    has = wide if isinstance(wide, Column) else F.lit(wide)
+    other = lambda t: has & (_any("।", "॥", "。", "｡", "！", "？")(t) | t.rlike(rf"[\u0E00-\u17FF&&[{_SOUTHEAST}]]"))
     # few projections, so that the code made of them is small enough to be compiled
     return [
         _replaced(NUMBER, f"$1{STOP}", lambda t: F.instr(t, ".").between(2, NUMBER_WITHIN)),
@@ -245,7 +256,7 @@ def ends(text: Column, learnt: Iterable[str] = ()) -> Column:
 
     def block_ends(begin: Column, block: Column) -> Column:
         return _let(_bare(block), lambda b: (
-            F.when(b == "", F.array().cast("array<int>")).when(b.rlike(TERMINATORS), _ends(begin, marked(b, learnt))).otherwise(F.array(begin + F.length(b)))
+            F.when(b == "", F.array().cast("array<int>")).when(_has_terminator(b), _ends(begin, marked(b, learnt))).otherwise(F.array(begin + F.length(b)))
         ))
 
     return F.when(text.isNotNull(), _let(blocks(text), lambda bs: F.flatten(F.zip_with(_begins(bs), bs, block_ends))))
@@ -293,15 +304,14 @@ def learn_abbreviations(frame: DataFrame, text: str) -> list[str]:
     before the shuffle, one row a distinct word of up to LONGEST signs.
     """
     pieces = frame.filter(F.col(f"`{text}`").contains(".")).select(F.split(F.col(f"`{text}`"), rf"\.(?=[{_B}]|$)").alias("p"))
-    last = lambda x: F.substring_index(F.substring_index(x, " ", -1), "\n", -1)
     # a few signs tell what follows: nothing or a blank line, a small letter or a number, or something else
     after = lambda x: F.when(x.rlike(rf"^[{_B}]*$|\n[{_L}]*\n"), 2).when(x.rlike(rf"^[{_B}]+[\p{{Ll}}\p{{N}}]"), 1).otherwise(0)
-    pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.struct(
-        a.alias("said"), F.substring(b, 1, 3).alias("then")))
-    stops = pieces.filter(F.size("p") > 1).select(F.inline(pairs))
-    # long words are counted without their letters
-    words = stops.select(last(F.col("said")).alias("word"), "then").select(F.when(F.octet_length("word") <= 4 * LONGEST, F.col("word")).alias("word"), "then")
-    found = words.groupBy("word", "then").agg(F.count(F.lit(1)).alias("m"))
+    # one short string for each stop: the word before it and what follows; long words are counted without their letters
+    short = lambda x: F.when(F.octet_length(x) <= 4 * LONGEST, x).otherwise("")
+    pairs = F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")), lambda a, b: F.concat(
+        F.substring(b, 1, 3), F.lit(STOP), short(F.substring_index(a, " ", -1))))
+    found = pieces.filter(F.size("p") > 1).select(F.explode(pairs).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m"))
+    found = found.select(F.substring_index(F.substring_index("s", STOP, -1), "\n", -1).alias("word"), F.substring_index("s", STOP, 1).alias("then"), "m")
     m, next_ = F.col("m"), after(F.col("then"))
     counts = found.groupBy("word").agg(F.sum("m").alias("n"), F.sum(F.when(next_ == 1, m).otherwise(0)).alias("on"), F.sum(F.when(next_ == 2, m).otherwise(0)).alias("end"))
     counts = stored(counts, "stops")
@@ -323,10 +333,10 @@ def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] |
     cut = frame.filter(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("k"), blocks(F.col(f"`{text}`")).alias("bs"))
     rows = cut.select("k", F.inline(F.zip_with(_begins(F.col("bs")), "bs", lambda at, b: F.struct(at.alias("at"), b.alias("b")))))
     rows = rows.select("k", "at", _bare(F.col("b")).alias("b")).filter("b <> ''")
-    rows = rows.select("k", "at", "b", F.col("b").rlike(TERMINATORS).alias("more"))
+    rows = rows.select("k", "at", "b", _has_terminator(F.col("b")).alias("more"), _wide(F.col("b")).alias("wide"))
     # a projection for each step: the expressions run compiled, and none is worked out twice
-    for step in steps(tuple(learnt)):
-        rows = rows.select("k", "at", F.when(F.col("more"), step(F.col("b"))).otherwise(F.col("b")).alias("b"), "more")
+    for step in steps(tuple(learnt), F.col("wide")):
+        rows = rows.select("k", "at", F.when(F.col("more"), step(F.col("b"))).otherwise(F.col("b")).alias("b"), "more", "wide")
     found = F.when(F.col("b").contains(END), _ends(F.col("at"), F.col("b"))).otherwise(F.array(F.col("at") + F.length("b")))
     return rows.select(F.col("k").alias(key), F.explode(found).alias("end_pos"))
 
