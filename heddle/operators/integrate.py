@@ -7,7 +7,8 @@ up, so Catalyst plans it like any query:
 * siblings without a payload above them meet in a full outer join by their ids;
 * a node with a payload left-joins its children to it;
 * a node without payload and with one child gathers that child's rows into an
-  array, one id level up, ordered by id;
+  array, one id level up, ordered by id; so does one with several children that
+  is told to, after these were joined;
 * a required child drops what lacks it, among the children of its node only.
 """
 
@@ -124,8 +125,7 @@ class Integrator:
     def _emit(self, node: Node, value, ids: list):
         """The element of a node from its value in the compiled record; '' for null."""
         if node.frame is None and node.gathers:
-            child = node.children[0]
-            inner = F.array_join(F.transform(value, lambda x: self._emit(child, x[child.name], [*ids, x["_id"]])), "")
+            inner = F.array_join(F.transform(value, lambda x: F.concat(*[self._emit(child, x[child.name], [*ids, x["_id"]]) for child in node.children])), "")
         else:
             payload = [c for c in node.frame.columns if c not in node.ids] if node.frame is not None else []
             inner = F.concat(*self._inner(node, lambda name: value[name], ids, payload))
@@ -156,11 +156,13 @@ class Integrator:
                 return base, ids
         else:
             self.level(node)
-            if node.gathers and len(kids) == 1:
-                frame, ids, name, _ = kids[0]
+            if node.gathers:
+                frame, ids = (kids[0][0], kids[0][1]) if len(kids) == 1 else self._merge(node, kids)
                 if len(ids) < 2:
-                    raise ValueError(f"{node.name} cannot gather {name}: no id level above it")
-                item = F.struct(F.col(ids[-1]).alias("_id"), F.col(f"`{name}`").alias(name))
+                    raise ValueError(f"{node.name} cannot gather {kids[0][2]}: no id level above it")
+                if kids[0][3] and len(kids) == 1:
+                    frame = frame.filter(F.col(f"`{kids[0][2]}`").isNotNull())
+                item = F.struct(F.col(ids[-1]).alias("_id"), *[F.col(f"`{k[2]}`").alias(k[2]) for k in kids])
                 base = frame.groupBy(*ids[:-1]).agg(F.array_sort(F.collect_list(item)).alias(node.name))
                 return base, ids[:-1], node.name, node.required
             base, ids = self._merge(node, kids)

@@ -321,3 +321,13 @@ def test_input_is_content_or_a_list_in_order(spark, tmp_path):
     got = pipeline.run(spark, [pipeline.Op("input", {"input": str(tmp_path / "list")})])
     assert [(r["doc_pos"], r["B"]) for r in got.orderBy("doc_pos").collect()] == [(0, 2), (1, 1)]
     assert pipeline.run(spark, [pipeline.Op("input", {"input": str(tmp_path / "a.xml")})]).first()["B"] == 1
+
+
+def test_several_children_gathered(spark):
+    kinds = ["BIB_ID", "HLDG_ID"]
+    a, b = keyed(spark, [(0, 100), (0, 200)], kinds, "x"), keyed(spark, [(0, 100), (1, 300)], kinds, "y")
+    tree = Integrator().add("/record/marc", keyed(spark, [0, 1], kinds[:1], "BIB"), kinds[:1]).add("/record/all/a", a, kinds).add("/record/all/b", b, kinds).flag("/record/all", aggregating=True)
+    assert tree.level(tree.root.children[0].child("all")) == 1
+    assert emitted(tree) == [
+        '<record id="BIB_ID-0"><marc id="BIB_ID-0"><bib>0</bib></marc><all id="BIB_ID-0"><a id="HLDG_ID-100"><x>100</x></a><b id="HLDG_ID-100"><y>100</y></b><a id="HLDG_ID-200"><x>200</x></a></all></record>',
+        '<record id="BIB_ID-1"><marc id="BIB_ID-1"><bib>1</bib></marc><all id="BIB_ID-1"><b id="HLDG_ID-300"><y>300</y></b></all></record>']
