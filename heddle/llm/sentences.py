@@ -337,7 +337,9 @@ def sentence_ends(frame: DataFrame, key: str, text: str, learnt: Iterable[str] |
     # a projection for each step: the expressions run compiled, and none is worked out twice
     for step in steps(tuple(learnt), F.col("wide")):
         rows = rows.select("k", "at", F.when(F.col("more"), step(F.col("b"))).otherwise(F.col("b")).alias("b"), "more", "wide")
-    found = F.when(F.col("b").contains(END), _ends(F.col("at"), F.col("b"))).otherwise(F.array(F.col("at") + F.length("b")))
+    # most blocks have one unit: no END, or one at the very end
+    rows = rows.select("k", "at", "b", F.instr("b", END).alias("first"), F.length("b").alias("n"))
+    found = F.when(F.col("first") == 0, F.array(F.col("at") + F.col("n"))).when(F.col("first") == F.col("n"), F.array(F.col("at") + F.col("n") - 1)).otherwise(_ends(F.col("at"), F.col("b")))
     return rows.select(F.col("k").alias(key), F.explode(found).alias("end_pos"))
 
 
