@@ -48,6 +48,7 @@ def add_trailing(x: ColumnLike, sign: str) -> Column:
     return F.when(_c(x).endswith(sign), _c(x)).otherwise(F.concat(_c(x), F.lit(sign)))
 
 
+# The patterns of the trimming functions below are given by the results they must match.
 # A text with this end keeps its period.
 KEPT_END = "etc."
 # Signs whose patterns take the blanks before them as well; before a comma or an equals sign they stay.
