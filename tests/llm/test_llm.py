@@ -42,6 +42,14 @@ def test_same_reading(spark):
     assert forms.same_reading(df.filter("false"), df).count() == 0
 
 
+def test_reading_classes(spark):
+    df = spark.createDataFrame([(1, "tide"), (2, "t\u00adide"), (2, "t\u00adide"), (3, "Tide"), (4, None), (5, ""), (None, "tide"), (6, "\u0570and"), (7, "hand")], "id long, text string").withColumn("reading", F.lit("clash"))
+    got = forms.reading_classes(df).collect()
+    by_id = {r["id"]: (r["class_id"], r["n_ways"]) for r in got}
+    assert len(got) == 5 and by_id[1] == by_id[2] and by_id[1][1] == 2 and by_id[3][1] == 1 and by_id[3][0] != by_id[1][0] and by_id[6] == by_id[7]
+    assert forms.reading_classes(df.filter("false")).count() == 0
+
+
 # --- tokens
 
 HARD = ["", None, " ", "a", "it's they'll I'VE 's ''s x's's", "  two\n\n blanks \t", "１２ ٣٤ ½ x²", "中文，測試 한국어", "emoji 👍🏽 ź", "<|endoftext|> ok", "a" * 3000, "x  　 y z", "\r\n\r\n", "don't'd"]
